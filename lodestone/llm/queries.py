@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 
+def op1_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.cover_search import quantised, top_k
+
+    data = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(data, data.where(F.col("_id") % 50 == 0), k=5)
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.near_dedup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_root").alias("component_id"), F.col("_id").eqNullSafe(F.col("_root")).alias("kept"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.suffix_dedup import remove_repeats
 
@@ -18,8 +32,52 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_output import token_files
+
+    return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_search": op1_cover_search,
+    "op3_near_dedup": op3_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_output": op6_token_output,
+    "op8_warc": op8_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB twins; the other queries are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op1_cover_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
+  WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (SELECT html, max(page_id) AS head FROM p GROUP BY html),
+n AS (
+  SELECT page_id, strlen(p.html) AS payload_bytes, h, CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
+  FROM p JOIN m ON p.html = m.html
+), b AS (
+  SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST(('0x' || substr(h, 1 + 10 * (i // 8), 10)) AS BIGINT) >> (5 * (7 - i % 8))) & 31 AS INTEGER), 1)) AS digits FROM n
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(digits, '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM b""",
+}
