@@ -24,10 +24,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_bytes, saved, small_batches, text_key
+from lodestone.llm.common import by_bytes, saved, small_batches
 from lodestone.llm.induced_sort import repeated
 
 #: Bytes of the hashed strings that anchors are chosen by.
@@ -41,9 +42,9 @@ BREAK = 0xFF
 _MIX = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_PLACES = "_k binary, _a long, _c binary, _lo int, _hi int"
-_FOUND = "_a long, _c binary, _from int, _to int, _bucket int, _packed binary"
-_PRINT = np.dtype([("a", "<i8"), ("c", "V16"), ("o", "<i4"), ("f", "<u8", (2,)), ("d", "?")])
+_PLACES = "_k long, _q long, _a long, _c long, _p long"
+_FOUND = "_a long, _c long, _from int, _to int, _bucket int, _packed binary"
+_PRINT = np.dtype([("a", "<i8"), ("c", "<i8"), ("o", "<i4"), ("f", "<u8", (2,)), ("d", "?")])
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -97,23 +98,36 @@ def _find_anchors(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_bytes(batches, "_t"):
             which, hashes, low, high = anchors(texts, length)
-            contexts = [xxhash.xxh3_128_digest(texts[i][a : b + length]) for i, a, b in zip(which.tolist(), low.tolist(), high.tolist())]
+            contexts = [xxhash.xxh3_64_intdigest(texts[i][a : b + length]) for i, a, b in zip(which.tolist(), low.tolist(), high.tolist())]
+            row = pa.array(which)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which)).cast(pa.binary()), pa.array(hashes, pa.int64()), pa.array(contexts, pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
-                ["_k", "_a", "_c", "_lo", "_hi"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(hashes), pa.array(np.array(contexts, np.uint64).view(np.int64)), pa.array(low * length + (high - low))],
+                ["_k", "_q", "_a", "_c", "_p"],
             )
 
     return run
 
 
+def _shrink(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (_t, the last column) as zstd frames: they are shuffled twice."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch, texts in by_bytes(batches, "_t"):
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([packer.compress(t) for t in texts], pa.binary())], batch.schema.names)
+
+
+def _grown(frames: pa.Array) -> list[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return [unpacker.decompress(f) for f in frames.to_pylist()]
+
+
 def _cut_contexts(length: int):
     """One row a text, with the list of the contexts wanted of it, to one row a context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_t"):
-            rows = [(w["_a"], w["_c"], w["_parts"], text[w["_lo"] : w["_hi"] + length]) for text, wanted in zip(texts, batch.column(1).to_pylist()) for w in wanted]
-            a, c, parts, cut = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.binary()), pa.array(parts, pa.int32()), pa.array(cut, pa.binary())], ["_a", "_c", "_parts", "_bytes"])
+        for batch, _ in by_bytes(batches, "_t", 1 << 19):
+            for text, wanted in zip(_grown(batch.column(0)), batch.column(1).to_pylist()):
+                a, c, parts, cut = zip(*((w["_a"], w["_c"], w["_parts"], text[w["_p"] // length : w["_p"] // length + w["_p"] % length + length]) for w in wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(parts, pa.int32()), pa.array(cut, pa.binary())], ["_a", "_c", "_parts", "_bytes"])
 
     return run
 
@@ -127,12 +141,12 @@ def _found(rows: list[tuple], packed: dict[int, list[np.ndarray]]) -> pa.RecordB
     rows = rows + [(0, None, None, None, b, np.concatenate(p).tobytes()) for b, p in packed.items()]
     a, c, low, high, bucket, data = zip(*rows) if rows else ((),) * 6
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(c, pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())],
+        [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())],
         ["_a", "_c", "_from", "_to", "_bucket", "_packed"],
     )
 
 
-def _sort_shard(group: list[tuple[int, bytes, int, bytes]], length: int) -> pa.RecordBatch:
+def _sort_shard(group: list[tuple[int, int, int, bytes]], length: int) -> pa.RecordBatch:
     """(anchor, context hash, parts, bytes) of whole anchors, or of one part of a split anchor."""
     rows: list[tuple] = []
     packed: dict[int, list[np.ndarray]] = {}
@@ -145,7 +159,7 @@ def _sort_shard(group: list[tuple[int, bytes, int, bytes]], length: int) -> pa.R
         rows += [(a, c, x, y, None, None) for x, y in zip(low.tolist(), high.tolist())]
         if parts > 1:
             prints = np.zeros(len(own), _PRINT)
-            prints["a"], prints["c"], prints["o"], prints["d"] = a, np.void(c), np.arange(len(own)), own
+            prints["a"], prints["c"], prints["o"], prints["d"] = a, c, np.arange(len(own)), own
             prints["f"] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(own))), "<u8").reshape(-1, 2)
             bucket = (prints["f"][:, 0] % np.uint64(min(parts, 256))).astype(np.int64)
             for b in np.unique(bucket):
@@ -164,7 +178,7 @@ def _sort_shards(length: int):
     """Rows sorted by (anchor, part); a part of a split anchor is sorted alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, bytes, int, bytes]] = []
+        group: list[tuple[int, int, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
             for a, c, parts, part, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -172,7 +186,7 @@ def _sort_shards(length: int):
                     if group and (size >= SORT_BYTES or parts > 1 or group[-1][2] > 1):
                         yield _sort_shard(group, length)
                         group, size = [], 0
-                    seen: set[bytes] = set()
+                    seen: set[int] = set()
                     last = (a, part)
                 if c not in seen:
                     seen.add(c)
@@ -196,7 +210,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = same | np.concatenate(([False], same[:-1]))
         mine = prints[order][hit]
         mine = mine[~mine["d"]]
-        return _found([(int(p["a"]), p["c"].tobytes(), int(p["o"]), int(p["o"]), None, None) for p in mine], {})
+        return _found([(int(p["a"]), int(p["c"]), int(p["o"]), int(p["o"]), None, None) for p in mine], {})
 
     held: list[bytes] = []
     last = None
@@ -211,38 +225,44 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def _keys(id_col: str, text_col: str) -> list[F.Column]:
+    """Two longs that tell rows apart by id and text; equal rows share them, and so their places."""
+    return [F.xxhash64(F.col(f"`{id_col}`")).alias("_k"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_q")]
+
+
 def repeated_places(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """`_k` (text_key) and `_spans`, a list of (first window, last window): where strings of `length` bytes repeat."""
+    """`_k`, `_q` (see `_keys`) and `_spans`, a list of (first window, last window): where strings of `length` bytes repeat."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.select(text_key(F.col(text_col)).alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    long_ = keyed.where(F.octet_length("_t") >= length)
-    places = saved(long_.select("_k", "_t").mapInArrow(_find_anchors(length), _PLACES), "anchors")
-    contexts = saved(places.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_k", "_lo", "_hi")).alias("_at")), "contexts")
+    long_ = docs.select(*_keys(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.octet_length("_t") >= length)
+    every = saved(long_.mapInArrow(_find_anchors(length), _PLACES), "anchors")
+    shared = saved(every.groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a"), "shared")
+    places = saved(every.join(shared, "_a"), "places")
+    contexts = saved(places.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n"), *(F.first(x).alias(x) for x in ("_k", "_q", "_p"))), "contexts")
     mixed = contexts.groupBy("_a").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    wanted = contexts.join(mixed, "_a").select("_a", "_c", F.ceil(F.col("_m") / SHARD).cast("int").alias("_parts"), "_at.*")
-    wanted = wanted.groupBy("_k").agg(F.collect_list(F.struct("_a", "_c", "_parts", "_lo", "_hi")).alias("_wanted"))
-    one = long_.groupBy("_k").agg(F.min("_id").alias("_id"))
+    wanted = contexts.join(mixed, "_a").select("_k", "_q", F.struct("_a", "_c", F.ceil(F.col("_m") / SHARD).cast("int").alias("_parts"), "_p").alias("_w"))
+    wanted = wanted.groupBy("_k", "_q").agg(F.collect_list("_w").alias("_wanted"))
     cut = (
-        long_.join(one.join(wanted, "_k"), ["_k", "_id"])
+        long_.mapInArrow(_shrink, "_k long, _q long, _t binary").join(wanted, ["_k", "_q"])
         .select("_t", "_wanted")
-        .mapInArrow(_cut_contexts(length), "_a long, _c binary, _parts int, _bytes binary")
+        .mapInArrow(_cut_contexts(length), "_a long, _c long, _parts int, _bytes binary")
         .select("_a", "_c", "_parts", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_c"), "_parts")).otherwise(0).cast("int").alias("_part"), "_bytes")
-    )
+    )
     found = saved(cut.repartition(F.col("_a"), F.col("_part")).sortWithinPartitions("_a", "_part").mapInArrow(_sort_shards(length), _FOUND), "sorted")
     split = found.where("_packed is not null").select("_bucket", "_packed")
     met = split.repartition(F.col("_bucket")).sortWithinPartitions("_bucket").mapInArrow(_meet, _FOUND)
     windows = (
-        contexts.where("_n > 1").select("_a", "_c", F.lit(0).alias("_from"), F.expr("_at._hi - _at._lo").alias("_to"))
+        contexts.where("_n > 1").select("_a", "_c", F.lit(0).alias("_from"), F.pmod("_p", F.lit(length)).cast("int").alias("_to"))
         .unionByName(found.where("_packed is null").select("_a", "_c", "_from", "_to"))
         .unionByName(met.select("_a", "_c", "_from", "_to"))
     )
     windows = windows.groupBy("_a", "_c").agg(F.collect_set(F.struct("_from", "_to")).alias("_w"))
+    low = F.floor(F.col("_p") / length).cast("int")
     return (
         places.join(windows, ["_a", "_c"])
-        .select("_k", F.explode(F.expr("transform(_w, w -> struct(_lo + w._from as _from, _lo + w._to as _to))")).alias("_s"))
-        .groupBy("_k")
-        .agg(F.collect_set("_s").alias("_spans"))
+        .select("_k", "_q", F.transform("_w", lambda w: F.struct((low + w["_from"]).alias("_from"), (low + w["_to"]).alias("_to"))).alias("_s"))
+        .groupBy("_k", "_q")
+        .agg(F.flatten(F.collect_list("_s")).alias("_spans"))
     )
 
 
@@ -259,9 +279,9 @@ def covered(n: int, spans: list[dict], length: int) -> np.ndarray:
 
 def _cut_out(length: int, keep_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_t"):
+        for batch, frames in by_bytes(batches, "_t", 1 << 19):
             sizes, gone, runs, shas, left = [], [], [], [], []
-            for text, spans in zip(texts, batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
+            for text, spans in zip(_grown(pa.array(frames, pa.binary())), batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
                 cuts = covered(len(text), spans or [], length).tolist()
                 kept, at = [], 0
                 for a, b in cuts:
@@ -293,7 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     places = repeated_places(docs, id_col, text_col, length)
     own = [f for f in docs.schema.fields if f.name != text_col]
-    keyed = docs.select(*[F.col(f"`{f.name}`") for f in own], text_key(F.col(text_col)).alias("_k"), F.col(text_col).cast("string").alias("_t"))
-    joined = keyed.join(places, "_k", "left").drop("_k")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+    keyed = docs.select(*[F.col(f"`{f.name}`") for f in own], *_keys(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("_t"))
+    packed = keyed.mapInArrow(_shrink, f"{schema}, _k long, _q long, _t binary")
+    joined = packed.join(places, ["_k", "_q"], "left").drop("_k", "_q")
     return joined.mapInArrow(_cut_out(length, keep_text), f"{schema}, _n_bytes long, _n_removed long, _n_spans long, _sha string, _left string")
