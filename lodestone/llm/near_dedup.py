@@ -61,8 +61,8 @@ def _sketch(k: int, percent: int):
             nodes = np.stack([mix(tokens[:, c] + np.uint64(1 + c + WIDTH * t)) for t, c in roots], axis=1).view(np.int64)
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(roots))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(nodes.ravel()))],
-                ["_id", "_n", "_h", "_s", "_nodes"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(nodes.ravel()))],
+                ["_id", "_q", "_n", "_h", "_s", "_nodes"],
             )
 
     return run
@@ -155,7 +155,8 @@ def _branch(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """One row per row of `docs`: `_id`, `_n` (size of its shingle set) and `_root` (least id reachable by links).
+    """One row per row of `docs`: `_id`, `_n` (size of its shingle set), `_root` (least id reachable by links), `_q`
+    (xxhash64 of the text) and `_c` (key of its component, null for an empty set).
 
     Sets are linked if 100 * intersection >= percent * union.  Texts that are null or without words have empty sets
     and are linked with nothing (`_root` is their own id); so are rows with a null id as far as others can see, but
@@ -163,9 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     idtype = texts.schema["_id"].dataType.simpleString()
-    rows = saved(texts.mapInArrow(_sketch(k, percent), f"_id {idtype}, _n long, _h binary, _s binary, _nodes array<long>"), "sketches")
+    rows = saved(texts.withColumn("_q", F.xxhash64("_t")).mapInArrow(_sketch(k, percent), f"_id {idtype}, _q long, _n long, _h binary, _s binary, _nodes array<long>"), "sketches")
     reps = saved(rows.where("_h is not null and _id is not null").groupBy("_h").agg(F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_s").alias("_s"), F.first("_nodes").alias("_nodes")), "classes")
 
     # First level: each member of a node against the pivot.
@@ -201,8 +202,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(_confirmed(found, reps, texts, k, percent))
     root = components(links).withColumnRenamed("_u", "_h")
     least = reps.join(root, "_h", "left").withColumn("_root", F.coalesce("_root", "_h"))
-    least = saved(least.groupBy("_root").agg(F.min("_id").alias("_least")).join(least.select("_h", "_root"), "_root").select("_h", "_least"), "roots")
-    return rows.select("_id", "_n", "_h").join(least, "_h", "left").select("_id", "_n", F.when(F.col("_id").isNotNull() | F.col("_least").isNotNull(), F.coalesce("_least", "_id")).alias("_root"))
+    least = saved(least.groupBy("_root").agg(F.min("_id").alias("_least")).join(least.select("_h", "_root"), "_root").select("_h", "_least", F.col("_root").alias("_c")), "roots")
+    return rows.select("_id", "_q", "_n", "_h").join(least, "_h", "left").select("_id", "_n", F.when(F.col("_id").isNotNull() | F.col("_least").isNotNull(), F.coalesce("_least", "_id")).alias("_root"), "_q", F.coalesce("_c", "_h").alias("_c"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each near-duplicate class, that of the least id; texts without words all stay, but
+    repeated rows (equal id and text) are one."""
+    found = near_duplicates(docs, id_col, text_col, k, percent)
+    key = F.struct(F.col("_id").isNull().alias("_none"), F.col("_id"), F.col("_q"))
+    linked = found.where("_c is not null").groupBy("_c").agg(F.min(key).alias("_first")).select("_first._id", "_first._q")
+    keep = saved(linked.unionByName(found.where("_c is null").select("_id", "_q")).select(F.xxhash64("_id").alias("_k"), "_q").distinct(), "kept")
+    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col))).withColumn("_q", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(keep, ["_k", "_q"]).dropDuplicates(["_k", "_q"]).drop("_k", "_q")
 
 
 def _blocks(live: DataFrame) -> DataFrame:

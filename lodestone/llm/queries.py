@@ -17,6 +17,14 @@ def op1_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(data, data.where(F.col("_id") % 50 == 0), k=5)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.common import saved
+    from lodestone.llm.packing import n_words, pack
+
+    lengths = saved(table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("n")), "lengths")
+    return pack(lengths, length=F.col("n")).drop("n")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.near_dedup import near_duplicates
 
@@ -24,6 +32,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_root").alias("component_id"), F.col("_id").eqNullSafe(F.col("_root")).alias("kept"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontaminate import held_items
+
+    found = held_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.suffix_dedup import remove_repeats
 
@@ -40,18 +55,49 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import held_out
+    from lodestone.llm.toxicity import CUT, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.warc import archive
 
     return archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least=0)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_counts import token_counts
+
+    out = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.col("_pretokens").alias("n_pretokens"), F.col("_tokens").alias("n_tokens"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import CUT, held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_search": op1_cover_search,
+    "op2_packing": op2_packing,
     "op3_near_dedup": op3_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_output": op6_token_output,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB twins; the other queries are held against brute force in tests/llm.

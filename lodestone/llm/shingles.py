@@ -33,13 +33,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word of the texts (joined by single spaces), and words per text."""
-    joined = b" ".join(texts) + b" "
-    if lower:
-        joined = joined.translate(LOWER)
-    data = np.frombuffer(joined, np.uint8)
-    space = SPACE[data]
+def words(texts: list[bytes], space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of the lower-cased texts (joined by single spaces), and words per text."""
+    data = np.frombuffer((b" ".join(texts) + b" ").translate(LOWER), np.uint8)
+    space = space[data]
     edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
     starts = np.flatnonzero(edge == -1)
     ends = np.flatnonzero(edge == 1)

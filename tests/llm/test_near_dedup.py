@@ -5,7 +5,7 @@ import pytest
 
 import lodestone.llm.near_dedup as module
 from lodestone.llm.components import components
-from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.near_dedup import near_duplicates, one_of_each
 
 
 def shingle_set(text, k):
@@ -57,7 +57,7 @@ def test_matches_brute_force(spark, monkeypatch, leaf, depth, k, percent):
     rows = corpus(k)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
     got = near_duplicates(docs, k=k, percent=percent).collect()
-    assert sorted(tuple(r) for r in got) == brute(rows, k, percent)
+    assert sorted(tuple(r)[:3] for r in got) == brute(rows, k, percent)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -69,4 +69,12 @@ def test_components_of_chains_and_stars(spark):
 def test_empty_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "x y z")], "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == [(4, 2, 4), (None, 1, None), (None, 2, 4)]
+    assert sorted((tuple(r)[:3] for r in got), key=str) == [(4, 2, 4), (None, 1, None), (None, 2, 4)]
+
+
+def test_one_of_each_class_stays(spark):
+    rows = corpus(5)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _note string")
+    want = {i for i, n, root in brute(rows, 5, 80) if not n or i == root}
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
