@@ -30,7 +30,7 @@ BLOCK = 5_000
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-_SEEDS = np.random.default_rng(424242).integers(0, 1 << 63, (WALKS, 8), np.uint64)
+_SEEDS = np.random.default_rng(424242).integers(0, 1 << 63, WALKS, np.uint64)
 _FACTORS = np.random.default_rng(171717).integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,7 +61,8 @@ def embed(strings: np.ndarray, walk: int) -> np.ndarray:
     for t in range(3 * m):
         word = padded[row, at]
         out[:, t] = word
-        step = (mix(word ^ (_SEEDS[walk, 0] + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(63)).astype(np.int64)
+        salt = np.uint64((int(_SEEDS[walk]) + t * 0x9E3779B97F4A7C15) % (1 << 64))
+        step = (mix(word ^ salt) >> np.uint64(63)).astype(np.int64)
         at = np.minimum(at + step, m)
     return out
 
