@@ -1,0 +1 @@
+"""Responses and the facade that ties definitions, builds, publication and queries together."""
