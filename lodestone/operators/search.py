@@ -82,7 +82,8 @@ class SearchResult:
 
     @property
     def page(self) -> int:
-        return min(max(0, self.state.page), max(0, self.nb_pages - 1))
+        """The page asked for, or the last one; the first page needs no count."""
+        return 0 if self.state.page <= 0 else min(self.state.page, max(0, self.nb_pages - 1))
 
     @cached_property
     def ordered(self) -> DataFrame:

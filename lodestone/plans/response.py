@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from lodestone.functions.facet_value import to_key
@@ -19,15 +20,18 @@ def response(result: SearchResult) -> dict[str, Any]:
     """hits, counts, pages, facets (value -> count, ordered), their statistics, and buckets with types and refinement."""
     began = time.time()
     spec = result.index.spec
+    jobs = (lambda: result.nb_hits, lambda: result.hits.collect(), lambda: result.facets.orderBy("facet", "position").collect(), lambda: result.stats.collect())
+    with ThreadPoolExecutor(len(jobs)) as pool:  # independent jobs, so that small ones don't wait for each other
+        _, rows, found, stats = pool.map(lambda job: job(), jobs)
     hits = []
-    for row in result.hits.collect():
+    for row in rows:
         own = {k: None if v is None else json.loads(v) for k, v in row.asDict().items() if k not in ("object_id", "score")}
         hits.append({"objectID": row.object_id, **own})
     buckets: dict[str, dict[str, Any]] = {}
     for a in spec.facets:
         if result.state.facets is None or a.key in result.state.facets:
             buckets[a.key] = {"operator": a.facet_operator, "type": a.facet_type, "buckets": []}
-    for row in result.facets.orderBy("facet", "position").collect():
+    for row in found:
         buckets[row.facet]["buckets"].append({"value": _value(row), "count": row["count"], "isRefined": row.is_refined})
     return {
         "hits": hits,
@@ -40,7 +44,7 @@ def response(result: SearchResult) -> dict[str, Any]:
         "exhaustiveNbHits": True,
         "exhaustiveFacetsCount": True,
         "facets": {k: {to_key(b["value"]): b["count"] for b in f["buckets"]} for k, f in buckets.items() if f["buckets"]},
-        "facets_stats": {r.facet: {n: r[n] for n in ("min", "max", "avg", "sum")} for r in result.stats.collect()},
+        "facets_stats": {r.facet: {n: r[n] for n in ("min", "max", "avg", "sum")} for r in stats},
         "facetBuckets": buckets,
         "processingTimeMS": int(1000 * (time.time() - began)),
     }
