@@ -8,8 +8,8 @@ probability.  In detail:
 * sets that are equal form one class first; only class representatives go on;
 * in every first-level node, all members are held against one member (the pivot): linear in the node;
 * nodes whose members are still in more than one component are compared exhaustively if they have `LEAF` members at
-  most, and branched further otherwise; what is still larger after `DEPTH` levels is compared in blocks, the members
-  outside its largest component against all;
+  most; if they have `LEAF` members at most outside their largest component, these are compared with all, in blocks;
+  other nodes are branched further (what is left after `DEPTH` levels is compared in blocks too);
 * an estimate from the minwise tokens, five standard errors below the threshold, sorts out hopeless pairs; all
   others are confirmed on the full sets.
 """
@@ -182,19 +182,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Nodes that still hold several components: small ones exhaustively, large ones level by level.
     labelled = reps.select("_h", "_s", "_n").join(root.withColumnRenamed("_u", "_h"), "_h", "left").withColumn("_l", F.coalesce("_root", "_h")).drop("_root")
-    live = members.select("_v", "_h", "_m").join(labelled, "_h")
+    live = members.select("_v", "_h").join(labelled, "_h")
     asked = []
     for level in range(DEPTH + 1):
-        stats = live.groupBy("_v").agg(F.count(F.lit(1)).alias("_m"), F.min("_l").alias("_x"), F.max("_l").alias("_y")).where("_m > 1 and _x <> _y").select("_v", "_m")
-        live = saved(live.drop("_m").join(stats, "_v"), "mixed")
+        sizes = live.groupBy("_v", "_l").agg(F.count(F.lit(1)).alias("_c"))
+        stats = sizes.groupBy("_v").agg(F.sum("_c").alias("_m"), F.max(F.struct("_c", "_l")).alias("_top"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+        stats = saved(stats.select("_v", "_m", F.col("_top._l").alias("_most"), (F.col("_m") - F.col("_top._c")).alias("_out")), "stats")
+        live = saved(live.join(stats, "_v"), "mixed")
         asked.append(live.where(F.col("_m") <= LEAF).select("_v", F.lit(0).alias("_block"), "_h", "_l", "_s", "_n", F.lit(True).alias("_asks"), F.lit(True).alias("_stays")))
-        live = live.where(F.col("_m") > LEAF)
-        if live.isEmpty():
+        large = live.where(F.col("_m") > LEAF)
+        asked.append(_blocks(large.where((F.col("_out") <= LEAF) | F.lit(level == DEPTH))))
+        large = large.where(F.col("_out") > LEAF).drop("_m", "_most", "_out")
+        if level == DEPTH or large.isEmpty():
             break
-        if level < DEPTH:
-            live = saved(_branch(live, percent), "branched")
-    else:
-        asked.append(_blocks(live))
+        live = saved(_branch(large, percent), "branched")
     rest = asked[0]
     for more in asked[1:]:
         rest = rest.unionByName(more)
@@ -218,11 +219,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _blocks(live: DataFrame) -> DataFrame:
-    """Nodes that no level could split: each member stays in one block; those outside the largest component ask all."""
-    sizes = live.groupBy("_v", "_l").agg(F.count(F.lit(1)).alias("_c"))
-    top = sizes.groupBy("_v").agg(F.max(F.struct("_c", "_l")).alias("_top")).select("_v", F.col("_top._l").alias("_most"))
+    """Nodes with few members outside their largest component, or that no level could split: each member stays in one
+    block; those outside ask all blocks."""
     parts = F.ceil(F.col("_m") / LEAF).cast("int")
-    rows = live.join(top, "_v").withColumn("_own", F.pmod(F.xxhash64("_h"), parts).cast("int"))
     asks = F.col("_l") != F.col("_most")
+    rows = live.withColumn("_own", F.pmod(F.xxhash64("_h"), parts).cast("int"))
     rows = rows.withColumn("_block", F.explode(F.when(asks, F.sequence(F.lit(0), parts - 1)).otherwise(F.array("_own"))))
     return rows.select("_v", "_block", "_h", "_l", "_s", "_n", asks.alias("_asks"), (F.col("_block") == F.col("_own")).alias("_stays"))
