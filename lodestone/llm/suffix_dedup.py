@@ -256,7 +256,7 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, length: int) ->
         .unionByName(found.where("_packed is null").select("_a", "_c", "_from", "_to"))
         .unionByName(met.select("_a", "_c", "_from", "_to"))
     )
-    windows = windows.groupBy("_a", "_c").agg(F.collect_set(F.struct("_from", "_to")).alias("_w"))
+    windows = saved(windows.groupBy("_a", "_c").agg(F.collect_set(F.struct("_from", "_to")).alias("_w")), "windows")  # a table, so that the join can split a hot key
     low = F.floor(F.col("_p") / length).cast("int")
     return (
         places.join(windows, ["_a", "_c"])
