@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,8 @@ from lodestone.llm.common import by_bytes, saved, scratch, small_batches
 from lodestone.llm.files import create, reopen
 from lodestone.llm.patched_blocks import Reader, Writer
 
-#: Distinct pieces kept per task.
-PIECES = 300_000
+#: Distinct pieces kept per worker process; tasks that follow in it go on with them.
+PIECES = 800_000
 
 # The byte-level pre-tokenizer's pattern, over texts of ASCII and Latin letters alone.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -25,11 +27,16 @@ _SAFE = re.compile(f"[\t-\r\x20-\x7e{_LETTER}]*")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 
 
+# The printable character that stands for each byte in the vocabulary.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, as little-endian u32 bytes.
 
-    A byte-level BPE works on each piece of its pre-tokenizer alone, so distinct pieces are encoded once per task.
-    Texts with other characters than ASCII and Latin letters, or that hold an added token, are encoded whole.
+    A byte-level BPE works on each piece of its pre-tokenizer alone, so its model gets each distinct piece once per
+    worker.  Texts with other characters than ASCII and Latin letters, or that hold an added token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -40,32 +47,49 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        model, known = self.tokenizer.model, self.known
+        for piece in pieces:
+            shown = piece.encode().decode("latin-1").translate(_SHOWN)
+            known[piece] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not _SAFE.fullmatch(t) or any(a in t for a in self.added)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
         if len(self.known) > PIECES:
             self.known.clear()
-        known = self.known
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                pieces = _PIECE.findall(text)
-                new = list(set(pieces).difference(known))
-                for at in range(0, len(new), 4096):
-                    known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
-                out[i] = b"".join([known[p] for p in pieces])
+        whole = {i for i, t in enumerate(texts) if not _SAFE.fullmatch(t) or any(a in t for a in self.added)}
+        out: list[bytes] = [b""] * len(texts)
+        if whole:
+            for i, ids in zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)])):
+                out[i] = ids
+        found = [() if i in whole else _PIECE.findall(t) for i, t in enumerate(texts)]
+        new: set[str] = set()
+        for pieces in found:
+            new.update(filterfalse(self.known.__contains__, pieces))
+        self._learn(new)
+        for i, pieces in enumerate(found):
+            if pieces:
+                out[i] = b"".join(map(self.known.__getitem__, pieces))
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One per worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _write(folder: str, tokenizer: str, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, name = Encoder(tokenizer), None, ""
+        encoder, writer, name = _encoder(tokenizer), None, ""
         for batch, texts in by_bytes(batches, "_t"):
             if writer is None:
                 name, sink = create(folder, ".pfor")
