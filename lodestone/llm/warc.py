@@ -279,7 +279,8 @@ def _read(folder: str):
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every indexed record, from the archives."""
-    dealt = index.select("archive", "offset", "length").repartition(F.col("archive"), F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("archive", "offset")
+    parts = max(1, -(-int(index.agg(F.sum("length")).first()[0] or 0) // (8 << 20)))  # by the bytes to read, not by the index
+    dealt = index.select("archive", "offset", "length").repartition(parts, F.col("archive"), F.floor(F.col("offset") / (1 << 20))).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
