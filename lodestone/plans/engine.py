@@ -57,6 +57,14 @@ class Engine:
         self._specs.pop(handle, None)
         self.publisher.delete(handle)
 
+    def count(self, handle: str) -> int:
+        """Elements that a full build would take."""
+        return scan(self.tables(), self.spec(handle)).count()
+
+    def prune(self, handle: str) -> list[str]:
+        """Deletes the files of versions beyond those kept."""
+        return self.publisher.prune(handle)
+
     # Store: one Parquet version after the other, and a pointer to the last one
     def _store(self, handle: str) -> DataFrame | None:
         text = self.publisher.folder.read(f"{handle}/store.json")

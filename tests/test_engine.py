@@ -114,6 +114,7 @@ def test_build_publish_and_query(world, spark):
     assert engine.search_url("news", "/x?q=saw&price=..15").nb_hits == 1
     assert json.loads(engine.search_json("news", '{"query": "saw"}'))["nbHits"] == 2
     assert engine.preview("news", "2-1")["tokens"] == {"blue": 1.0, "saw": 1.0}
+    assert engine.count("news") == 3 and engine.prune("news") == []
     assert engine.verify("news").count() == 0 and engine.status("news")["records"] == 3
     assert differences(keys(spark, (1, 1), (1, 1)), keys(spark, (1, 1))).count() == 1
 
