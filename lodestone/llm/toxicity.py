@@ -1,8 +1,8 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word are its own log odds and the greatest log odds of its character strings of several lengths, all
-learned from one half of the training texts; the network is trained on the other half, on the highest window of each
-text.  A text's score is that of its highest window; windows of `SPAN` words start every `STEP` words, so all words
+Inputs of a word are its own log odds and the greatest log odds of its character strings of several lengths.  The
+network is trained on the highest window of each text, with log odds learned from the half of the training texts that the
+text is not in.  A text's score is that of its highest window; windows of `SPAN` words start every `STEP` words, so all words
 are read, most of them twice.
 """
 
@@ -198,20 +198,23 @@ class Model:
 
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
-    """Log odds from every second text, the network from the others."""
+    """The network learns each half of the texts with log odds from the other half; the model gets those of all."""
     if not toxic.any() or toxic.all():
         return Model(None, None)
     half = np.zeros(len(texts), bool)
     for y in (False, True):
         half[np.flatnonzero(toxic == y)[::2]] = True
-    odds = Odds([t for t, h in zip(texts, half) if h], toxic[half])
+    odds = [Odds([t for t, h in zip(texts, half) if h == side], toxic[half == side]) for side in (False, True)]
+    parts = [tokens([t for t, h in zip(texts, half) if h != side]) for side in (False, True)]
+    inputs = [o.inputs(p[1], p[2]) for o, p in zip(odds, parts)]
+    rows = np.concatenate([inputs[0][:-1], inputs[1]])
+    ids = np.concatenate([parts[0][0], parts[1][0] + len(parts[0][1]), [len(rows) - 1]])
+    place, text = windows(np.concatenate([p[3] for p in parts]))
+    y = np.concatenate([toxic[half], toxic[~half]]).astype(np.float32)
     network = Network(2 + len(GRAMS))
-    rest, y = [t for t, h in zip(texts, half) if not h], toxic[~half].astype(np.float32)
-    inverse, word, strings, counts = tokens(rest)
-    rows, ids = odds.inputs(word, strings), np.append(inverse, len(word))
-    place, text = windows(counts)
     sample = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
+    every, of = place, text
     strength = rows[:, 1:].sum(axis=1)[ids[place]].max(axis=1)
     order = np.lexsort((-strength, text))
     rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
@@ -228,14 +231,13 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             network.p[k] = (network.p[k] - 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    model = Model(odds, network)
-    scores = np.clip(model.score(rest), 1e-12, 1 - 1e-12)
-    logit, bad = np.log(scores / (1 - scores)), y > 0
+    logit, bad = np.full(len(y), -30.0), y > 0
+    for at in range(0, len(every), 8192):
+        np.maximum.at(logit, of[at : at + 8192], network.logits(rows, ids[every[at : at + 8192]]))
     cuts = np.unique(np.quantile(logit, np.linspace(0, 1, 400)))
     value = [(logit[bad] >= c).mean() - 3 * (logit[~bad] >= c).mean() for c in cuts]
     best = np.flatnonzero(np.array(value) >= max(value) - 1e-12)
-    model.shift = float(np.log(CUT / (1 - CUT)) - cuts[best[len(best) // 2]])
-    return model
+    return Model(Odds(texts, toxic), network, float(np.log(CUT / (1 - CUT)) - cuts[best[len(best) // 2]]))
 
 
 def _some_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
