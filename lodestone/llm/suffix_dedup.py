@@ -40,9 +40,9 @@ SORT_BYTES = 2 << 20
 BREAK = 0xFF
 
 _MIX = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
-_PLACES = "_k long, _q long, _a long, _c long, _p long"
+_PLACES = "_k long, _q long, _a long, _c long, _p array<long>"
 _FOUND = "_a long, _c long, _from int, _to int, _bucket int, _packed binary"
 _PRINT = np.dtype([("a", "<i8"), ("c", "<i8"), ("o", "<i4"), ("f", "<u8", (2,)), ("d", "?")])
 
@@ -52,8 +52,8 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     h, power = _MIX[data], _BASE
     width = 1
     while width < gram:
-        h = h[:-width] * power + h[width:]
-        power = power * power
+        h = h[:-width] * np.uint64(power) + h[width:]
+        power = power * power % (1 << 64)
         width *= 2
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -98,10 +98,15 @@ def _find_anchors(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_bytes(batches, "_t"):
             which, hashes, low, high = anchors(texts, length)
-            contexts = [xxhash.xxh3_64_intdigest(texts[i][a : b + length]) for i, a, b in zip(which.tolist(), low.tolist(), high.tolist())]
-            row = pa.array(which)
+            contexts = np.array([xxhash.xxh3_64_intdigest(texts[i][a : b + length]) for i, a, b in zip(which.tolist(), low.tolist(), high.tolist())], np.uint64).view(np.int64)
+            order = np.lexsort((low, contexts, hashes, which))  # one row for all places of a context in a text
+            which, hashes, contexts, place = which[order], hashes[order], contexts[order], (low * length + (high - low))[order]
+            new = np.ones(len(which), bool)
+            new[1:] = (which[1:] != which[:-1]) | (hashes[1:] != hashes[:-1]) | (contexts[1:] != contexts[:-1])
+            first = np.flatnonzero(new)
+            row, offsets = pa.array(which[first]), pa.array(np.append(first, len(which)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(hashes), pa.array(np.array(contexts, np.uint64).view(np.int64)), pa.array(low * length + (high - low))],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(hashes[first]), pa.array(contexts[first]), pa.ListArray.from_arrays(offsets, pa.array(place))],
                 ["_k", "_q", "_a", "_c", "_p"],
             )
 
@@ -236,9 +241,9 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     small_batches(spark)
     long_ = docs.select(*_keys(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.octet_length("_t") >= length)
     every = saved(long_.mapInArrow(_find_anchors(length), _PLACES), "anchors")
-    shared = saved(every.groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a"), "shared")
+    shared = saved(every.groupBy("_a").agg(F.sum(F.size("_p")).alias("_n")).where("_n > 1").select("_a"), "shared")
     places = saved(every.join(shared, "_a"), "places")
-    contexts = saved(places.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n"), *(F.first(x).alias(x) for x in ("_k", "_q", "_p"))), "contexts")
+    contexts = saved(places.withColumn("_n", F.size("_p")).withColumn("_p", F.get("_p", F.lit(0))).groupBy("_a", "_c").agg(F.sum("_n").alias("_n"), *(F.first(x).alias(x) for x in ("_k", "_q", "_p"))), "contexts")
     mixed = contexts.groupBy("_a").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     wanted = contexts.join(mixed, "_a").select("_k", "_q", F.struct("_a", "_c", F.ceil(F.col("_m") / SHARD).cast("int").alias("_parts"), "_p").alias("_w"))
     wanted = wanted.groupBy("_k", "_q").agg(F.collect_list("_w").alias("_wanted"))
@@ -257,10 +262,11 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, length: int) ->
         .unionByName(met.select("_a", "_c", "_from", "_to"))
     )
     windows = saved(windows.groupBy("_a", "_c").agg(F.collect_set(F.struct("_from", "_to")).alias("_w")), "windows")  # a table, so that the join can split a hot key
-    low = F.floor(F.col("_p") / length).cast("int")
+    low = lambda p: F.floor(p / length).cast("int")
+    spans = F.flatten(F.transform("_p", lambda p: F.transform("_w", lambda w: F.struct((low(p) + w["_from"]).alias("_from"), (low(p) + w["_to"]).alias("_to")))))
     return (
         places.join(windows, ["_a", "_c"])
-        .select("_k", "_q", F.transform("_w", lambda w: F.struct((low + w["_from"]).alias("_from"), (low + w["_to"]).alias("_to"))).alias("_s"))
+        .select("_k", "_q", spans.alias("_s"))
         .groupBy("_k", "_q")
         .agg(F.flatten(F.collect_list("_s")).alias("_spans"))
     )
