@@ -6,7 +6,7 @@ meeting and others part.  Independent trees repeat this until a pair at the thre
 probability.  In detail:
 
 * sets that are equal form one class first; only class representatives go on;
-* in every first-level node, all members are held against one member (the pivot): linear in the node;
+* in every first-level node, all members are held against one member (the pivot, drawn per node): linear in the node;
 * nodes whose members are still in more than one component are compared exhaustively if they have `LEAF` members at
   most; if they have `LEAF` members at most outside their largest component, these are compared with all, in blocks;
   other nodes are branched further (what is left after `DEPTH` levels is compared in blocks too);
@@ -171,10 +171,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # First level: each member of a node against the pivot.
     nodes = reps.select("_h", F.explode("_nodes").alias("_v"))
-    shared = saved(nodes.groupBy("_v").agg(F.count(F.lit(1)).alias("_m"), F.min("_h").alias("_p")).where("_m > 1"), "nodes")
+    pivot = F.min(F.struct(F.xxhash64("_h", "_v"), F.col("_h")))["_h"]  # another one in each node, also of the same members
+    shared = saved(nodes.groupBy("_v").agg(F.count(F.lit(1)).alias("_m"), pivot.alias("_p")).where("_m > 1"), "nodes")
     members = saved(nodes.join(shared, "_v"), "members")
     side = lambda p: reps.select(F.col("_h").alias(f"_{p}"), F.col("_s").alias(f"_s{p}"), F.col("_n").alias(f"_n{p}"))
-    pairs = members.where("_h <> _p").select(F.col("_p").alias("_a"), F.col("_h").alias("_b")).distinct()
+    pairs = members.where("_h <> _p").select(F.least("_p", "_h").alias("_a"), F.greatest("_p", "_h").alias("_b")).distinct()
     pairs = pairs.join(side("a"), "_a").join(side("b"), "_b").where(f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
     likely = pairs.select("_a", "_b", "_sa", "_sb").mapInArrow(_likely(percent), "_a binary, _b binary")
     links = _confirmed(likely, reps, texts, k, percent)
