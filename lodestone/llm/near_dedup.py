@@ -97,18 +97,23 @@ def _likely(percent: int):
 
 
 def _compare_nodes(percent: int):
-    """Rows sorted by node (_v, _block): likely pairs of members of different components; at least one side asks."""
+    """Rows sorted by node (_v, _block): likely pairs of members of different components; at least one side asks.
+
+    Of two that ask, the one of the lesser key takes the other where that one stays: in one block whatever the order of
+    rows, which may differ between blocks.
+    """
     least = _least_matches(percent)
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         keys = [r[0] for r in rows]
+        rank = np.unique(np.frombuffer(b"".join(keys), "S16"), return_inverse=True)[1]
         _, label = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "S16"), return_inverse=True)
         tokens = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(-1, WIDTH)
         size = np.array([r[3] for r in rows])
         asks, stays = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         for i in np.flatnonzero(asks):
             other = stays & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            other &= ~asks | (np.arange(len(rows)) > i)
+            other &= ~asks | (rank > rank[i])
             at = np.flatnonzero(other)
             at = at[(tokens[at] == tokens[i]).sum(axis=1) >= least]
             for j in at.tolist():

@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 import lodestone.llm.near_dedup as module
@@ -78,3 +80,18 @@ def test_one_of_each_class_stays(spark):
     want = {i for i, n, root in brute(rows, 5, 80) if not n or i == root}
     kept = one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_blocks_compare_whatever_the_order_of_rows(seed):
+    rng = random.Random(seed)
+    members = [(bytes([n]) * 16, n > 2, n % 3) for n in rng.sample(range(3, 200), 9) + [1, 2]]  # key, asks, own block
+    tokens, names = bytes(2 * module.WIDTH), ["_v", "_block", "_h", "_l", "_s", "_n", "_asks", "_stays"]
+    rows = []
+    for block in range(3):
+        here = [(1, block, h, h if asks else bytes(16), tokens, 50, asks, own == block) for h, asks, own in members if asks or own == block]
+        rows += rng.sample(here, len(here))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])]
+    got = [tuple(p.values()) for b in module._compare_nodes(85)(batches) for p in b.to_pylist()]
+    want = [tuple(sorted((a, b))) for (a, x, _), (b, y, _) in itertools.combinations(members, 2) if x or y]
+    assert sorted(got) == sorted(want)  # each pair with a side that asks, once
