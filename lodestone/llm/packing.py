@@ -1,7 +1,8 @@
 """Packing of documents into token-budget batches inside optimal length buckets.
 
 A dynamic program over the global histogram of lengths chooses the bucket boundaries that minimise padding (every
-document is padded to its bucket's boundary).  Inside a bucket a batch holds budget // boundary documents.
+document is padded to its bucket's boundary).  The histogram holds each distinct length; these are at most about the square
+root of twice the corpus' tokens.  Inside a bucket a batch holds budget // boundary documents.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from lodestone.llm.common import saved
 
 #: Buckets, padded tokens per batch, documents of a bucket that are numbered together.
 BUCKETS, BUDGET, LOT = 16, 32_768, 4096
-#: Lengths up to this count one by one in the histogram, longer ones in steps of 1/`EXACT` of a power of two.
+#: Lengths up to this stay as they are in `rounded`, longer ones go in steps of 1/`EXACT` of a power of two.
 EXACT = 256
 
 
@@ -24,11 +25,37 @@ def n_words(text: F.Column) -> F.Column:
 
 
 def rounded(length: F.Column) -> F.Column:
-    """Length rounded up to the histogram's resolution: relative error below 1 / `EXACT`, so the histogram is small."""
+    """Length rounded up, with a relative error below 1 / `EXACT`; `pack` takes exact lengths."""
     step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - int(np.log2(EXACT)))).cast("long")
     return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
 
 
+def _least(cost: np.ndarray, size: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per j from 1 on, the least cost[i] plus padding of a bucket (i, j], and the first such i.
+
+    That i never falls as j grows (padding satisfies the quadrangle inequality), so every second j is searched between
+    the results of its neighbours, level by level.
+    """
+    m = len(size)
+    value, first = np.zeros(m + 1, np.int64), np.zeros(m + 2, np.int64)
+    first[m + 1] = m
+    step = 1 << m.bit_length()
+    while step:
+        j = np.arange(step, m + 1, 2 * step)
+        low, high = first[j - step], np.minimum(first[np.minimum(j + step, m + 1)], j - 1)
+        room = high - low + 1
+        start = np.cumsum(room) - room
+        i = np.arange(room.sum()) - np.repeat(start - low, room)
+        at = np.repeat(j, room)
+        tried = cost[i] + size[at - 1] * (count[at] - count[i]) - (total[at] - total[i])
+        if len(j):
+            value[j] = np.minimum.reduceat(tried, start)
+            hit = np.flatnonzero(tried == value[at])
+            first[j] = i[hit[np.unique(at[hit], return_index=True)[1]]]
+        step //= 2
+    return value, first[: m + 1]
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most `buckets` upper bounds, among `lengths` (ascending), with the least total padding; exact.
 
@@ -38,26 +65,16 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     m = len(lengths)
     if not m:
         return []
-    size, count = lengths.astype(np.float64), np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    total = np.concatenate(([0], np.cumsum(lengths.astype(np.float64) * counts)))
-    cost = np.concatenate(([0], size * count[1:] - total[1:]))
-    choice = np.zeros((min(buckets, m) + 1, m + 1), np.int64)
-    for b in range(2, min(buckets, m) + 1):
-        new = cost.copy()
-        choice[b] = -1
-        for j in range(b, m + 1):
-            i = np.arange(b - 1, j)
-            value = cost[i] + size[j - 1] * (count[j] - count[i]) - (total[j] - total[i])
-            best = int(value.argmin())
-            if value[best] < cost[j]:
-                new[j], choice[b, j] = value[best], i[best]
-        cost = new
-    bounds, j, b = [], m, min(buckets, m)
+    size, count = lengths.astype(np.int64), np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    total = np.concatenate(([0], np.cumsum(size * counts, dtype=np.int64)))
+    cost, choice = np.concatenate(([0], size * count[1:] - total[1:])), [np.zeros(m + 1, np.int64)]
+    for _ in range(2, min(buckets, m) + 1):
+        cost, first = _least(cost, size, count, total)
+        choice.append(first)
+    bounds, j = [], m
     while j > 0:
         bounds.append(int(lengths[j - 1]))
-        while b > 1 and choice[b, j] < 0:
-            b -= 1
-        j, b = (int(choice[b, j]), b - 1) if b > 1 else (0, 1)
+        j = int(choice.pop()[j])
     return bounds[::-1]
 
 
@@ -71,15 +88,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     added = ("n_tokens", "bucket_length", "lot", "batch", "padding")
     length = n_words(F.col(text_col)) if length is None else length
-    sized = docs.withColumn("n_tokens", length.cast("long")).withColumn("_round", rounded(F.col("n_tokens")))
-    histogram = sorted((r["_round"], r["n"]) for r in sized.groupBy("_round").agg(F.count(F.lit(1)).alias("n")).collect())
+    sized = docs.withColumn("n_tokens", length.cast("long"))
+    histogram = sorted((r["n_tokens"], r["n"]) for r in sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     lengths, counts = np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64)
     bounds = boundaries(lengths, counts, buckets)
     upto = np.searchsorted(lengths, bounds, side="right")
     lots = [max(1, -(-int(n) // LOT)) for n in np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(counts)))[upto])))] if bounds else []
     bound, lot = F.lit(bounds[-1] if bounds else 0), F.lit(1)
     for b, n in list(zip(bounds, lots))[::-1]:
-        bound, lot = F.when(F.col("_round") <= b, b).otherwise(bound), F.when(F.col("_round") <= b, n).otherwise(lot)
+        bound, lot = F.when(F.col("n_tokens") <= b, b).otherwise(bound), F.when(F.col("n_tokens") <= b, n).otherwise(lot)
     dealt = sized.withColumn("bucket_length", bound.cast("long")).withColumn("lot", F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), lot).cast("long"))
     order = Window.partitionBy("bucket_length", "lot").orderBy(F.col(id_col).asc_nulls_first())
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")

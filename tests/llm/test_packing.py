@@ -51,3 +51,26 @@ def test_batches_hold_the_budget(spark, monkeypatch):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_lengths_are_exact(spark):
+    lengths = [16_385, 16_386, 20_001, 20_003, 20_063, 33_000, 33_001, 33_100]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    got = pack(docs, length=F.col("n"), buckets=4).toPandas()
+    assert set(got.bucket_length) <= set(lengths)  # boundaries are lengths of documents
+    ones = [1] * len(lengths)
+    assert got.padding.sum() == min(padding(lengths, ones, [*c, lengths[-1]]) for c in itertools.combinations(lengths[:-1], 3))
+
+
+def test_many_distinct_lengths():
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(0, 10**6, 100_000))
+    counts = rng.integers(1, 9, len(lengths))
+    got = np.array(boundaries(lengths, counts, 16))
+    assert len(got) == 16 and got[-1] == lengths[-1]
+    some = np.sort(rng.choice(len(lengths), 300, replace=False))
+    small, times = lengths[some], counts[some]
+    cost = [0] + [padding(small[:j], times[:j], [small[j - 1]]) for j in range(1, 301)]
+    for _ in range(3):  # every split, no monotony
+        cost = [0] + [min(cost[i] + int((times[i:j] * (small[j - 1] - small[i:j])).sum()) for i in range(j)) for j in range(1, 301)]
+    assert padding(small, times, boundaries(small, times, 4)) == cost[-1]
