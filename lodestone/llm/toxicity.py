@@ -21,10 +21,12 @@ from lodestone.llm.shingles import mix, words
 
 #: Words per window and between window starts; hidden units; lengths of character strings (bytes); bits of their tables.
 SPAN, STEP, HIDDEN, GRAMS, BITS = 32, 16, 8, (4, 6, 8), 18
-#: Labelled rows to learn from, per class (those with the smallest hash); windows of each; passes.
-TOXIC, CLEAN, WINDOWS, PASSES = 2_000, 3_000, 64, 40
+#: Labelled rows to learn from, per class (those with the smallest hash); passes.
+TOXIC, CLEAN, PASSES = 2_000, 3_000, 40
 #: Windows of a training text that compete to be its highest, those with the strongest inputs.
 TRIED = 6
+#: Bytes of training texts tokenised at once, and words of them whose windows are laid out at once.
+AT_ONCE, LAID = 1 << 20, 1 << 18
 #: Pseudo-count of the log odds, and the score from which a text counts as toxic.
 PRIOR, CUT = 4.0, 0.3
 
@@ -54,18 +56,49 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return inverse, (mix(distinct + np.uint64(5)) >> shift).astype(np.int64), strings, counts
 
 
+def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """As `tokens`, a few texts at a time: memory follows the words and the distinct words, not the working space."""
+    known, parts, start = np.empty(0, np.uint64), [], 0
+    while start < len(texts):
+        end, size = start + 1, len(texts[start])
+        while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
+            size, end = size + len(texts[end]), end + 1
+        inverse, word, strings, counts = tokens(texts[start:end])
+        # A word is known by its bucket and those of its strings: equal inputs, so equal rows.
+        key = mix(word.astype(np.uint64) + np.uint64(1))
+        for j, (row, bucket) in enumerate(strings):
+            np.add.at(key, row, mix(bucket.astype(np.uint64) + np.uint64((j + 1) << BITS)))
+        new = np.flatnonzero(~np.isin(key, known))
+        new = new[np.unique(key[new], return_index=True)[1]]
+        known = np.concatenate([known, key[new]])
+        place = np.full(len(word), -1)
+        place[new] = np.arange(len(new))
+        fresh = [np.stack([place[row], bucket])[:, place[row] >= 0].astype(np.int32) for row, bucket in strings]
+        fresh = [f[:, np.argsort(f[0], kind="stable")] for f in fresh]
+        order = np.argsort(known)
+        at = order[np.searchsorted(known[order], key)].astype(np.int32)
+        parts.append((at[inverse], word[new], [f + np.array([[len(known) - len(new)], [0]], np.int32) for f in fresh], counts))
+        start = end
+    strings = [np.concatenate([p[2][j] for p in parts], axis=1) for j in range(len(GRAMS))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), strings, np.concatenate([p[3] for p in parts])
+
+
+def presence(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+    """Clean and toxic texts that hold a word or character-string bucket."""
+    counts = np.zeros((1 + len(GRAMS), 2, 1 << BITS), np.float32)
+    for text, y in zip(texts, toxic.astype(int)):
+        _, word, strings, _ = tokens([text])
+        for j, found in enumerate([word, *(s[1] for s in strings)]):
+            counts[j, y, np.unique(found)] += 1
+    return counts
+
+
 class Odds:
-    """Log odds of word and character-string buckets, from their presence in toxic and clean texts."""
-
-    def __init__(self, texts: list[bytes], toxic: np.ndarray):
-        size = 1 << BITS
-        counts = np.zeros((1 + len(GRAMS), 2, size), np.float32)
-        for text, y in zip(texts, toxic.astype(int)):
-            _, word, strings, _ = tokens([text])
-            for j, found in enumerate([word, *(s[1] for s in strings)]):
-                counts[j, y, np.unique(found)] += 1
+    """Log odds of word and character-string buckets, from their `presence` in toxic and clean texts."""
+
+    def __init__(self, counts: np.ndarray, toxic: np.ndarray):
         bad = max(1, int(toxic.sum()))
-        share = bad / max(2, len(texts))
+        share = bad / max(2, len(toxic))
         odds = np.log(counts[:, 1] + PRIOR * share) - np.log(counts[:, 0] + PRIOR * (1 - share)) - np.log(share / (1 - share))
         self.tables = np.clip(odds, -4, 8).astype(np.float32)
         self.tables[(counts.sum(axis=1)) == 0] = 0
@@ -197,6 +230,17 @@ class Model:
         return np.round(_sigmoid(np.clip(out + self.shift, -500, 500)) * (counts > 0), 6)  # sums may differ in their last bits by batch
 
 
+def _laid(counts: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of the texts as rows of their words, and their texts, some texts at a time; ids ends in the row that pads."""
+    ends, start = np.cumsum(counts), 0
+    while start < len(counts):
+        before = ends[start] - counts[start]
+        end = max(start + 1, int(np.searchsorted(ends, before + LAID, side="right")))
+        place, text = windows(counts[start:end])
+        yield ids[np.where(place < 0, len(ids) - 1, place + before)], text + start
+        start = end
+
+
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     """The network learns each half of the texts with log odds from the other half; the model gets those of all."""
     if not toxic.any() or toxic.all():
@@ -204,65 +248,54 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     half = np.zeros(len(texts), bool)
     for y in (False, True):
         half[np.flatnonzero(toxic == y)[::2]] = True
-    odds = [Odds([t for t, h in zip(texts, half) if h == side], toxic[half == side]) for side in (False, True)]
-    parts = [tokens([t for t, h in zip(texts, half) if h != side]) for side in (False, True)]
-    inputs = [o.inputs(p[1], p[2]) for o, p in zip(odds, parts)]
+    held = [presence([t for t, h in zip(texts, half) if h == side], toxic[half == side]) for side in (False, True)]
+    parts = [vocabulary([t for t, h in zip(texts, half) if h != side]) for side in (False, True)]
+    inputs = [Odds(c, toxic[half == side]).inputs(p[1], p[2]) for c, side, p in zip(held, (False, True), parts)]
     rows = np.concatenate([inputs[0][:-1], inputs[1]])
-    ids = np.concatenate([parts[0][0], parts[1][0] + len(parts[0][1]), [len(rows) - 1]])
-    place, text = windows(np.concatenate([p[3] for p in parts]))
+    ids = np.concatenate([parts[0][0], parts[1][0] + np.int32(len(parts[0][1])), np.array([len(rows) - 1], np.int32)])
+    counts = np.concatenate([p[3] for p in parts])
+    del parts, inputs
     y = np.concatenate([toxic[half], toxic[~half]]).astype(np.float32)
     network = Network(2 + len(GRAMS))
     sample = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    every, of = place, text
-    strength = rows[:, 1:].sum(axis=1)[ids[place]].max(axis=1)
-    order = np.lexsort((-strength, text))
-    rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-    order = order[rank < TRIED]
-    place, text, strength = place[order], text[order], strength[order]
+    power, best = rows[:, 1:].sum(axis=1), []
+    for place, text in _laid(counts, ids):
+        strength = power[place].max(axis=1)
+        order = np.lexsort((-strength, text))
+        rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+        order = order[rank < TRIED]
+        best.append((place[order], text[order], strength[order]))
+    place, text, strength = (np.concatenate([b[i] for b in best]) for i in range(3))
     for step in range(1, PASSES * 4 + 1):
         if step % 8 == 1:  # the highest window of each text, first by its strongest input
-            value = strength if step == 1 else np.concatenate([network.logits(rows, ids[place[a : a + 8192]]) for a in range(0, len(place), 8192)])
+            value = strength if step == 1 else np.concatenate([network.logits(rows, place[a : a + 8192]) for a in range(0, len(place), 8192)])
             order = np.lexsort((-value, text))
             top = order[np.concatenate(([True], text[order][1:] != text[order][:-1]))] if len(order) else order
-        g = network.gradient(rows, ids[place[top]], y[text[top]], sample[text[top]])
+        g = network.gradient(rows, place[top], y[text[top]], sample[text[top]])
         for k, (m, v) in moments.items():
             grad = g[k] + 1e-4 * network.p[k]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             network.p[k] = (network.p[k] - 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     logit, bad = np.full(len(y), -30.0), y > 0
-    for at in range(0, len(every), 8192):
-        np.maximum.at(logit, of[at : at + 8192], network.logits(rows, ids[every[at : at + 8192]]))
+    for place, text in _laid(counts, ids):
+        for at in range(0, len(place), 8192):
+            np.maximum.at(logit, text[at : at + 8192], network.logits(rows, place[at : at + 8192]))
     cuts = np.unique(np.quantile(logit, np.linspace(0, 1, 400)))
     value = [(logit[bad] >= c).mean() - 3 * (logit[~bad] >= c).mean() for c in cuts]
     best = np.flatnonzero(np.array(value) >= max(value) - 1e-12)
-    return Model(Odds(texts, toxic), network, float(np.log(CUT / (1 - CUT)) - cuts[best[len(best) // 2]]))
-
-
-def _some_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training texts of at most `WINDOWS` windows, spread evenly over the text."""
-    for batch, texts in by_bytes(batches, "_t"):
-        _, starts, ends, counts = words(texts, _BREAK)
-        joined = b" ".join(texts) + b" "
-        first, cut = np.cumsum(counts) - counts, []
-        for i, n in enumerate(counts.tolist()):
-            pieces = max(1, -(-n // SPAN))
-            chosen = sorted({p * pieces // min(pieces, WINDOWS) for p in range(min(pieces, WINDOWS))})
-            spans = [(first[i] + SPAN * p, first[i] + min(n, SPAN * (p + 1)) - 1) for p in chosen] if n else []
-            cut.append(b" ".join(joined[starts[a] : ends[b]] for a, b in spans))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary()), batch.column(2)], ["_id", "_t", "_y"])
+    return Model(Odds(held[0] + held[1], toxic), network, float(np.log(CUT / (1 - CUT)) - cuts[best[len(best) // 2]]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 4, fold: int = 2) -> Model:
-    """Fitted on the driver, on `WINDOWS` windows of `TOXIC` and `CLEAN` labelled texts at most."""
+    """Fitted on the driver, on `TOXIC` and `CLEAN` labelled texts at most, whole."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     by_hash = lambda y, n: known.where((F.col("_y") > 0) == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = F.broadcast(by_hash(True, TOXIC).union(by_hash(False, CLEAN)))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(chosen, "_id").select("_id", "_t", "_y")
-    found = rows.mapInArrow(_some_windows, f"_id {rows.schema['_id'].dataType.simpleString()}, _t binary, _y int").collect()
-    found = sorted((r["_id"], bytes(r["_t"]), r["_y"]) for r in found)
+    found = sorted((r["_id"], bytes(r["_t"]), r["_y"]) for r in rows.withColumn("_t", F.col("_t").cast("binary")).collect())
     return fit([r[1] for r in found], np.array([r[2] > 0 for r in found], bool))
 
 
