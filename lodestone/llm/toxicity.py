@@ -22,7 +22,7 @@ from lodestone.llm.shingles import mix, words
 #: Words per window and between window starts; hidden units; lengths of character strings (bytes); bits of their tables.
 SPAN, STEP, HIDDEN, GRAMS, BITS = 32, 16, 8, (4, 6, 8), 18
 #: Labelled rows to learn from, per class (those with the smallest hash); passes.
-TOXIC, CLEAN, PASSES = 2_000, 3_000, 40
+TOXIC, CLEAN, PASSES = 2_000, 6_000, 40
 #: Windows of a training text that compete to be its highest, those with the strongest inputs.
 TRIED = 6
 #: Bytes of training texts tokenised at once, and words of them whose windows are laid out at once.
