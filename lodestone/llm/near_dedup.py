@@ -2,20 +2,22 @@
 
 Every set of word shingles is mapped to `WIDTH` minwise tokens.  A tree of the join branches a set by the tokens at
 coordinates that the node's own key selects (1 / similarity of them on average, 1 at least), so similar sets keep
-meeting and others part.  Independent trees repeat this until a pair at the threshold is missed with small
-probability.  In detail:
+meeting and others part.  Independent trees repeat this: as many as find a pair exactly at the threshold with
+probability `RECALL` if its node is branched down to `DEPTH` (nodes compared before that find more).  In detail:
 
 * sets that are equal form one class first; only class representatives go on;
 * in every first-level node, all members are held against one member (the pivot, drawn per node): linear in the node;
 * nodes whose members are still in more than one component are compared exhaustively if they have `LEAF` members at
   most; if they have `LEAF` members at most outside their largest component, these are compared with all, in blocks;
   other nodes are branched further (what is left after `DEPTH` levels is compared in blocks too);
-* an estimate from the minwise tokens, five standard errors below the threshold, sorts out hopeless pairs; all
-  others are confirmed on the full sets.
+* a node is compared twice: by an estimate from the minwise tokens, five standard errors below the threshold, which
+  leaves the members that may be linked to another; then on the full sets of these.  Each block puts out links that
+  connect what its pairs connect, never more than it has members, so no step grows with the pairs of a group.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,17 +30,34 @@ from lodestone.llm.common import by_bytes, saved, small_batches
 from lodestone.llm.components import components
 from lodestone.llm.shingles import mix, sets
 
-#: Minwise tokens per set, independent trees, members compared exhaustively, levels.
-WIDTH, TREES, LEAF, DEPTH = 64, 10, 128, 8
+#: Minwise tokens per set, members compared exhaustively, levels.
+WIDTH, LEAF, DEPTH = 64, 1024, 8
+#: Probability that a pair exactly at the threshold meets at the deepest level of some tree.
+RECALL = 0.97
 
 _RANDOM = np.random.default_rng(13579)
 _ORDER = _RANDOM.integers(0, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _second(percent: int) -> float:
+    """Probability that a node branches by a second coordinate: 1 / similarity coordinates on average."""
+    return 100 / percent - 1
+
+
+def met(percent: int, trees: int, levels: int) -> float:
+    """Probability that a pair exactly at the threshold shares a node `levels` below the roots of some tree."""
+    at, two, p = percent / 100, _second(percent), 1.0
+    for _ in range(levels + 1):
+        once = at * p
+        p = (1 - two) * once + two * (1 - (1 - once) ** 2)
+    return 1 - (1 - p) ** trees
+
+
 def _roots(percent: int) -> list[tuple[int, int]]:
-    """(tree, coordinate) of the root of every tree."""
+    """(tree, coordinate) of the roots of every tree."""
+    trees = next(n for n in range(1, 1000) if met(percent, n, DEPTH) >= RECALL)
     rng = np.random.default_rng(24680)
-    return [(t, int(c)) for t in range(TREES) for c in rng.choice(WIDTH, 1 + int(rng.random() < 100 / percent - 1), replace=False)]
+    return [(t, int(c)) for t in range(trees) for c in rng.choice(WIDTH, 1 + int(rng.random() < _second(percent)), replace=False)]
 
 
 def _sketch(k: int, percent: int):
@@ -96,55 +115,124 @@ def _likely(percent: int):
     return run
 
 
-def _compare_nodes(percent: int):
-    """Rows sorted by node (_v, _block): likely pairs of members of different components; at least one side asks.
+def _values(column: pa.Array) -> list:
+    """Values of a column; lists of numbers as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in itertools.pairwise(at.tolist())]
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first `keys` columns: those, and the rows' other columns."""
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        for row in zip(*map(_values, batch.columns)):
+            if row[:keys] != last:
+                if held:
+                    yield last, held
+                held, last = [], row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield last, held
 
-    Of two that ask, the one of the lesser key takes the other where that one stays: in one block whatever the order of
-    rows, which may differ between blocks.
+
+class _Block:
+    """Members of a block: each that asks is held against those that stay, are in another component and are of like size.
+
+    Of two that ask, the one of the lesser key takes the other where that one stays: in one block whatever the order
+    of rows, which may differ between blocks.
     """
-    least = _least_matches(percent)
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        keys = [r[0] for r in rows]
-        rank = np.unique(np.frombuffer(b"".join(keys), "S16"), return_inverse=True)[1]
-        _, label = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "S16"), return_inverse=True)
-        tokens = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(-1, WIDTH)
-        size = np.array([r[3] for r in rows])
-        asks, stays = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        for i in np.flatnonzero(asks):
-            other = stays & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            other &= ~asks | (rank > rank[i])
-            at = np.flatnonzero(other)
-            at = at[(tokens[at] == tokens[i]).sum(axis=1) >= least]
-            for j in at.tolist():
-                yield keys[i], keys[j]
+    def __init__(self, keys: list[bytes], labels: list[bytes], size: list[int], asks: list[bool], stays: list[bool], percent: int):
+        self.rank = np.unique(np.frombuffer(b"".join(keys), "S16"), return_inverse=True)[1]
+        self.label = np.unique(np.frombuffer(b"".join(labels), "S16"), return_inverse=True)[1]
+        self.size, self.asks, self.stays, self.percent = np.array(size), np.array(asks), np.array(stays), percent
+
+    def askers(self) -> np.ndarray:
+        return np.flatnonzero(self.asks)
+
+    def others(self, i: int) -> np.ndarray:
+        found = self.stays & (self.label != self.label[i]) & (~self.asks | (self.rank > self.rank[i]))
+        return np.flatnonzero(found & (100 * np.minimum(self.size, self.size[i]) >= self.percent * np.maximum(self.size, self.size[i])))
+
+
+def _candidates(percent: int):
+    """Rows sorted by (_v, _block): the members whose tokens leave a link to another component possible, and `_sub`, one
+    number for members of a block that such pairs connect."""
+    least = _least_matches(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            found = sorted({(min(p), max(p)) for p in pairs(rows)})
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["_a", "_b"])
+        for (node, at), rows in _groups(batches, 2):
+            keys, labels, tokens, size, asks, stays = map(list, zip(*rows))
+            block = _Block(keys, labels, size, asks, stays, percent)
+            tokens = np.frombuffer(b"".join(tokens), "<u2").reshape(-1, WIDTH)
+            sub, paired = np.arange(len(rows)), np.zeros(len(rows), bool)
+            for i in block.askers().tolist():
+                near = block.others(i)
+                near = near[(tokens[near] == tokens[i]).sum(axis=1) >= least]
+                if len(near):
+                    near = np.append(near, i)
+                    paired[near] = True
+                    sub[np.isin(sub, sub[near])] = sub[i]
+            some = np.flatnonzero(paired).tolist()
+            if some:
+                columns = [pa.array([node] * len(some), pa.int64()), pa.array([at] * len(some), pa.int32()), pa.array(sub[some], pa.int32())]
+                columns += [pa.array([c[i] for i in some], pa.binary()) for c in (keys, labels)]
+                columns += [pa.array([c[i] for i in some], pa.bool_()) for c in (asks, stays)]
+                yield pa.RecordBatch.from_arrays(columns, ["_v", "_block", "_sub", "_h", "_l", "_asks", "_stays"])
+
+    return run
 
-        held: list[tuple] = []
-        last = None
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if row[:2] != last:
-                    if held:
-                        yield out(held)
-                    held, last = [], row[:2]
-                held.append(row[2:])
-        if held:
-            yield out(held)
+
+def _linked(percent: int):
+    """Rows sorted by (_v, _block, _sub): links between components, confirmed on the full sets; none between members
+    that earlier links of the block connect."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        keys, labels, asks, stays, sets_ = map(list, zip(*rows))
+        size = np.array([len(s) for s in sets_])
+        block = _Block(keys, labels, size, asks, stays, percent)
+        names, flat = np.unique(np.concatenate(sets_), return_inverse=True)
+        starts = np.cumsum(size) - size
+        mine = np.zeros(len(names), np.int64)
+        for i in block.askers().tolist():
+            near = block.others(i)
+            if not len(near):
+                continue
+            own = flat[starts[i] : starts[i] + size[i]]
+            mine[own] = 1
+            n = size[near]
+            ends = np.cumsum(n)
+            shared = np.add.reduceat(mine[flat[np.arange(ends[-1]) + np.repeat(starts[near] - ends + n, n)]], ends - n)
+            mine[own] = 0
+            near = near[100 * shared >= percent * (n + size[i] - shared)]
+            if len(near):
+                reached, first = np.unique(block.label[near], return_index=True)
+                for j in near[first].tolist():
+                    yield min(keys[i], keys[j]), max(keys[i], keys[j])
+                block.label[np.isin(block.label, reached)] = block.label[i]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 3):
+            found = list(links(rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["_u", "_v"])
 
     return run
 
 
+def _sets_of(wanted: DataFrame, reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The full sets of the classes `wanted` (_h)."""
+    ids = reps.join(wanted.distinct(), "_h").select("_id").distinct()
+    return saved(texts.join(ids, "_id").select("_t").mapInArrow(_full_sets(k), "_h binary, _set array<long>").dropDuplicates(["_h"]), "sets")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (_a, _b) whose full sets reach the threshold, as links."""
     pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.col("_a").alias("_h")).union(pairs.select("_b")).distinct()
-    ids = reps.join(wanted, "_h").select("_id").distinct()
-    full = saved(texts.join(ids, "_id").select("_t").mapInArrow(_full_sets(k), "_h binary, _set array<long>").dropDuplicates(["_h"]), "sets")
+    full = _sets_of(pairs.select(F.col("_a").alias("_h")).union(pairs.select("_b")), reps, texts, k)
     both = pairs.join(full.select(F.col("_h").alias("_a"), F.col("_set").alias("_x")), "_a").join(full.select(F.col("_h").alias("_b"), F.col("_set").alias("_y")), "_b")
     shared = both.select("_a", "_b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_i"), (F.size("_x") + F.size("_y")).cast("long").alias("_n"))
     return saved(shared.where(f"100 * _i >= {percent} * (_n - _i)").select(F.col("_a").alias("_u"), F.col("_b").alias("_v")), "confirmed")
@@ -154,7 +242,7 @@ def _branch(members: DataFrame, percent: int) -> DataFrame:
     """Members (_v, _h, _s, ...) of large nodes, moved to the children that their tokens choose."""
     chosen = lambda salt: F.pmod(F.xxhash64(F.col("_v"), F.lit(salt)), F.lit(WIDTH)).cast("int")
     child = lambda salt: F.xxhash64("_v", chosen(salt), F.substring(F.col("_s"), 2 * chosen(salt) + 1, F.lit(2)))
-    second = F.pmod(F.xxhash64(F.col("_v"), F.lit(3)), F.lit(1000)) < round(1000 * (100 / percent - 1))
+    second = F.pmod(F.xxhash64(F.col("_v"), F.lit(3)), F.lit(1000)) < round(1000 * _second(percent))
     keys = F.when(second & (chosen(1) != chosen(2)), F.array(child(1), child(2))).otherwise(F.array(child(1)))
     return members.withColumn("_v", F.explode(keys))
 
@@ -205,8 +293,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = asked[0]
     for more in asked[1:]:
         rest = rest.unionByName(more)
-    found = rest.repartition(F.col("_v"), F.col("_block")).sortWithinPartitions("_v", "_block").mapInArrow(_compare_nodes(percent), "_a binary, _b binary").distinct()
-    links = links.unionByName(_confirmed(found, reps, texts, k, percent))
+    marked = "_v long, _block int, _sub int, _h binary, _l binary, _asks boolean, _stays boolean"
+    likely = saved(rest.repartition(F.col("_v"), F.col("_block")).sortWithinPartitions("_v", "_block").mapInArrow(_candidates(percent), marked), "likely")
+    full = likely.join(_sets_of(likely.select("_h"), reps, texts, k), "_h").select("_v", "_block", "_sub", "_h", "_l", "_asks", "_stays", "_set")
+    found = full.repartition(F.col("_v"), F.col("_block"), F.col("_sub")).sortWithinPartitions("_v", "_block", "_sub").mapInArrow(_linked(percent), "_u binary, _v binary")
+    links = links.unionByName(saved(found, "confirmed"))
     root = components(links).withColumnRenamed("_u", "_h")
     least = reps.join(root, "_h", "left").withColumn("_root", F.coalesce("_root", "_h"))
     least = saved(least.groupBy("_root").agg(F.min("_id").alias("_least")).join(least.select("_h", "_root"), "_root").select("_h", "_least", F.col("_root").alias("_c")), "roots")

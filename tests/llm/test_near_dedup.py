@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -82,16 +83,89 @@ def test_one_of_each_class_stays(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def joined(links):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return {x: find(x) for x in list(parent)}
+
+
 @pytest.mark.parametrize("seed", range(8))
-def test_blocks_compare_whatever_the_order_of_rows(seed):
+def test_blocks_connect_what_is_linked_whatever_the_order_of_rows(seed):
+    """Every pair with a side that asks is held in some block; links connect the linked, and are fewer than members."""
     rng = random.Random(seed)
-    members = [(bytes([n]) * 16, n > 2, n % 3) for n in rng.sample(range(3, 200), 9) + [1, 2]]  # key, asks, own block
-    tokens, names = bytes(2 * module.WIDTH), ["_v", "_block", "_h", "_l", "_s", "_n", "_asks", "_stays"]
-    rows = []
+    members = []  # key, label, asks, own block, set
+    for n in rng.sample(range(3, 200), 40) + [1, 2]:
+        base = 1000 * rng.randrange(3)
+        values = set(range(base, base + 60)) - {base + rng.randrange(60) for _ in range(rng.choice([0, 2, 6]))}
+        asks = n > 2 and rng.random() < 0.7
+        members.append((bytes([n]) * 16, bytes([n]) * 16 if asks else bytes(16), asks, n % 3, np.array(sorted(values), np.int64)))
+    tokens = lambda x: np.unique(x // 1000).astype("<u2").repeat(module.WIDTH).tobytes()  # noqa: E731  alike within a base
+    rows, fulls = [], []
     for block in range(3):
-        here = [(1, block, h, h if asks else bytes(16), tokens, 50, asks, own == block) for h, asks, own in members if asks or own == block]
-        rows += rng.sample(here, len(here))
-    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])]
-    got = [tuple(p.values()) for b in module._compare_nodes(85)(batches) for p in b.to_pylist()]
-    want = [tuple(sorted((a, b))) for (a, x, _), (b, y, _) in itertools.combinations(members, 2) if x or y]
-    assert sorted(got) == sorted(want)  # each pair with a side that asks, once
+        here = [m for m in members if m[2] or m[3] == block]
+        for h, label, asks, own, s in rng.sample(here, len(here)):
+            rows.append(dict(_v=1, _block=block, _h=h, _l=label, _s=tokens(s), _n=len(s), _asks=asks, _stays=own == block))
+    likely = [r for b in module._candidates(85)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    sets = {m[0]: m[4] for m in members}
+    for key, group in itertools.groupby(sorted(likely, key=lambda r: (r["_block"], r["_sub"])), lambda r: (r["_block"], r["_sub"])):
+        group = list(group)
+        assert len({sets[r["_h"]][0] // 1000 for r in group}) == 1
+        rng.shuffle(group)
+        fulls += [{**r, "_set": sets[r["_h"]].tolist()} for r in group]
+    typed = pa.schema([("_v", pa.int64()), ("_block", pa.int32()), ("_sub", pa.int32()), ("_h", pa.binary()), ("_l", pa.binary()), ("_asks", pa.bool_()), ("_stays", pa.bool_()), ("_set", pa.list_(pa.int64()))])
+    got = [tuple(p.values()) for b in module._linked(85)([pa.RecordBatch.from_pylist(fulls[i : i + 7], typed) for i in range(0, len(fulls), 7)]) for p in b.to_pylist()]
+    labels = [(h, label) for h, label, *_ in members]
+    want = [(a[0], b[0]) for a, b in itertools.combinations(members, 2) if (a[2] or b[2]) and 100 * len(set(a[4]) & set(b[4])) >= 85 * len(set(a[4]) | set(b[4]))]
+    assert len(got) < len(fulls) and {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
+    mine, theirs = joined(got + labels), joined(want + labels)
+    assert len(set(mine.values())) == len(set(theirs.values()))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_reach_the_stated_recall(percent):
+    """Pairs exactly at the threshold, followed down the trees by the rules of `_roots` and `_branch`."""
+    rng = random.Random(percent)
+    trees = 1 + max(t for t, _ in module._roots(percent))
+    found = 0
+    for _ in range(2000):
+        for _ in range(trees):
+            nodes = 1
+            for _ in range(module.DEPTH + 1):
+                nodes = sum(rng.random() < percent / 100 for _ in range(sum(1 + (rng.random() < module._second(percent)) for _ in range(nodes))))
+            if nodes:
+                found += 1
+                break
+    assert found / 2000 > module.RECALL - 0.015 and module.met(percent, trees, 0) > 0.9999
+
+
+def test_a_loose_group_below_the_threshold(spark, monkeypatch):
+    """Copies of one text that mostly miss the threshold among themselves: branched, in blocks, none lost."""
+    monkeypatch.setattr(module, "LEAF", 16)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([1, 4, 6, 9])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:3] for r in got) == brute(rows, 3, 85)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [rng.choice("abcdefghij") * rng.randint(1, 5) + str(rng.randrange(500)) for _ in range(60_000)]
+    other = list(words)
+    for i in range(0, 60_000, 100):
+        other[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:40_000]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:3] for r in got) == brute(rows, 3, 85)
