@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_bytes, saved, small_batches
+from lodestone.llm.common import by_bytes, saved, small_batches, unused
 from lodestone.llm.components import components
 from lodestone.llm.shingles import mix, sets
 
@@ -306,13 +306,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each near-duplicate class, that of the least id; texts without words all stay, but
-    repeated rows (equal id and text) are one."""
+    repeated rows (equal id and text) are one.  All columns pass through, whatever their names."""
     found = near_duplicates(docs, id_col, text_col, k, percent)
     key = F.struct(F.col("_id").isNull().alias("_none"), F.col("_id"), F.col("_q"))
     linked = found.where("_c is not null").groupBy("_c").agg(F.min(key).alias("_first")).select("_first._id", "_first._q")
-    keep = saved(linked.unionByName(found.where("_c is null").select("_id", "_q")).select(F.xxhash64("_id").alias("_k"), "_q").distinct(), "kept")
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col))).withColumn("_q", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return keyed.join(keep, ["_k", "_q"]).dropDuplicates(["_k", "_q"]).drop("_k", "_q")
+    k_, q_ = unused(docs, "_k", "_q")
+    first = linked.unionByName(found.where("_c is null").select("_id", "_q"))
+    keep = saved(first.select(F.xxhash64("_id").alias(k_), F.col("_q").alias(q_)).distinct(), "kept")
+    keyed = docs.withColumn(k_, F.xxhash64(F.col(id_col))).withColumn(q_, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(keep, [k_, q_]).dropDuplicates([k_, q_]).drop(k_, q_)
 
 
 def _blocks(live: DataFrame) -> DataFrame:

@@ -160,6 +160,13 @@ def test_a_loose_group_below_the_threshold(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in got) == brute(rows, 3, 85)
 
 
+def test_columns_with_working_names_pass_through(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9, 10), (2, "a b c d e f", 7, 8, 9, 10), (3, "", 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _K long, _q long, _id long, _c long")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 def test_very_long_texts(spark):
     rng = random.Random(3)
     words = [rng.choice("abcdefghij") * rng.randint(1, 5) + str(rng.randrange(500)) for _ in range(60_000)]
