@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Where intermediate tables go if the session names no folder (tests and local runs only).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -17,6 +18,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the cluster's shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = LOCAL_CHECKPOINTS
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -70,3 +73,22 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 20)
             size += len(v)
         if start < len(values):
             yield batch.slice(start), values[start:]
+
+
+def with_columns(docs: DataFrame, text_col: str, added: str, work: Callable[[list[bytes]], list[pa.Array]], limit: int = 1 << 20) -> DataFrame:
+    """`docs` and the columns `added` (a schema), which `work` computes of whole texts (UTF-8, null as empty), some at a time.
+
+    All columns of `docs` pass through; one named like an added column (in any case) is replaced.  They travel as one struct,
+    so none can meet a working column.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_bytes(batches, "_t", limit):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *work(texts)], ["_row", *names])
+
+    names = T.StructType.fromDDL(added).fieldNames()
+    own = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+    schema = T.StructType([T.StructField("_row", T.StructType([T.StructField(f.name, f.dataType) for f in own])), *T.StructType.fromDDL(added).fields])
+    row = F.struct(*[F.col(f"`{f.name}`") for f in own]).alias("_row")
+    out = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("_t")).mapInArrow(run, schema)
+    return out.select(*[F.col(f"_row.`{f.name}`") for f in own], *[F.col(f"`{n}`") for n in names])

@@ -98,7 +98,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     for b, n in list(zip(bounds, lots))[::-1]:
         bound, lot = F.when(F.col("n_tokens") <= b, b).otherwise(bound), F.when(F.col("n_tokens") <= b, n).otherwise(lot)
     dealt = sized.withColumn("bucket_length", bound.cast("long")).withColumn("lot", F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), lot).cast("long"))
-    order = Window.partitionBy("bucket_length", "lot").orderBy(F.col(id_col).asc_nulls_first())
+    order = Window.partitionBy("bucket_length", "lot").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens")
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
     out = dealt.withColumn("batch", F.floor((F.row_number().over(order) - 1) / capacity).cast("long")).withColumn("padding", F.col("bucket_length") - F.col("n_tokens"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added], *added)

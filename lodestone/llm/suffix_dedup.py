@@ -27,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import by_bytes, saved, small_batches
 from lodestone.llm.induced_sort import repeated
@@ -299,10 +300,9 @@ def _cut_out(length: int, keep_text: bool):
                 runs.append(len(cuts))
                 shas.append(hashlib.sha256(rest).hexdigest())
                 left.append(rest.decode("utf-8", "ignore") if keep_text else None)
-            names = [n for n in batch.schema.names if n not in ("_t", "_spans")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(left, pa.string())],
-                [*names, "_n_bytes", "_n_removed", "_n_spans", "_sha", "_left"],
+                [batch.column(batch.schema.get_field_index("_row")), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(left, pa.string())],
+                ["_row", "_n_bytes", "_n_removed", "_n_spans", "_sha", "_left"],
             )
 
     return run
@@ -315,12 +315,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _left (the rest as text; bytes of a character that was cut through go).  Matches stay inside a document; all
     occurrences go, the first too.  Null texts count as empty; texts shorter than `length` stay whole; a repeated
     row is a further occurrence, so both lose their whole text; rows with a null id take part like others; an empty
-    table gives an empty one.  Other columns pass through unless they start with an underscore.
+    table gives an empty one.  Other columns pass through, whatever their names; one named like an added column is
+    replaced.
     """
     places = repeated_places(docs, id_col, text_col, length)
-    own = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    keyed = docs.select(*[F.col(f"`{f.name}`") for f in own], *_keys(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("_t"))
-    packed = keyed.mapInArrow(_shrink, f"{schema}, _k long, _q long, _t binary")
+    added = T.StructType.fromDDL("_n_bytes long, _n_removed long, _n_spans long, _sha string, _left string")
+    own = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() not in added.fieldNames()]
+    row = T.StructField("_row", T.StructType(own))
+    keyed = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in own]).alias("_row"), *_keys(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("_t"))
+    keys = [T.StructField(k, T.LongType()) for k in ("_k", "_q")]
+    packed = keyed.mapInArrow(_shrink, T.StructType([row, *keys, T.StructField("_t", T.BinaryType())]))
     joined = packed.join(places, ["_k", "_q"], "left").drop("_k", "_q")
-    return joined.mapInArrow(_cut_out(length, keep_text), f"{schema}, _n_bytes long, _n_removed long, _n_spans long, _sha string, _left string")
+    out = joined.mapInArrow(_cut_out(length, keep_text), T.StructType([row, *added.fields]))
+    return out.select(*[F.col(f"_row.`{f.name}`") for f in own], *added.fieldNames())

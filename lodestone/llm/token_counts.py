@@ -13,14 +13,14 @@ and the count at each terminal is stored.  Characters that no piece covers fall
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_bytes, small_batches
+from lodestone.llm.common import small_batches, with_columns
 
 #: Terminal counts kept per task, and text per trie.
 TERMINALS, TEXT = 400_000, 4 << 20
@@ -85,25 +85,21 @@ class Counter:
         return [(len(f), sum([known[w] for w in f])) for f in found]
 
 
-def _count(model):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model.value)
-        for batch, texts in by_bytes(batches, "_count_text", TEXT):
-            names = [n for n in batch.schema.names if n != "_count_text"]
-            got = counter.counts([t.decode("utf-8", "replace") for t in texts])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], [*names, "_pretokens", "_tokens"])
-
-    return run
-
-
 def token_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """`docs` with `_pretokens` and `_tokens` of every whole text.
 
     Null texts and texts without words have 0 of both; each row is counted by itself, so ids may be null or repeated;
-    an empty table gives an empty one.
+    an empty table gives an empty one.  Other columns pass through, whatever their names; one named like an added
+    column is replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1024)
-    shared = spark.sparkContext.broadcast(unigram(path))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_count_text", F.col(text_col).cast("string")).mapInArrow(_count(shared), f"{fields}, _pretokens long, _tokens long")
+    small_batches(docs.sparkSession, 1024)
+    shared = docs.sparkSession.sparkContext.broadcast(unigram(path))
+    counters: list[Counter] = []
+
+    def work(texts: list[bytes]) -> list[pa.Array]:
+        if not counters:  # one for a task
+            counters.append(Counter(shared.value))
+        got = counters[0].counts([t.decode("utf-8", "replace") for t in texts])
+        return [pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)]
+
+    return with_columns(docs, text_col, "_pretokens long, _tokens long", work, TEXT)

@@ -8,14 +8,14 @@ are read, most of them twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_bytes, small_batches
+from lodestone.llm.common import small_batches, with_columns
 from lodestone.llm.quality import held_out
 from lodestone.llm.shingles import mix, words
 
@@ -299,23 +299,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r[1] for r in found], np.array([r[2] > 0 for r in found], bool))
 
 
-def _score(model):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_bytes(batches, "_score_text"):
-            names = [n for n in batch.schema.names if n != "_score_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(model.value.score(texts))], [*names, "_score"])
-
-    return run
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with `_score` (0 to 1, higher: more toxic; toxic from `CUT` on) of every whole text.
 
     Null and empty texts and texts without words score 0; repeated rows score the same; an empty table gives an
-    empty one; without labels of both classes every score is 0.
+    empty one; without labels of both classes every score is 0.  Other columns pass through, whatever their names; one
+    named `_score` is replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    shared = spark.sparkContext.broadcast(model)
-    return docs.withColumn("_score_text", F.col(text_col).cast("string")).mapInArrow(_score(shared), f"{fields}, _score double")
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return with_columns(docs, text_col, "_score double", lambda texts: [pa.array(shared.value.score(texts))])

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from lodestone.llm.decontaminate import allowed, distance, embed, gram_of, held_items
+import lodestone.llm.decontaminate as module
+from lodestone.llm.decontaminate import allowed, distance, edited, embed, gram_of, held_items
 
 
 def split(text):
@@ -76,3 +78,39 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert held_items(docs, none).collect()[0]._items == []
     assert held_items(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+@pytest.mark.parametrize("size", [5, 10, 20, 40, 80, 150])
+def test_recall_by_length(size, share):
+    """Edited items amid other words of a shared vocabulary: at least 0.9 of them, at most edits too."""
+    rng = np.random.default_rng(size)
+    items = [(i, " ".join(f"v{w}" for w in rng.integers(0, 2000, size).tolist())) for i in range(60)]
+    texts = []
+    for i, text in items:
+        own = [int(w[1:]) for w in text.split()]
+        words = edited(own, int(share * size + 1e-9), rng)
+        around = [rng.integers(0, 2000, int(n)).tolist() for n in rng.integers(0, 50, 2)]
+        texts.append(" ".join(f"v{w}" for w in [*around[0], *words, *around[1]]).encode())
+    found = module.Items(items).find(texts)
+    assert np.mean([i in f for (i, _), f in zip(items, found)]) >= 0.9
+
+
+def test_blocks_of_items_in_passes(spark, monkeypatch):
+    docs, items = corpus()
+    df = spark.createDataFrame([(i, t, "u") for i, t in docs], "doc_id long, text string, _before string")
+    known = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted((str(r.doc_id), r.text or "", r._items) for r in held_items(df, known).collect())
+    monkeypatch.setattr(module, "BLOCK", 10)
+    got = held_items(df, known)
+    assert got.columns == ["doc_id", "text", "_before", "_items"]
+    assert sorted((str(r.doc_id), r.text or "", r._items) for r in got.collect()) == whole
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(5000)}" for _ in range(100_000)]
+    words[70_000:70_000] = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:70_000]))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "alpha beta gamma delta epsilon zeta"), (8, " ".join(words[20:90]))], "item_id long, text string")
+    assert sorted((r.doc_id, r._items) for r in held_items(docs, items).collect()) == [(1, [8, 9]), (2, [8])]
