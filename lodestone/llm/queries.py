@@ -43,8 +43,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.suffix_dedup import remove_repeats
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = remove_repeats(docs, length=400, keep_text=False)
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
+    out = remove_repeats(docs, length=400)
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"), F.col("_left").alias("text"))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

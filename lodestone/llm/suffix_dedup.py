@@ -44,7 +44,7 @@ _MIX = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np
 _BASE = 0x9E3779B97F4A7C15
 
 _PLACES = "_k long, _q long, _a long, _c long, _p array<long>"
-_FOUND = "_a long, _c long, _from int, _to int, _bucket int, _packed binary"
+_FOUND = "_a long, _c long, _from int, _to int, _bucket long, _packed binary"
 _PRINT = np.dtype([("a", "<i8"), ("c", "<i8"), ("o", "<i4"), ("f", "<u8", (2,)), ("d", "?")])
 
 
@@ -147,7 +147,7 @@ def _found(rows: list[tuple], packed: dict[int, list[np.ndarray]]) -> pa.RecordB
     rows = rows + [(0, None, None, None, b, np.concatenate(p).tobytes()) for b, p in packed.items()]
     a, c, low, high, bucket, data = zip(*rows) if rows else ((),) * 6
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())],
+        [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(bucket, pa.int64()), pa.array(data, pa.binary())],
         ["_a", "_c", "_from", "_to", "_bucket", "_packed"],
     )
 
@@ -167,9 +167,9 @@ def _sort_shard(group: list[tuple[int, int, int, bytes]], length: int) -> pa.Rec
             prints = np.zeros(len(own), _PRINT)
             prints["a"], prints["c"], prints["o"], prints["d"] = a, c, np.arange(len(own)), own
             prints["f"] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(own))), "<u8").reshape(-1, 2)
-            bucket = (prints["f"][:, 0] % np.uint64(min(parts, 256))).astype(np.int64)
+            bucket = (prints["f"][:, 0] % np.uint64(parts)).astype(np.int64)
             for b in np.unique(bucket):
-                packed.setdefault((a ^ a >> 32) % 65536 * 256 + int(b), []).append(prints[bucket == b])
+                packed.setdefault(a >> 32 << 32 | int(b), []).append(prints[bucket == b])
         at += len(data) + 1
     for b, p in packed.items():
         every = np.concatenate(p)
