@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from math import isfinite
 from typing import Any
 from urllib.parse import parse_qsl, quote, urlsplit
 
@@ -13,15 +15,26 @@ from lodestone.spec import BOOLEAN, DATE, GEO, NUMERIC, RELEVANCE, IndexSpec
 Value = str | float | int | bool
 
 
+_DECIMAL = re.compile(r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*", re.ASCII)
+
+
 def _number(value: Any) -> float | None:
-    if isinstance(value, bool) or value is None:
+    """Finite numbers, and texts that are finite decimals; None otherwise (also for booleans)."""
+    if isinstance(value, str):
+        value = float(value) if _DECIMAL.fullmatch(value) else None
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
         return None
     try:
-        return float(value)
-    except (TypeError, ValueError):
+        return float(value) if isfinite(value) else None
+    except OverflowError:
         return None
 
 
+def _whole(value: Any) -> int | None:
+    number = _number(value)
+    return None if number is None else int(number)
+
+
 def same(a: Value, b: Value) -> bool:
     """Typed equality: booleans only equal booleans, numbers compare as doubles."""
     if isinstance(a, bool) or isinstance(b, bool):
@@ -62,8 +75,8 @@ class QueryState:
             ranges=ranges,
             around=around,
             sort_by=str(get("sort_by", "sortBy") or RELEVANCE),
-            page=max(0, int(get("page") or 0)),
-            hits_per_page=None if size is None else int(size),
+            page=max(0, _whole(get("page")) or 0),
+            hits_per_page=_whole(size),
             facets=None if facets is None else list(facets),
         )
 
@@ -137,26 +150,29 @@ def split(value: str) -> list[str]:
     return [t for t in [*out, "".join(token)] if t]
 
 
+def _tokens(state: QueryState) -> Iterator[tuple[str, str]]:
+    """(facet, token) of everything refined: values, then places, then ranges."""
+    for key, values in state.refinements.items():
+        yield from ((key, escape(to_key(v))) for v in values)
+    for key, place in state.around.items():
+        yield key, ",".join(to_key(float(place[part])) for part in ("lat", "lng", "radius"))
+    for key, bounds in state.ranges.items():
+        if bounds:
+            yield key, "..".join(to_key(float(bounds[end])) if end in bounds else "" for end in ("min", "max"))
+
+
 def encode(state: QueryState, prefix: str = "", default_sort: str = RELEVANCE) -> dict[str, str]:
     """URL parameters of a state; whatever is at its default is left out."""
-    tokens: dict[str, list[str]] = {}
-    for key, values in state.refinements.items():
-        tokens.setdefault(key, []).extend(escape(to_key(v)) for v in values)
-    for key, p in state.around.items():
-        tokens.setdefault(key, []).append(",".join(to_key(float(p[x])) for x in ("lat", "lng", "radius")))
-    for key, r in state.ranges.items():
-        if r:
-            low, high = (to_key(float(r[b])) if b in r else "" for b in ("min", "max"))
-            tokens.setdefault(key, []).append(f"{low}..{high}")
-    out = {"q": state.query} if state.query else {}
-    out |= {k: ",".join(v) for k, v in tokens.items() if v}
-    if state.sort_by and state.sort_by != default_sort:
-        out["sort"] = state.sort_by
-    if state.page > 0:
-        out["page"] = str(state.page + 1)
-    if state.hits_per_page is not None:
-        out["perPage"] = str(state.hits_per_page)
-    return {prefix + k: v for k, v in out.items()}
+    out: dict[str, str] = {"q": state.query} if state.query else {}
+    for key, token in _tokens(state):
+        out[key] = f"{out[key]},{token}" if key in out else token
+    plain = {
+        "sort": "" if state.sort_by == default_sort else state.sort_by,
+        "page": str(state.page + 1) if state.page > 0 else "",
+        "perPage": "" if state.hits_per_page is None else str(state.hits_per_page),
+    }
+    out |= {name: text for name, text in plain.items() if text}
+    return {prefix + name: text for name, text in out.items()}
 
 
 def url(path: str, state: QueryState, prefix: str = "", default_sort: str = RELEVANCE) -> str:
@@ -165,66 +181,83 @@ def url(path: str, state: QueryState, prefix: str = "", default_sort: str = RELE
     return path + ("?" + "&".join(f"{part(k)}={part(v)}" for k, v in params.items()) if params else "")
 
 
-def _int(value: Any) -> int | None:
-    n = _number(value)
-    return None if n is None else int(n)
+@dataclass(frozen=True)
+class _Field:
+    """What a URL says about one facet: its parameter, the two form fields, and how its tokens become values."""
+
+    text: str
+    ends: dict[str, str]
+    typed: Callable[[str], Value]
+
+
+def _span(ends: dict[str, str], otherwise: float | None) -> dict[str, float]:
+    """Bounds that are given; those that are no numbers count as `otherwise`, or not at all."""
+    numbers = {end: otherwise if (n := _number(text)) is None else n for end, text in ends.items() if text}
+    return {end: n for end, n in numbers.items() if n is not None}
+
+
+def _values(f: _Field) -> dict[str, Any]:
+    return {"refinements": [f.typed(token) for token in split(f.text)]}
+
+
+def _values_and_range(f: _Field) -> dict[str, Any]:
+    """Tokens `low..high` are ranges, of which the last one counts; form fields only if there is no parameter."""
+    if not f.text:
+        return {"ranges": _span(f.ends, None)}
+    tokens = split(f.text)
+    spans = [span for token in tokens if ".." in token and (span := _span(dict(zip(("min", "max"), token.split("..", 1))), 0.0))]
+    return {"refinements": [f.typed(token) for token in tokens if ".." not in token], "ranges": spans[-1] if spans else {}}
+
+
+def _place(f: _Field) -> dict[str, Any]:
+    """`lat,lng` or `lat,lng,radius`; no radius is 0."""
+    lat, lng, radius, *_ = [*map(_number, f.text.split(",")), None, None, None]
+    return {"around": {} if lat is None or lng is None else {"lat": lat, "lng": lng, "radius": max(0.0, radius or 0.0)}}
+
+
+#: Facets of other types hold values alone.
+_DECODERS = {GEO: _place, NUMERIC: _values_and_range, DATE: _values_and_range}
+
+
+def _typing(kind: str, values: list[Value] | None) -> Callable[[str], Value]:
+    """Tokens become the listed value with that key, or without a list a value of the type, or stay as they are."""
+    if values is not None:
+        return lambda token: from_key(token, values)
+    if kind == BOOLEAN:
+        return lambda token: {"true": True, "false": False}.get(token, token)
+    if kind in (NUMERIC, DATE):
+        return lambda token: token if (n := _number(token)) is None else n
+    return lambda token: token
 
 
 def parse(params: dict[str, Any] | str, facets: dict[str, dict[str, Any]] | IndexSpec, prefix: str = "", default_sort: str = RELEVANCE) -> QueryState:
     """The state of URL parameters (or of a URL).
 
-    facets: `{key: {"type": ..., "values": [...]}}`, or a definition.  Tokens become the listed value with that key,
-    else a value of the facet's type, else they stay strings (and match nothing).
+    facets: `{key: {"type": ..., "values": [...]}}`, or a definition.  A token that is no value of its facet stays a
+    string, and matches nothing; parameters that aren't text, and numbers that aren't finite decimals, count as not given.
     """
     if isinstance(params, str):
         params = dict(parse_qsl(urlsplit(params).query, keep_blank_values=True))
     if isinstance(facets, IndexSpec):
         facets = {a.key: {"type": a.facet_type} for a in facets.with_role("facet")}
-    given = lambda name: v if isinstance(v := params.get(prefix + name), str) else ""
-    refinements: dict[str, list[Value]] = {}
-    ranges: dict[str, dict[str, float]] = {}
-    around: dict[str, dict[str, float]] = {}
+    texts = {name.removeprefix(prefix): v for name, v in params.items() if name.startswith(prefix) and isinstance(v, str)}
+    parts: dict[str, dict[str, Any]] = {"refinements": {}, "ranges": {}, "around": {}}
     for key, facet in facets.items():
-        raw, kind = given(key), facet.get("type", "string")
-        if kind == GEO:
-            numbers = [_number(x.strip()) for x in raw.split(",")]
-            if len(numbers) >= 2 and None not in numbers[:2]:
-                around[key] = {"lat": numbers[0], "lng": numbers[1], "radius": max(0.0, (numbers[2] if len(numbers) > 2 else None) or 0.0)}
-            continue
-        rangeable = kind in (NUMERIC, DATE)
-        if rangeable and not raw:
-            bounds = {b: n for b in ("min", "max") if (n := _number(given(f"{key}_{b}") or None)) is not None}
-            if bounds:
-                ranges[key] = bounds
-        for token in split(raw):
-            if rangeable and ".." in token:
-                low, _, high = token.partition("..")
-                bounds = {b: _number(x) or 0.0 for b, x in (("min", low), ("max", high)) if x}
-                if bounds:
-                    ranges[key] = bounds
-            else:
-                refinements.setdefault(key, []).append(_resolved(token, kind, facet.get("values")))
+        kind = facet.get("type", "string")
+        ends = {end: texts.get(f"{key}_{end}", "") for end in ("min", "max")}
+        for part, found in _DECODERS.get(kind, _values)(_Field(texts.get(key, ""), ends, _typing(kind, facet.get("values")))).items():
+            if found:
+                parts[part][key] = found
+    page, size = (_whole(params.get(prefix + name)) for name in ("page", "perPage"))
     return QueryState(
-        query=given("q").strip(),
-        refinements=refinements,
-        ranges=ranges,
-        around=around,
+        query=texts.get("q", "").strip(),
         sort_by=str(params.get(prefix + "sort", default_sort)),
-        page=max(0, (_int(params.get(prefix + "page", 1)) or 0) - 1),
-        hits_per_page=None if (n := _int(params.get(prefix + "perPage"))) is None else max(1, n),
+        page=max(0, (page or 0) - 1),
+        hits_per_page=None if size is None else max(1, size),
+        **parts,
     )
 
 
-def _resolved(token: str, kind: str, values: list[Value] | None) -> Value:
-    if values is not None:
-        return from_key(token, values)
-    if kind == BOOLEAN and token in ("true", "false"):
-        return token == "true"
-    if kind in (NUMERIC, DATE) and (n := _number(token)) is not None:
-        return n
-    return token
-
-
 @dataclass(frozen=True)
 class Chip:
     """One active refinement, with the URL that removes it."""

@@ -47,6 +47,21 @@ def test_parse_is_lenient():
     assert split("a\\,b,,c\\\\") == ["a,b", "c\\"]
 
 
+@pytest.mark.parametrize("text", ["nan", "inf", "-Infinity", "1_0", "0x10", "", "٣", "1e999", "x"])
+def test_only_finite_decimals_are_numbers(text):
+    assert parse({"page": text, "perPage": text}, FACETS) == QueryState()
+    assert parse({"near": f"{text},1", "cost_min": text, "day_max": text}, FACETS) == QueryState()
+    assert parse({"near": f"1,2,{text}"}, FACETS).around == {"near": {"lat": 1, "lng": 2, "radius": 0}}
+    assert QueryState.from_dict({"page": text, "hitsPerPage": text, "ranges": {"cost": {"min": text}}, "around": {"near": {"lat": text, "lng": 1}}}) == QueryState()
+
+
+def test_numbers_of_any_size_stay_finite():
+    assert parse({"page": "1e3", "cost": " 7. ,.5..+1e1"}, FACETS) == QueryState(page=999, refinements={"cost": [" 7. "]}, ranges={"cost": {"min": 0.5, "max": 10.0}})
+    assert QueryState.from_dict({"ranges": {"a": {"min": float("inf"), "max": 10**400}}, "page": float("nan")}) == QueryState()
+    assert parse({"cost": "1..2,x..3,4..,.."}, FACETS).ranges == {"cost": {"min": 4.0}}
+    assert parse({"q": ["a"], "maker": 5, "sort": "x"}, FACETS) == QueryState(sort_by="x")
+
+
 def test_parse_against_a_definition_types_values():
     spec = IndexSpec("i", attributes=(Attribute("cost", roles=("facet",), facet_type="numeric"), Attribute("new", roles=("facet",), facet_type="boolean"), Attribute("near", roles=("facet",), facet_type="geo")))
     state = parse({"cost": "7,abc", "new": "true", "near": "1,2,3"}, spec)
