@@ -14,7 +14,7 @@ from lodestone.operators.compile import Index, build_index, compile_records, fac
 from lodestone.operators.extract import ancestors, attribute_values, facet_values, payload, sort_key
 from lodestone.operators.facets import numeric_buckets
 from lodestone.operators.match import text_match
-from lodestone.operators.publish import differences
+from lodestone.operators.publish import LIVE, SUPERSEDED, Publisher, Version, differences
 from lodestone.operators.relations import dependencies, with_related
 from lodestone.operators.search import SearchResult, search
 from lodestone.sources.registry import scan
@@ -121,11 +121,15 @@ _TWO = "p_brand IN ('Brand#1', 'Brand#2')"
 
 
 @_query(
-    _groups(
+    "WITH g AS ("
+    + _groups(
         "part",
         _PART | {"brand": ("p_brand", "p_brand", _TWO), "type": ("p_type", "p_type", "p_type = 'PROMO'")},
         {"brand": "p_type = 'PROMO' AND p_size BETWEEN 10 AND 40", "type": f"{_TWO} AND p_size BETWEEN 10 AND 40", "size": f"{_TWO} AND p_type = 'PROMO'", "price": f"{_TWO} AND p_type = 'PROMO' AND p_size BETWEEN 10 AND 40"},
     )
+    + ") SELECT * FROM g"
+    + f" UNION ALL SELECT DISTINCT 'brand', p_brand, 0, TRUE FROM part WHERE {_TWO} AND p_brand NOT IN (SELECT value FROM g WHERE facet = 'brand')"
+    + " UNION ALL SELECT DISTINCT 'type', p_type, 0, TRUE FROM part WHERE p_type = 'PROMO' AND p_type NOT IN (SELECT value FROM g WHERE facet = 'type')"
 )
 def facet_disjunctive_two(spark: SparkSession, sf: str) -> DataFrame:
     state = {"refinements": {"brand": ["Brand#1", "Brand#2"], "type": ["PROMO"]}, "ranges": {"size": {"min": 10, "max": 40}}}
@@ -323,7 +327,7 @@ def geo_radius(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(search(_customers(spark, sf), {"around": _AROUND}))
 
 
-@_query(_PLACES + "SELECT object_id, CAST(row_number() OVER (ORDER BY dist NULLS LAST, object_id) AS INTEGER) AS position FROM g WHERE c_mktsegment = 'BUILDING' ORDER BY position LIMIT 100 OFFSET 200")
+@_query(_PLACES + "SELECT object_id, CAST(row_number() OVER (ORDER BY dist NULLS LAST, object_id) AS INTEGER) AS position FROM g WHERE c_mktsegment = 'BUILDING' QUALIFY (position - 1) // 100 = least(2, (count(*) OVER () - 1) // 100)")
 def geo_distance_sort(spark: SparkSession, sf: str) -> DataFrame:
     """A page of the order by distance; customers without a place come last."""
     state = {"around": {"near": {"lat": 10, "lng": 20, "radius": 0}}, "refinements": {"segment": ["BUILDING"]}, "sortBy": "distance", "hitsPerPage": 100, "page": 2}
@@ -357,11 +361,10 @@ def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("weight").alias("weight"))
 
 
-@_query(_DOC_TOKENS + "SELECT object_id, weight AS score FROM p WHERE token = 'worthless'")
+@_query(_DOC_TOKENS + "SELECT object_id, round(max(weight) FILTER (WHERE token = 'worthless') + max(weight), 3) AS score FROM p WHERE starts_with(token, 'worthless') GROUP BY object_id HAVING bool_or(token = 'worthless')")
 def text_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """A query's earlier tokens match exactly: here the last one repeats the first."""
-    index = _documents(spark, sf)
-    return index.postings.where(F.col("token") == "worthless").select("object_id", F.col("weight").alias("score"))
+    """A query's earlier tokens match exactly, the last one as a prefix too: here it repeats the first."""
+    return search(_documents(spark, sf), {"query": "worthless worthless"}).matches.select("object_id", "score")
 
 
 @_query(_DOC_TOKENS + "SELECT object_id, max(weight) AS score FROM p WHERE starts_with(token, 'path') GROUP BY object_id")
@@ -434,7 +437,7 @@ def sort_with_text_tiebreak(spark: SparkSession, sf: str) -> DataFrame:
 _PRICED = "SELECT CAST(p_partkey AS VARCHAR) AS object_id, CAST(row_number() OVER (ORDER BY p_retailprice {d}, CAST(p_partkey AS VARCHAR)) AS INTEGER) AS position FROM part {w} ORDER BY position"
 
 
-@_query(_PRICED.format(d="", w="") + " LIMIT 24 OFFSET 480")
+@_query("SELECT * FROM (" + _PRICED.format(d="", w="") + ") WHERE (position - 1) // 24 = least(20, (SELECT count(*) - 1 FROM part) // 24)")
 def page_deep(spark: SparkSession, sf: str) -> DataFrame:
     return _page(search(_parts(spark, sf), {"sortBy": "price_asc", "page": 20}))
 
@@ -579,13 +582,23 @@ def store_counts(spark: SparkSession, sf: str) -> DataFrame:
     return st.counts(change_feed(spark, sf))
 
 
-@_query("SELECT version, status FROM (SELECT o_orderkey AS version, CASE WHEN o_orderkey % 10 = 9 THEN 'failed' WHEN o_orderkey = 3 THEN 'live' ELSE 'superseded' END AS status, row_number() OVER (ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n <= 3 OR status = 'live'")
+def _publisher(spark: SparkSession, name: str, **options) -> Publisher:
+    """In a folder of its own: below the cluster's shared one, or a local one where none is named."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return Publisher(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix=name)}", **options)
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS version, status FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 10 = 9 THEN 'failed' WHEN n_nationkey = 3 THEN 'live' ELSE 'superseded' END AS status, row_number() OVER (ORDER BY n_nationkey DESC) AS n FROM nation) WHERE n <= 3 OR status = 'live'")
 def version_prune(spark: SparkSession, sf: str) -> DataFrame:
-    """The three newest versions of a ledger, and the live one."""
-    status = F.when(F.col("o_orderkey") % 10 == 9, "failed").when(F.col("o_orderkey") == 3, "live").otherwise("superseded")
-    ledger = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("version"), status.alias("status"))
-    newest = ledger.orderBy(F.col("version").desc()).limit(3)
-    return ledger.where("status = 'live'").unionByName(newest).distinct()
+    """What is left of a ledger: the three newest versions and the live one."""
+    publisher = _publisher(spark, "ledger", keep=3)
+    numbers = [r.n_nationkey for r in _table(spark, sf, "nation").collect()]
+    publisher._save("parts", [Version(n, "failed" if n % 10 == 9 else LIVE if n == 3 else SUPERSEDED) for n in numbers])
+    publisher.prune("parts")
+    return spark.createDataFrame([(v.version, v.status) for v in publisher.versions("parts")], "version bigint, status string")
 
 
 @_query("SELECT CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey % 2 AS VARCHAR) AS object_id, row_number() OVER (ORDER BY o_custkey, o_orderkey % 2) - 1 AS id FROM (SELECT DISTINCT o_custkey, o_orderkey % 2 AS o_orderkey FROM orders)")
@@ -599,10 +612,37 @@ def events_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return debounced(_table(spark, sf, "events"), key="user_id").select(F.col("window.start").alias("start"), "user_id", "events", "last")
 
 
-@_query("SELECT 'x' AS side, 'x' AS row WHERE FALSE")
+@_query("SELECT 'left' AS side, CAST(p_partkey AS VARCHAR) AS object_id FROM part WHERE p_partkey % 50 = 0 OR p_brand = 'Brand#7' UNION ALL SELECT 'right', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 50 <> 0 AND p_brand = 'Brand#7'")
 def verify_published(spark: SparkSession, sf: str) -> DataFrame:
-    """Two builds of the same tables have the same records."""
-    return differences(_parts(spark, sf).records, _parts(spark, sf).records)
+    """A published index against a build after parts were deleted and a brand was renamed."""
+    publisher = _publisher(spark, "verify")
+    publisher.publish(_parts(spark, sf))
+    now = _table(spark, sf, "part").where("p_partkey % 50 <> 0").withColumn("p_brand", F.when(F.col("p_brand") == "Brand#7", "New").otherwise(F.col("p_brand")))
+    built = build_index(now.withColumn("object_id", F.col("p_partkey").cast("string")), PART)
+    return differences(publisher.published("parts").records, built.records).select("side", F.get_json_object("row", "$.object_id").alias("object_id"))
+
+
+@_query("SELECT 1 AS version, 'superseded' AS status, count(*) AS records, 1 AS live FROM part UNION ALL SELECT 2, 'live', count(*) FILTER (WHERE p_size > 10), 1 FROM part")
+def publish_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A ledger after a publication, the same one again, and another; `live`: versions that readers may see."""
+    publisher = _publisher(spark, "publish")
+    publisher.publish(_parts(spark, sf))
+    publisher.publish(_parts(spark, sf))
+    small = _table(spark, sf, "part").where("p_size > 10").withColumn("object_id", F.col("p_partkey").cast("string"))
+    publisher.publish(build_index(small, PART))
+    assert publisher.published("parts").records.count() == publisher.pointer("parts")["records"]
+    ledger = publisher.versions("parts")
+    live = sum(v.status == LIVE for v in ledger)
+    return spark.createDataFrame([(v.version, v.status, v.records, live) for v in ledger], "version int, status string, records bigint, live int")
+
+
+@_query(_groups("part", _PART, {f: "p_size > 10" for f in _PART}))
+def published_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """Facets of an index as read back from its published version."""
+    publisher = _publisher(spark, "published")
+    small = _table(spark, sf, "part").where("p_size > 10").withColumn("object_id", F.col("p_partkey").cast("string"))
+    publisher.publish(build_index(small, PART))
+    return _facets(search(publisher.published("parts")))
 
 
 _SHOP = "CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE 'y' END"
@@ -621,6 +661,43 @@ def source_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan({"entry": entries, "user": users}, spec).select("element_id", "section")
 
 
+@_query(
+    "SELECT 1000 + n_nationkey AS element_id, 'category' AS kind FROM nation WHERE n_regionkey = 1 AND n_nationkey % 5 <> 0 "
+    "UNION ALL SELECT 2000 + r_regionkey, 'tag' FROM region WHERE r_regionkey <> 2 "
+    "UNION ALL SELECT 1000000 + p_partkey, 'asset' FROM part WHERE p_type = 'PROMO' AND p_size % 2 = 0 AND p_partkey % 3 <> 0 "
+    "UNION ALL SELECT 2000000000 + s_suppkey, 'product' FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 3 <> 1 AND s_suppkey % 5 <> 0"
+)
+def source_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories, tags, assets and products: containers, sub-types, what is enabled, posted and not expired, no drafts."""
+    one = F.lit(1).alias("site_id")
+    day = lambda n: F.expr(f"current_timestamp() + make_interval(0, 0, 0, {n})")
+    tables = {
+        "category": _table(spark, sf, "nation").select((1000 + F.col("n_nationkey")).alias("element_id"), one, F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("category_group"), (F.col("n_nationkey") % 5 != 0).alias("enabled"), F.lit("category").alias("kind")),
+        "tag": _table(spark, sf, "region").select((2000 + F.col("r_regionkey")).alias("element_id"), one, F.lit("t").alias("tag_group"), (F.col("r_regionkey") != 2).alias("enabled"), F.lit("tag").alias("kind")),
+        "asset": _table(spark, sf, "part").select((1_000_000 + F.col("p_partkey")).alias("element_id"), one, F.col("p_type").alias("volume"), F.when(F.col("p_size") % 2 == 0, "image").otherwise("pdf").alias("kind"), (F.col("p_partkey") % 3 != 0).alias("enabled")),
+        "product": _table(spark, sf, "supplier").select(
+            (2_000_000_000 + F.col("s_suppkey").cast("bigint")).alias("element_id"), one, F.when(F.col("s_suppkey") % 2 == 0, "sold").otherwise("lent").alias("product_type"), (F.col("s_suppkey") % 7 != 0).alias("enabled"),
+            F.when(F.col("s_suppkey") % 3 == 1, day(5)).otherwise(day(-5)).alias("post_date"), F.when(F.col("s_suppkey") % 5 == 0, day(-1)).alias("expiry_date"), F.lit("product").alias("kind"),
+        ),
+    }
+    spec = IndexSpec("kinds", sources=(Source("category", ("g1",)), Source("tag"), Source("asset", ("PROMO",), ("image",)), Source("product", ("sold",))))
+    found = scan({k: t.withColumn("element_id", F.col("element_id").cast("bigint")) for k, t in tables.items()}, spec)
+    return found.select("element_id", F.when(F.col("kind") == "image", "asset").otherwise(F.col("kind")).alias("kind"))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'http://x/' || c_custkey END AS link, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE 'City ' || c_nationkey END AS address, '#' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 6, '0') AS color FROM customer")
+def composite_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Facet values of links (none without a URL), addresses (formatted, else the city) and colours."""
+    key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    rows = _table(spark, sf, "customer").select(
+        "c_custkey",
+        F.struct(F.when(key % 4 > 0, F.concat(F.lit("http://x/"), text)).otherwise("").alias("url"), F.col("c_name").alias("text")).alias("link"),
+        F.struct(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"), F.concat(F.lit("City "), F.col("c_nationkey").cast("string")).alias("city"), F.when(key % 3 > 0, F.col("c_name")).otherwise("").alias("formatted")).alias("address"),
+        F.struct(F.concat(F.lit("#"), F.lpad((key % 1000).cast("string"), 6, "0")).alias("hex")).alias("color"),
+    )
+    return rows.select("c_custkey", *[F.get(facet_values(rows, Attribute(a)), F.lit(0)).alias(a) for a in ("link", "address", "color")])
+
+
 @_query("SELECT 'lang' AS facet, lang AS value, count(*) AS count, lang = 'en' AS is_refined FROM documents GROUP BY lang")
 def url_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A query by URL: encoded, parsed against the definition and run."""
@@ -630,9 +707,12 @@ def url_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return _facets(search(_documents(spark, sf), QueryState(**{**state.__dict__, "facets": ["lang"]})))
 
 
-@_query()
+_ENTITIES = "regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '&(amp|middot|copy|quot);', ' ', 'g')"
+
+
+@_query(f"WITH t AS (SELECT page_id, list_filter(regexp_split_to_array(strip_accents(lower({_ENTITIES})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 64) AS t FROM pages) SELECT page_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM t")
 def pages_strip_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of whole pages; entities are beyond plain SQL."""
+    """Tokens of whole pages; the twin knows the entities that the pages have, none of which is a letter."""
     pages = _table(spark, sf, "pages").select("page_id", tokens(F.col("html")).alias("t"))
     return pages.select("page_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
@@ -642,10 +722,11 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "supplier").select("s_suppkey", slug(F.col("s_name")).alias("slug"))
 
 
-@_query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS n, p_brand AS s, [CAST(p_size AS DOUBLE)] IS NOT NULL AS has FROM part")
+@_query("SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS DOUBLE) END AS n, p_brand AS s, p_size % 3 > 0 AS has FROM part")
 def typed_values(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric strings sort as numbers, others as strings; non-numbers are no numeric facet values."""
-    rows = _table(spark, sf, "part").select("p_partkey", F.array(F.lit(""), F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("a"), "p_brand")
+    text = F.when(F.col("p_size") % 3 > 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise("n/a")
+    rows = _table(spark, sf, "part").select("p_partkey", F.array(F.lit(""), text).alias("a"), "p_brand")
     numeric = Attribute("a", facet_type=NUMERIC)
     return rows.select("p_partkey", sort_key(rows, Attribute("a"))["n"].alias("n"), sort_key(rows, Attribute("p_brand"))["s"].alias("s"), (F.size(facet_values(rows, numeric)) == 1).alias("has"))
 

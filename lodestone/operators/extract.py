@@ -73,6 +73,7 @@ def link(value: Column, kind: T.StructType) -> Extracted | None:
     return Extracted(url, {"url": url, "text": text, "type": _part(value, kind, "type")}, F.when(url.isNotNull(), F.coalesce(text, url)))
 
 
+#: Parts of an address. Fixed values.
 ADDRESS = ("lat", "lng", "street1", "street2", "city", "state", "zip", "country", "countryCode", "county", "formatted")
 
 

@@ -40,43 +40,59 @@ def in_base(attribute: Attribute, checks: dict[str, Column], failed: Column) ->
     return failed == 0
 
 
-def facet_counts(rows: DataFrame, spec: IndexSpec, state: QueryState, checks: dict[str, Column], matched: Column | None = None) -> DataFrame:
+def _counted(attribute: Attribute, values: str, count: str) -> str:
+    """The values as structs (facet, n, s, b, c), each counting `count`, as SQL: one lambda, and one call to the JVM for all facets."""
+    kind = KINDS.get(attribute.facet_type, "string")
+    slots = {"n": "double", "s": "string", "b": "boolean"}
+    own = ", ".join(f"'{name}', " + ("v" if kind == of else f"CAST(NULL AS {of})") for name, of in slots.items())
+    return f"transform({values}, v -> named_struct('facet', '{attribute.key}', {own}, 'c', {count}))"
+
+
+def _literals(attribute: Attribute, state: QueryState) -> list[Column]:
+    return [x for v in state.refinements.get(attribute.key, ()) if (x := literal(attribute, v)) is not None]
+
+
+def _among(attribute: Attribute, literals: list[Column]) -> Column:
+    """The row's refined values, once each."""
+    return F.coalesce(F.array_intersect(F.col(f"f_{attribute.key}"), F.array(*literals)), F.slice(F.col(f"f_{attribute.key}"), 1, 0))
+
+
+def facet_counts(rows: DataFrame, spec: IndexSpec, state: QueryState, checks: dict[str, Column], every: DataFrame | None = None) -> DataFrame:
     """facet, n, s, b, count: every value of the facets' bases, and refined values that exist at all, with 0 at least.
 
     Rows fail early: those outside all bases without a refined value are gone before anything is exploded.  The rest is one
-    explode and one aggregation with map-side sums.  `matched`: whether the row passes the text query.
+    explode and one aggregation with map-side sums.  `every`: all records, where `rows` are only those that match a text.
     """
     attributes = wanted(spec, state)
     if not attributes:
         return rows.select(F.lit("").alias("facet"), F.lit(0.0).alias("n"), F.lit("").alias("s"), F.lit(True).alias("b"), F.lit(0).cast("long").alias("count")).limit(0)
-    held = rows.withColumn("_failed", failures(checks))
-    for key, check in checks.items():
-        held = held.withColumn(f"_ok_{key}", check)
-    flags = {k: F.col(f"_ok_{k}") for k in checks}
-    parts, refined = [], F.lit(False)
+    refined = {a.key: x for a in attributes if (x := _literals(a, state))}
+    kept = {a.key: _among(a, refined[a.key]).alias(f"_kept_{a.key}") for a in attributes if a.key in refined}
+    inner = list(kept.values()) if every is None else []
+    held = rows.select(*[f"f_{a.key}" for a in attributes], failures(checks).alias("_failed"), *[c.alias(f"_ok_{k}") for k, c in checks.items()], *inner)
+    if checks:
+        held = held.where(" OR ".join(["_failed <= 1", *(f"size(_kept_{k}) > 0" for k in kept if every is None)]))
+    parts = []
     for a in attributes:
-        values = F.col(f"f_{a.key}")
-        counts = in_base(a, flags, F.col("_failed"))
-        counts = counts if matched is None else counts & matched
-        literals = [x for v in state.refinements.get(a.key, ()) if (x := literal(a, v)) is not None]
-        kept = F.filter(values, lambda v: v.isin(*literals)) if literals else F.slice(values, 1, 0)
-        if literals:
-            refined = refined | F.coalesce(F.arrays_overlap(values, F.array(*literals)), F.lit(False))
-        tagged = lambda vs, one, a=a: F.transform(value_structs(a, vs), lambda v: F.struct(v["facet"].alias("facet"), v["n"].alias("n"), v["s"].alias("s"), v["b"].alias("b"), F.lit(one).cast("long").alias("c")))
-        parts.append(F.when(counts, tagged(values, 1)).otherwise(tagged(kept, 0)))
-    near = (F.col("_failed") <= 1) if matched is None else matched & (F.col("_failed") <= 1)
-    long = held.where(near | refined).select(F.explode(F.concat(*parts)).alias("v")).select("v.*")
+        base = "_failed = " + (f"int(NOT _ok_{a.key})" if a.key in checks and a.facet_operator != "and" else "0")
+        other = f"_kept_{a.key}" if a.key in kept and every is None else f"slice(f_{a.key}, 1, 0)"
+        parts.append(_counted(a, f"if({base}, f_{a.key}, {other})" if checks else f"f_{a.key}", f"if({base}, 1L, 0L)" if checks else "1L"))
+    long = held.selectExpr(f"inline(concat({', '.join(parts)}))")
+    if kept and every is not None:  # a scan of the refined facets' columns alone
+        zeros = [_counted(a, f"_kept_{a.key}", "0L") for a in attributes if a.key in kept]
+        long = long.unionByName(every.select(*kept.values()).selectExpr(f"inline(concat({', '.join(zeros)}))"))
     return long.groupBy("facet", "n", "s", "b").agg(F.sum("c").alias("count"))
 
 
 def buckets(counts: DataFrame, spec: IndexSpec, state: QueryState) -> DataFrame:
     """facet, position, value, count, is_refined, n, s, b: ordered as declared, cut at the limits; refined values always stay."""
     attributes = wanted(spec, state)
-    refined, limit, rank, mode, shown = F.lit(False), F.lit(20), F.lit(0), F.lit("count"), F.col("s")
+    refined, limit, rank, mode, shown, most = F.lit(False), F.lit(20), F.lit(0), F.lit("count"), F.col("s"), 1
     for a in attributes:
         own = F.col("facet") == a.key
         slot = {"double": "n", "boolean": "b"}.get(KINDS.get(a.facet_type, "string"), "s")
-        literals = [x for v in state.refinements.get(a.key, ()) if (x := literal(a, v)) is not None]
+        literals = _literals(a, state)
+        most = max(most, spec.limit_of(a), len(literals))
         if literals:
             refined = refined | (own & F.coalesce(F.col(slot).isin(*literals), F.lit(False)))
         limit = F.when(own, spec.limit_of(a)).otherwise(limit)
@@ -86,13 +102,14 @@ def buckets(counts: DataFrame, spec: IndexSpec, state: QueryState) -> DataFrame:
         if a.facet_sort == "manual" and a.facet_value_order:
             place = F.array_position(F.array(*[F.lit(str(v)) for v in a.facet_value_order]), key_of(F.col(slot), a.facet_type))
             rank = F.when(own, F.when(place > 0, place).otherwise(len(a.facet_value_order) + 1)).otherwise(rank)
-    rows = counts.select("*", F.coalesce(refined, F.lit(False)).alias("is_refined"), shown.alias("value"), limit.cast("int").alias("_limit"), rank.cast("int").alias("_rank"), (mode == "alpha").alias("_alpha"))
+    rows = counts.select("*", F.coalesce(refined, F.lit(False)).alias("is_refined"), limit.cast("int").alias("_limit"), rank.cast("int").alias("_rank"), (mode == "alpha").alias("_alpha"))
     rows = rows.where((F.col("count") > 0) | F.col("is_refined"))
     order = [F.col("_rank"), F.when(F.col("_alpha"), 0).otherwise(-F.col("count")), F.col("n").asc_nulls_last(), F.col("s").asc_nulls_last(), F.col("b").asc_nulls_last()]
     top = F.row_number().over(Window.partitionBy("facet", "is_refined").orderBy(*order))
-    kept = rows.withColumn("_at", top).where(F.col("is_refined") | (F.col("_at") <= F.col("_limit")))
+    # No group has more refined values than `most`; as a plain bound on the rank it is taken up before the shuffle.
+    kept = rows.withColumn("_at", top).where(F.col("_at") <= most).where(F.col("is_refined") | (F.col("_at") <= F.col("_limit")))
     place = F.row_number().over(Window.partitionBy("facet").orderBy(*order))
-    return kept.withColumn("position", place.cast("int")).select("facet", "position", "value", "count", "is_refined", "n", "s", "b")
+    return kept.select("facet", place.cast("int").alias("position"), shown.alias("value"), "count", "is_refined", "n", "s", "b")  # only what is left gets its key
 
 
 def facet_stats(rows: DataFrame, spec: IndexSpec, state: QueryState, checks: dict[str, Column]) -> DataFrame:

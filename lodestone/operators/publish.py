@@ -6,17 +6,22 @@ is replaced last, so readers see a whole version or the one before.  The same co
 
 from __future__ import annotations
 
+import hashlib
 import json
+import threading
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.compile import Index
-from lodestone.spec import IndexSpec
+from lodestone.operators.compile import Index, build_postings
+from lodestone.spec import SEARCHABLE, IndexSpec
 
 LIVE, SUPERSEDED, FAILED = "live", "superseded", "failed"
 
@@ -42,17 +47,20 @@ def checksum(index: Index) -> str:
             columns = [F.to_json(F.col(c)) if isinstance(table.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in sorted(table.columns)]
             row = F.xxhash64(*columns)
             parts.append(str(tuple(table.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(*columns, F.lit(1)))).first())))
-    import hashlib
-
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
 
 
+class Busy(RuntimeError):
+    """Another writer holds the lock for longer than one waits."""
+
+
 class Folder:
     """Small files and subfolders below a Hadoop path, over whatever file system it is on."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.root = spark, path.rstrip("/")
         self._jvm = spark._jvm
+        self._held: dict[str, int] = {}
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -70,17 +78,61 @@ class Folder:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """By a temporary file and a rename, so that a reader sees the old or the new content."""
-        part = f"{name}.{time.time_ns()}.part"
-        stream = self._fs.create(self._path(part), True)
+    def _put(self, name: str, text: str, overwrite: bool) -> None:
+        stream = self._fs.create(self._path(name), overwrite)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if not self._fs.rename(self._path(part), self._path(name)):
-            self._fs.delete(self._path(name), False)
-            self._fs.rename(self._path(part), self._path(name))
+
+    def write(self, name: str, text: str) -> None:
+        """By a temporary file and a rename over the old one, so that a reader sees the old or the new content."""
+        part = f"{name}.{time.time_ns()}.part"
+        self._put(part, text, True)
+        fs = self._jvm.org.apache.hadoop.fs
+        kinds = getattr(fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        over[0] = kinds.OVERWRITE
+        context = fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._path(part), self._path(name), over)
+
+    def move(self, name: str, to: str) -> None:
+        if not self._fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"could not rename {name} to {to}")
+
+    @contextmanager
+    def lock(self, name: str, wait: float = 600.0, stale: float = 6 * 3600.0) -> Iterator[None]:
+        """One writer at a time: a file that only one can create.  The holder may lock again; one who died is overruled after `stale` seconds."""
+        file, me = f"{name}.lock", threading.get_ident()
+        if self._held.get(file) == me:
+            yield
+            return
+        until = time.time() + wait
+        while True:
+            try:
+                self._put(file, json.dumps({"at": time.time()}), False)
+                break
+            except Py4JJavaError as taken:
+                if not self.exists(file) and "AlreadyExists" not in str(taken.java_exception):
+                    raise
+            if self._age(file) > stale:
+                self.delete(file)
+            elif time.time() > until:
+                raise Busy(file)
+            else:
+                time.sleep(0.2)
+        self._held[file] = me
+        try:
+            yield
+        finally:
+            del self._held[file]
+            self.delete(file)
+
+    def _age(self, name: str) -> float:
+        try:
+            return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+        except Py4JJavaError:
+            return 0.0
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
@@ -95,8 +147,8 @@ class Folder:
 class Publisher:
     """Publishes the versions of indexes below one path."""
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3, compression: str = "zstd"):
-        self.spark, self.folder, self.keep, self.compression = spark, Folder(spark, path), keep, compression
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, compression: str = "zstd", patience: float = 600.0):
+        self.spark, self.folder, self.keep, self.compression, self.patience = spark, Folder(spark, path), keep, compression, patience
 
     def versions(self, handle: str) -> list[Version]:
         text = self.folder.read(f"{handle}/versions.json")
@@ -110,22 +162,36 @@ class Publisher:
         return json.loads(text) if text else None
 
     def publish(self, index: Index, force: bool = False) -> Version:
-        """A new live version, or the live one if nothing changed. A failure is recorded and leaves the live one as it is."""
+        """A new live version, or the live one if nothing changed. A failure is recorded and leaves the live one as it is.
+
+        One writer at a time; readers follow the pointer, which is replaced last and at once.
+        """
+        with self.folder.lock(f"lock.{index.spec.handle}", self.patience):
+            return self._publish(index, force)
+
+    def _publish(self, index: Index, force: bool) -> Version:
         handle, began = index.spec.handle, time.time()
         ledger = self.versions(handle)
         number = max((v.version for v in ledger), default=0) + 1
         live = next((v for v in ledger if v.status == LIVE), None)
+        staged = f"{handle}/staged-{time.time_ns()}"
         try:
-            digest = checksum(index)
+            written = self._stage(index, staged)
+            digest = checksum(written)
             if live is not None and live.checksum == digest and not force:
+                self.folder.delete(staged)
                 return live
             name = f"{handle}/{digest}"
-            if not self.folder.exists(f"{name}/spec.json"):
-                self._write(index, name)
+            if self.folder.exists(f"{name}/spec.json"):
+                self.folder.delete(staged)
+            else:
+                self.folder.delete(name)
+                self.folder.move(staged, name)
             rows = self.spark.read.parquet(f"{self.folder.root}/{name}/records").count()
             made = Version(number, LIVE, digest, rows, self.folder.size(name), int(1000 * (time.time() - began)), files=[digest], created_at=began)
             self.folder.write(f"{handle}/current.json", json.dumps({"version": number, "path": digest, "records": rows}))
         except Exception as problem:
+            self.folder.delete(staged)
             self._save(handle, [*ledger, Version(number, FAILED, build_ms=int(1000 * (time.time() - began)), error=str(problem)[:500], created_at=began)])
             raise
         for v in ledger:
@@ -134,14 +200,22 @@ class Publisher:
         self.prune(handle)
         return made
 
-    def _write(self, index: Index, name: str) -> None:
-        """Records in order of object id, postings in order of token: range sorted, so that readers skip row groups."""
-        tables = {"records": (index.records, ["object_id"]), "postings": (index.postings, ["token", "object_id"])}
-        for table, (df, order) in tables.items():
-            if df is not None:
-                sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-                sorted_.write.mode("overwrite").option("compression", self.compression).parquet(f"{self.folder.root}/{name}/{table}")
+    def _stage(self, index: Index, name: str) -> Index:
+        """The tables written once, records in order of object id and postings in order of token, so that readers skip row groups.
+
+        If the written records hold the searchable texts, postings are built from them: the source's plan runs for the records alone.
+        """
+        def put(table: str, df: DataFrame, *order: str) -> DataFrame:
+            path = f"{self.folder.root}/{name}/{table}"
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", self.compression).parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        records, postings = put("records", index.records, "object_id"), index.postings
+        if postings is not None:
+            texts = [f"x_{a.key}" for a in index.spec.with_role(SEARCHABLE)]
+            postings = put("postings", build_postings(records, index.spec) if texts and set(texts) <= set(records.columns) else postings, "token", "object_id")
         self.folder.write(f"{name}/spec.json", json.dumps(index.spec.to_dict()))
+        return Index(index.spec, records, postings)
 
     def published(self, handle: str) -> Index | None:
         """The live index; None if there is none or its files are gone."""
@@ -167,7 +241,7 @@ class Publisher:
 
     def collect_garbage(self, handles: list[str]) -> list[str]:
         """Deletes what belongs to no known index."""
-        gone = [n for n in self.folder.names() if n not in handles]
+        gone = [n for n in self.folder.names() if n not in handles and not n.endswith(".lock")]
         for name in gone:
             self.folder.delete(name)
         return gone

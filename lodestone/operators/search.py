@@ -17,6 +17,10 @@ from lodestone.spec import DISTANCE, PAYLOAD, IndexSpec
 from lodestone.state import QueryState
 
 
+#: Matches of a text (id and score) that are sent to all tasks, so that records need no shuffle; counted before.
+BROADCAST = 200_000
+
+
 def order_keys(spec: IndexSpec, state: QueryState) -> list[Column]:
     """Sort keys that end in the object id, so that the order is total; records without a value come last either way."""
     tail = [F.col("score").desc(), F.col("object_id").asc()]
@@ -50,7 +54,9 @@ class SearchResult:
             return None
         if self.index.postings is None:
             return self.index.records.select("object_id", F.lit(0.0).alias("score")).limit(0)
-        return text_match(self.index.postings, self._tokens)
+        found = text_match(self.index.postings, self._tokens)
+        few = found.limit(BROADCAST + 1).count() <= BROADCAST
+        return F.broadcast(found) if few else found
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -105,14 +111,9 @@ class SearchResult:
     @cached_property
     def counts(self) -> DataFrame:
         """Values of all facets with their counts, uncut."""
-        refined = any(k in self.state.refinements for k in (a.key for a in self.index.spec.facets))
-        if self._scores is None:
-            return facet_counts(self.index.records, self.index.spec, self.state, self._checks)
-        if not refined:
-            return facet_counts(self.candidates, self.index.spec, self.state, self._checks)
         # Refined values stay visible even if no record with them matches the text.
-        rows = self.index.records.join(self._scores, "object_id", "left")
-        return facet_counts(rows, self.index.spec, self.state, self._checks, F.col("score").isNotNull())
+        every = None if self._scores is None else self.index.records
+        return facet_counts(self.candidates, self.index.spec, self.state, self._checks, every)
 
     @cached_property
     def facets(self) -> DataFrame:

@@ -6,7 +6,9 @@ returns DataFrames; `Engine` decides where they are written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["element_id", "site_id"]
@@ -78,16 +80,23 @@ def counts(store: DataFrame) -> DataFrame:
     )
 
 
+def _ranges(records: DataFrame) -> list:
+    """Keys that cut the records into about as many ranges of like size as there are shuffle partitions."""
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.percentile_approx("element_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000) if parts > 1 else F.array()
+    return sorted({c for c in records.agg(cuts.alias("cuts")).first()["cuts"] or [] if c is not None})
+
+
 def internal_ids(records: DataFrame) -> DataFrame:
     """object_id, id: positions from 0 in (element, site) order.
 
-    Ranges are sorted apart and offset by the rows of the ranges before, so no task sorts everything.
+    A record's range follows from its own key and fixed bounds, so however often and on however many tasks it is computed,
+    ranges and their offsets agree; each range is sorted apart.
     """
-    from pyspark.sql import Window
-
-    dealt = records.select("object_id", *KEY).repartitionByRange(*KEY).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
+    cuts = _ranges(records)
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("element_id"))) if cuts else F.lit(0)
+    dealt = records.select("object_id", *KEY, above.alias("_part"))
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = list(itertools.accumulate((sizes.get(n, 0) for n in range(len(cuts))), initial=0))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*KEY)) - 1
-    return dealt.join(F.broadcast(offsets), "_part").select("object_id", (F.col("_before") + rank).cast("bigint").alias("id"))
+    return dealt.select("object_id", (F.get(F.array(*map(F.lit, before)), F.col("_part")) + rank).cast("bigint").alias("id"))

@@ -74,17 +74,25 @@ class Engine:
         import time
 
         folder = self.publisher.folder
-        before = folder.read(f"{handle}/store.json")
+        before = json.loads(folder.read(f"{handle}/store.json") or "{}")
         path = f"store.{handle}/{time.time_ns()}"
         rows.write.option("compression", self.config.compression).parquet(f"{folder.root}/{path}")
-        folder.write(f"{handle}/store.json", json.dumps({"path": path}))
-        if before:
-            folder.delete(json.loads(before)["path"])
+        folder.write(f"{handle}/store.json", json.dumps({"path": path, "before": before.get("path")}))
+        if before.get("before"):  # the last two stay, for those who are still reading
+            folder.delete(before["before"])
         return self._store(handle)
 
+    def _writing(self, handle: str):
+        """Held while a store or a version is read, changed and written."""
+        return self.publisher.folder.lock(f"lock.{handle}", self.publisher.patience)
+
     # Builds
     def build(self, handle: str, full: bool = False) -> DataFrame:
-        """The store after a full scan, or after taking up dirty rows alone."""
+        """The store after a full scan, or after taking up dirty rows alone; one writer at a time."""
+        with self._writing(handle):
+            return self._build(handle, full)
+
+    def _build(self, handle: str, full: bool) -> DataFrame:
         spec, now = self.spec(handle), self._store(handle)
         if now is None or full:
             rows = compile_records(scan(self.tables(), spec), spec).dropDuplicates(st.KEY)
@@ -99,6 +107,10 @@ class Engine:
 
     def publish(self, handle: str, force: bool = False) -> Version:
         """Compiles what is stored and publishes it; deleted rows are purged afterwards."""
+        with self._writing(handle):
+            return self._publish(handle, force)
+
+    def _publish(self, handle: str, force: bool) -> Version:
         spec, rows = self.spec(handle), self._store(handle)
         if rows is None:
             rows = self.build(handle)
@@ -109,12 +121,20 @@ class Engine:
         return made
 
     def rebuild(self, handle: str, full: bool = False) -> Version:
-        self.build(handle, full)
-        return self.publish(handle)
+        """A full rebuild marks everything dirty first, so that one that fails is taken up again."""
+        with self._writing(handle):
+            if full and self._store(handle) is not None:
+                self._save_store(handle, st.mark_all_dirty(self._store(handle)))
+            self.build(handle, full)
+            return self.publish(handle)
 
     # Changes
     def changed(self, handle: str, saved: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
         """Takes up saved and deleted keys (element_id, site_id) and everything built from them; nothing is rebuilt yet."""
+        with self._writing(handle):
+            self._changed(handle, saved, deleted)
+
+    def _changed(self, handle: str, saved: DataFrame | None, deleted: DataFrame | None) -> None:
         now = self._store(handle)
         if now is None:
             return

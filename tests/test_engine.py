@@ -144,12 +144,12 @@ def test_versions_are_pruned_and_failures_recorded(world):
     ledger = engine.publisher.versions("news")
     assert [(v.version, v.status) for v in ledger] == [(3, "superseded"), (4, "superseded"), (5, "live")]
     assert len([n for n in engine.publisher.folder.names("news") if not n.endswith(".json")]) == 3
-    write = engine.publisher._write
-    engine.publisher._write = lambda *a: 1 / 0
+    write = engine.publisher._stage
+    engine.publisher._stage = lambda *a: 1 / 0
     state["rows"].append((50, 1, "news", "post", True, None, "Never", 1.0))
     with pytest.raises(ZeroDivisionError):
         engine.rebuild("news", full=True)
-    engine.publisher._write = write
+    engine.publisher._stage = write
     assert engine.publisher.versions("news")[-1].status == "failed" and "Never" not in titles(engine)
     assert engine.rebuild("news", full=True).version == 7 and "Never" in titles(engine)
 
@@ -210,3 +210,75 @@ def test_bursts(spark):
     ev = spark.createDataFrame([(1, 0), (1, 29), (1, 30), (2, 5), (2, 5)], "element_id bigint, t int").withColumn("ts", F.timestamp_seconds("t"))
     assert sorted((r.element_id, r.events) for r in debounced(ev).collect()) == [(1, 1), (1, 2), (2, 2)]
     assert deduplicated(ev, ["element_id", "t"]).count() == 4
+
+
+def test_two_writers_and_a_reader(spark, tmp_path):
+    """Versions and pointer of one index written from two threads; a reader always finds a whole version."""
+    import threading
+
+    from lodestone.operators.compile import build_index
+    from lodestone.operators.publish import Busy, Publisher
+    from lodestone.spec import Attribute, IndexSpec
+
+    spec = IndexSpec("i", attributes=(Attribute("a", roles=("facet",)),))
+    build = lambda n: build_index(spark.range(n).selectExpr("cast(id as string) as object_id", "'x' as a"), spec)
+    path = f"file://{tmp_path}/pub"
+    Publisher(spark, path, keep=9).publish(build(1))
+    faults, seen, done = [], [], threading.Event()
+
+    def write(first):
+        try:
+            for n in range(first, first + 4, 2):
+                Publisher(spark, path, keep=9).publish(build(n))
+        except Exception as problem:
+            faults.append(problem)
+
+    def read():
+        reader = Publisher(spark, path)
+        while not done.is_set():
+            pointer, found = reader.pointer("i"), reader.published("i")
+            seen.append(pointer is not None and found is not None and found.records.count() > 0)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (2, 3)]
+    watch = threading.Thread(target=read)
+    for t in (*threads, watch):
+        t.start()
+    for t in threads:
+        t.join()
+    done.set()
+    watch.join()
+    publisher = Publisher(spark, path, patience=0.3)
+    ledger = publisher.versions("i")
+    assert not faults and seen and all(seen)
+    assert [v.version for v in ledger] == [1, 2, 3, 4, 5] and [v.status for v in ledger].count("live") == 1
+    assert ledger[-1].status == "live" and publisher.pointer("i")["version"] == 5
+    with Publisher(spark, path).folder.lock("lock.i"):
+        with pytest.raises(Busy):
+            publisher.publish(build(9))
+    publisher.publish(build(9))
+    assert publisher.published("i").records.count() == 9
+
+
+def test_internal_ids_agree_whatever_the_partitions(spark):
+    from lodestone.operators.store import internal_ids
+
+    rows = spark.range(500).selectExpr("concat(id, '') as object_id", "cast(id * 7 % 500 as bigint) as element_id", "cast(id % 2 as int) as site_id")
+    for n in (1, 3, 11):
+        got = {r.object_id: r.id for r in internal_ids(rows.repartition(n)).collect()}
+        assert got == {str(i): i * 7 % 500 for i in range(500)}
+    assert internal_ids(rows.limit(0)).count() == 0
+
+
+def test_truncation_is_a_group_limit_and_text_joins_keep_records_in_place(spark):
+    from lodestone.operators.compile import build_index
+    from lodestone.operators.search import search
+    from lodestone.spec import Attribute, IndexSpec
+
+    spec = IndexSpec("i", attributes=(Attribute("n", roles=("facet",), facet_type="numeric", max_values=3), Attribute("a", roles=("facet",)), Attribute("t", roles=("searchable",))))
+    index = build_index(spark.range(50).selectExpr("cast(id as string) as object_id", "id as n", "concat('v', id % 5) as a", "concat('word w', id) as t"), spec)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    result = search(index, {"query": "w1", "refinements": {"a": ["v1", "v4", "gone"]}})
+    assert "WindowGroupLimit" in plan(result.facets) and "BroadcastHashJoin" in plan(result.matches)
+    assert sorted((r.value, r["count"]) for r in result.facets.where("facet = 'a'").collect()) == [("v0", 2), ("v1", 3), ("v2", 2), ("v3", 2), ("v4", 2)]
+    none = search(index, {"query": "w3", "refinements": {"a": ["v4"], "n": [49]}})
+    assert ("49", 0) in [(r.value, r["count"]) for r in none.facets.collect()]
