@@ -3,8 +3,8 @@
 Writing: a task writes one archive (a gzip member per record) and, for every `RUN` records, a capture run: the index
 lines of these records sorted by URL key and timestamp, with the place of every `STRIDE`-th line at its end.
 Merging: while there are more runs than `FAN_IN`, groups of them are merged into longer runs; then the key space is
-cut into ranges at sampled keys, and a task merges the slices of all runs in its range with a loser tree.  The
-ranges in order are the global index: all captures of a URL, by time.
+cut into ranges at sampled captures (whole index lines, so the captures of one URL can be many ranges), and a task merges
+the slices of all runs in its range with a loser tree.  The ranges in order are the global index: all captures of a URL, by time.
 Reading: records are fetched by archive and offset, parsed, and their payloads hashed again.
 """
 
@@ -90,18 +90,18 @@ def write_run(folder: str, entries: Iterable[list]) -> tuple[str, int, list[str]
     at, n, places, some = 0, 0, [], []
     for entry in entries:
         if n % STRIDE == 0:
-            places.append([entry[0], at])
+            places.append([entry, at])
         line = json.dumps(entry).encode() + b"\n"
         sink.write(line)
         at, n = at + len(line), n + 1
-    some = [places[i * len(places) // SAMPLES][0] for i in range(SAMPLES)] if places else []
+    some = [json.dumps(places[i * len(places) // SAMPLES][0]) for i in range(SAMPLES)] if places else []
     sink.write(json.dumps(places).encode() + b"\n" + b"%020d" % at)
     sink.close()
-    return name, n, sorted(set(some))
+    return name, n, list(dict.fromkeys(some))
 
 
-def read_run(folder: str, name: str, low: str | None = None, high: str | None = None) -> Iterator[list]:
-    """Entries with low <= key < high."""
+def read_run(folder: str, name: str, low: list | None = None, high: list | None = None) -> Iterator[list]:
+    """Entries with low <= entry < high; a bound may be the first fields of an entry."""
     with reopen(folder, name) as source:
         size = source.size()
         source.seek(size - 20)
@@ -109,8 +109,8 @@ def read_run(folder: str, name: str, low: str | None = None, high: str | None =
         source.seek(end)
         places = json.loads(source.read(size - 20 - end))
         start = 0
-        for key, at in places:
-            if low is not None and key < low:
+        for entry, at in places:
+            if low is not None and entry < low:
                 start = at
             else:
                 break
@@ -123,9 +123,9 @@ def read_run(folder: str, name: str, low: str | None = None, high: str | None =
             rest = lines.pop()
             for line in lines:
                 entry = json.loads(line)
-                if high is not None and entry[0] >= high:
+                if high is not None and entry >= high:
                     return
-                if low is None or entry[0] >= low:
+                if low is None or entry >= low:
                     yield entry
 
 
@@ -216,7 +216,7 @@ def _merge_range(folder: str, runs):
         for batch in batches:
             for part, low, high in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held: list[list] = []
-                merged = LoserTree([read_run(folder, r, low, high) for r in runs.value])
+                merged = LoserTree([read_run(folder, r, json.loads(low), json.loads(high)) for r in runs.value])
                 for n, entry in enumerate(merged):
                     held.append([*entry, part, n])
                     if len(held) == 4096:
@@ -237,17 +237,17 @@ def _entries(rows: list[list]) -> pa.RecordBatch:
 def merge_index(manifest: DataFrame, folder: str) -> DataFrame:
     """The captures in global order of (key, time): their entries, `part` (range, ascending) and `place` in it.
 
-    The driver holds the names of `FAN_IN` runs at most and `SAMPLES` keys of each.
+    The driver holds the names of `FAN_IN` runs at most and `SAMPLES` captures of each.
     """
     spark = manifest.sparkSession
     while (n := manifest.count()) > FAN_IN:
         groups = manifest.select("run", F.pmod(F.xxhash64("run"), F.lit(-(-n // (FAN_IN // 2)))).alias("_g")).groupBy("_g").agg(F.collect_list("run").alias("_runs"))
         manifest = saved(groups.select("_runs").mapInArrow(_merge_groups(folder), _MANIFEST), "runs")
     rows = manifest.select("run", "entries", "samples").collect()
-    keys = sorted(k for r in rows for k in r["samples"])
-    parts = max(1, min(len(keys), int(sum(r["entries"] for r in rows) // RUN) + spark.sparkContext.defaultParallelism))
-    cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
-    ranges = list(zip(range(len(cuts) + 1), [None, *cuts], [*cuts, None]))
+    found = sorted(json.loads(line) for r in rows for line in r["samples"])
+    parts = max(1, min(len(found), int(sum(r["entries"] for r in rows) // RUN) + spark.sparkContext.defaultParallelism))
+    cuts = [json.dumps(found[i * len(found) // parts]) for i in range(1, parts)]
+    ranges = list(zip(range(len(cuts) + 1), ["null", *cuts], [*cuts, "null"]))
     runs = spark.sparkContext.broadcast(sorted(r["run"] for r in rows))
     dealt = spark.createDataFrame(ranges, "part long, low string, high string").repartitionByRange(len(ranges), "part")
     return saved(dealt.mapInArrow(_merge_range(folder, runs), f"{_ENTRY}, part long, place long"), "index")

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import json
 import random
+from collections import Counter
 
 import pytest
 
@@ -25,9 +27,11 @@ def test_url_keys():
 def test_run_slices(tmp_path):
     entries = [[f"k{i:04}", "t", i] for i in range(1000)]
     name, n, some = write_run(str(tmp_path), entries)
-    assert n == 1000 and some == sorted(some) and list(read_run(str(tmp_path), name)) == entries
-    assert list(read_run(str(tmp_path), name, "k0100", "k0300")) == entries[100:300]
-    assert list(read_run(str(tmp_path), name, "k0999x")) == []
+    places = [json.loads(line) for line in some]
+    assert n == 1000 and places == sorted(places) and list(read_run(str(tmp_path), name)) == entries
+    assert list(read_run(str(tmp_path), name, ["k0100"], ["k0300"])) == entries[100:300]
+    assert list(read_run(str(tmp_path), name, ["k0100", "t", 101], ["k0300", "t"])) == entries[101:300]
+    assert list(read_run(str(tmp_path), name, ["k0999x"])) == []
 
 
 def pages():
@@ -61,5 +65,18 @@ def test_index_is_globally_ordered(spark):
     assert len(index) == len(pages()) and [(r.key, r.time) for r in index] == sorted((r.key, r.time) for r in index)
 
 
+@pytest.mark.parametrize("url", ["http://one.example/", None])
+def test_captures_of_one_url_are_several_ranges(spark, monkeypatch, url):
+    monkeypatch.setattr(module, "RUN", 500)  # on the driver only: it sets the number of ranges
+    rows = [(i if i % 3 else None, url, f"page {i % 40}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = scratch(spark, "warc")
+    index = merge_index(write_archives(df, folder), folder).orderBy("part", "place").collect()
+    order = [(r.key, r.time, r.page_id, r.archive, r.offset) for r in index]
+    sizes = Counter(r.part for r in index)
+    assert len(index) == len(set(order)) == 4000 and order == sorted(order)
+    assert len(sizes) >= 8 and max(sizes.values()) < 1000
+
+
 def test_empty(spark):
     assert archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
