@@ -21,10 +21,10 @@ class Index:
     postings: DataFrame | None = None
 
 
-def _object_id(table: DataFrame) -> list[Column]:
+def object_id(table: DataFrame) -> list[Column]:
     if "object_id" in table.columns:
         return [F.col("object_id").cast("string").alias("object_id")]
-    own = [F.col("element_id").cast("bigint").alias("element_id"), (F.col("site_id") if "site_id" in table.columns else F.lit(1)).cast("int").alias("site_id")]
+    own = [F.col("element_id").try_cast("bigint").alias("element_id"), (F.col("site_id") if "site_id" in table.columns else F.lit(1)).cast("int").alias("site_id")]
     return [F.concat_ws("-", own[0].cast("string"), own[1].cast("string")).alias("object_id"), *own]
 
 
@@ -34,7 +34,7 @@ def compile_records(table: DataFrame, spec: IndexSpec) -> DataFrame:
     No shuffle, no Python: scans prune to the declared paths.
     """
     spec.validated()
-    columns = _object_id(table)
+    columns = object_id(table)
     for a in spec.attributes:
         if a.has(FACET):
             columns.append(place_value(table, a).alias(f"g_{a.key}") if a.facet_type == GEO else facet_values(table, a).alias(f"f_{a.key}"))

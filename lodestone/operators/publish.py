@@ -62,6 +62,9 @@ class Folder:
         self._jvm = spark._jvm
         self._held: dict[str, int] = {}
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
+        # Small files have no checksum files on a local file system: a file and its checksum can't be replaced at once.
+        self._small = self._fs.getRawFileSystem() if self._local else self._fs
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -72,14 +75,14 @@ class Folder:
     def read(self, name: str) -> str | None:
         if not self.exists(name):
             return None
-        stream = self._fs.open(self._path(name))
+        stream = self._small.open(self._path(name))
         try:
             return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
         finally:
             stream.close()
 
     def _put(self, name: str, text: str, overwrite: bool) -> None:
-        stream = self._fs.create(self._path(name), overwrite)
+        stream = self._small.create(self._path(name), overwrite)
         try:
             stream.write(bytearray(text.encode()))
         finally:
@@ -89,6 +92,10 @@ class Folder:
         """By a temporary file and a rename over the old one, so that a reader sees the old or the new content."""
         part = f"{name}.{time.time_ns()}.part"
         self._put(part, text, True)
+        if self._local:
+            if not self._small.rename(self._path(part), self._path(name)):
+                raise OSError(f"could not replace {name}")
+            return
         fs = self._jvm.org.apache.hadoop.fs
         kinds = getattr(fs, "Options$Rename")
         over = self.spark.sparkContext._gateway.new_array(kinds, 1)
@@ -96,6 +103,23 @@ class Folder:
         context = fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(self._path(part), self._path(name), over)
 
+    def _create(self, name: str, text: str) -> bool:
+        """Whether the file was not there and is now, at once."""
+        if self._local:
+            file = self._jvm.java.io.File(self._path(name).toUri().getPath())
+            file.getParentFile().mkdirs()
+            if not file.createNewFile():
+                return False
+            self._put(name, text, True)
+            return True
+        try:
+            self._put(name, text, False)
+            return True
+        except Py4JJavaError as taken:
+            if not self.exists(name) and "AlreadyExists" not in str(taken.java_exception):
+                raise
+            return False
+
     def move(self, name: str, to: str) -> None:
         if not self._fs.rename(self._path(name), self._path(to)):
             raise OSError(f"could not rename {name} to {to}")
@@ -108,13 +132,7 @@ class Folder:
             yield
             return
         until = time.time() + wait
-        while True:
-            try:
-                self._put(file, json.dumps({"at": time.time()}), False)
-                break
-            except Py4JJavaError as taken:
-                if not self.exists(file) and "AlreadyExists" not in str(taken.java_exception):
-                    raise
+        while not self._create(file, json.dumps({"at": time.time()})):
             if self._age(file) > stale:
                 self.delete(file)
             elif time.time() > until:
@@ -145,10 +163,10 @@ class Folder:
 
 
 class Publisher:
-    """Publishes the versions of indexes below one path."""
+    """Publishes the versions of indexes below one path; `folder` takes the place of the Hadoop folder there."""
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3, compression: str = "zstd", patience: float = 600.0):
-        self.spark, self.folder, self.keep, self.compression, self.patience = spark, Folder(spark, path), keep, compression, patience
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, compression: str = "zstd", patience: float = 600.0, folder: Folder | None = None):
+        self.spark, self.folder, self.keep, self.compression, self.patience = spark, folder or Folder(spark, path), keep, compression, patience
 
     def versions(self, handle: str) -> list[Version]:
         text = self.folder.read(f"{handle}/versions.json")

@@ -6,12 +6,14 @@ import json
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import store as st
-from lodestone.operators.compile import Index, build_postings, compile_records
-from lodestone.operators.publish import Publisher, Version, differences
+from lodestone.operators.compile import Index, build_postings, compile_records, object_id
+from lodestone.operators.publish import Folder, Publisher, Version, differences
 from lodestone.operators.search import SearchResult, search
 from lodestone.plans.response import response, to_json
 from lodestone.sources.registry import scan
@@ -20,17 +22,26 @@ from lodestone.state import QueryState, parse
 
 Tables = Callable[[], dict[str, DataFrame]]
 
+#: Elements that a build may leave out; with more failing ones the build fails, as the definition is at fault then.
+MOST_FAILING = 100
+#: Parts that a failing set of elements is split into.
+SPLIT = 16
+
 
 class NotPublished(LookupError):
     pass
 
 
 class Engine:
-    """tables: a function that gives the element tables by kind as they are now; deps: element_id, dep_element_id."""
+    """tables: a function that gives the element tables by kind as they are now; deps: element_id, dep_element_id.
+
+    errors: per index, the elements that its last build left out, with the reason.  folder: a store for what is published.
+    """
 
-    def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig | None = None, deps: Callable[[], DataFrame] | None = None):
-        self.spark, self.tables, self.config, self.deps = spark, tables, config or EngineConfig(), deps
-        self.publisher = Publisher(spark, self.config.publish_path, self.config.keep_versions, self.config.compression)
+    def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig, deps: Callable[[], DataFrame] | None = None, folder: Folder | None = None):
+        self.spark, self.tables, self.config, self.deps = spark, tables, config, deps
+        self.publisher = Publisher(spark, config.publish_path, config.keep_versions, config.compression, folder=folder)
+        self.errors: dict[str, dict[str, str]] = {}
         self._specs: dict[str, IndexSpec] = {}
 
     # Definitions
@@ -88,22 +99,57 @@ class Engine:
 
     # Builds
     def build(self, handle: str, full: bool = False) -> DataFrame:
-        """The store after a full scan, or after taking up dirty rows alone; one writer at a time."""
+        """The store after a full scan, or after taking up dirty rows alone; one writer at a time.
+
+        Elements that fail are left out and listed in `errors`; their records stay as they were, and dirty.
+        """
         with self._writing(handle):
             return self._build(handle, full)
 
     def _build(self, handle: str, full: bool) -> DataFrame:
         spec, now = self.spec(handle), self._store(handle)
-        if now is None or full:
-            rows = compile_records(scan(self.tables(), spec), spec).dropDuplicates(st.KEY)
-            return self._save_store(handle, rows.withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(False)))
-        dirty = now.where(F.col("dirty") & ~F.col("deleted")).select(*st.KEY)
         covered = scan(self.tables(), spec)
-        on = [k for k in st.KEY if k in covered.columns]
-        rows = compile_records(covered.join(dirty.select(*on).distinct(), on, "left_semi"), spec).dropDuplicates(st.KEY)
-        after = st.upsert(now, rows)
-        gone = dirty.join(rows.select(*st.KEY), st.KEY, "left_anti")
-        return self._save_store(handle, st.mark_deleted(after, gone))
+        if now is not None and not full:
+            dirty = now.where(F.col("dirty") & ~F.col("deleted")).select(*st.KEY)
+            on = [k for k in st.KEY if k in covered.columns]
+            covered = covered.join(dirty.select(*on).distinct(), on, "left_semi")
+
+        def after(failing: list[str]) -> DataFrame:
+            own = F.col("object_id").isin(failing) if failing else F.lit(False)
+            taken = covered.where(~F.coalesce(object_id(covered)[0].isin(failing), F.lit(False))) if failing else covered
+            rows = compile_records(taken, spec).dropDuplicates(st.KEY)
+            if now is None or full:
+                rows = rows.withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(False))
+                return rows.unionByName(now.where(own).withColumn("dirty", F.lit(True)), allowMissingColumns=True).select(rows.columns) if failing and now is not None else rows
+            gone = now.where(F.col("dirty") & ~F.col("deleted") & ~own).select(*st.KEY).join(rows.select(*st.KEY), st.KEY, "left_anti")
+            return st.mark_deleted(st.upsert(now, rows), gone)
+
+        self.errors[handle] = {}
+        plan = after([])
+        try:
+            return self._save_store(handle, plan)
+        except (PySparkException, Py4JJavaError):
+            self.errors[handle] = self._failing(covered, spec)
+            if not self.errors[handle]:
+                raise
+            return self._save_store(handle, after(sorted(self.errors[handle])))
+
+    def _failing(self, covered: DataFrame, spec: IndexSpec) -> dict[str, str]:
+        """The elements whose records can't be built: failing sets are split by hash until one element is left."""
+        own, found, todo = object_id(covered)[0], {}, [(0, covered)]
+        while todo:
+            level, part = todo.pop()
+            try:
+                compile_records(part, spec).write.format("noop").mode("overwrite").save()
+            except (PySparkException, Py4JJavaError) as error:
+                ids = [r[0] for r in part.select(own).distinct().limit(2).collect()]
+                if len(ids) == 1 and ids[0] is not None:
+                    found[ids[0]] = str(error).split("\n", 1)[0]
+                elif level == 64 or len(found) == MOST_FAILING:
+                    raise
+                else:
+                    todo += [(level + 1, part.where(F.pmod(F.xxhash64(own, F.lit(level)), F.lit(SPLIT)) == n)) for n in range(SPLIT)]
+        return found
 
     def publish(self, handle: str, force: bool = False) -> Version:
         """Compiles what is stored and publishes it; deleted rows are purged afterwards."""
@@ -179,19 +225,20 @@ class Engine:
 
     # Inspection
     def preview(self, handle: str, object_id: str) -> dict[str, Any]:
-        """One record as it would be built now, with its tokens."""
+        """One record as it would be built now, with its tokens and the elements it is built from."""
         spec = self.spec(handle)
         records = compile_records(scan(self.tables(), spec, "any"), spec).where(F.col("object_id") == object_id)
         row = records.first()
         if row is None:
             raise KeyError(object_id)
         tokens = build_postings(records, spec).select("token", "weight").orderBy("token").collect()
-        return {"record": row.asDict(recursive=True), "tokens": {t.token: t.weight for t in tokens}}
+        used = self.deps().where(F.col("element_id") == row["element_id"]).select("dep_element_id").distinct().collect() if self.deps and "element_id" in records.columns else []
+        return {"record": row.asDict(recursive=True), "tokens": {t.token: t.weight for t in tokens}, "dependencies": sorted(d[0] for d in used if d[0] is not None)}
 
     def status(self, handle: str) -> dict[str, Any]:
         now, pointer = self._store(handle), self.publisher.pointer(handle)
         counts = st.counts(now).first().asDict() if now is not None else {"records": 0, "dirty": 0, "deleted": 0}
-        return {"handle": handle, **counts, "published": pointer, "versions": self.publisher.versions(handle)}
+        return {"handle": handle, **counts, "published": pointer, "versions": self.publisher.versions(handle), "errors": self.errors.get(handle, {})}
 
     def verify(self, handle: str) -> DataFrame:
         """Differences between the published records and a fresh build; empty if they agree."""

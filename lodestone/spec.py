@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 from typing import Any
 
 STRING, HIERARCHICAL, NUMERIC, BOOLEAN, DATE, GEO = "string", "hierarchical", "numeric", "boolean", "date", "geo"
@@ -225,11 +225,9 @@ def limited(spec: IndexSpec, features: Features) -> IndexSpec:
 
 @dataclass
 class EngineConfig:
-    """Where an engine publishes, how many versions it keeps and how it updates."""
+    """Where an engine publishes, how many versions it keeps, and whether change events update it."""
 
-    publish_path: str = "/tmp/lodestone"
+    publish_path: str
     keep_versions: int = 3
     auto_update: bool = True
     compression: str = "zstd"
-    shards: int | None = None
-    extra: dict[str, Any] = field(default_factory=dict)

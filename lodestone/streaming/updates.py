@@ -33,7 +33,9 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def apply_changes(engine: Engine, handles: list[str], events: DataFrame, rebuild: bool = True) -> None:
-    """One update: takes up the keys and their dependents, then rebuilds and publishes each index once."""
+    """One update: takes up the keys and their dependents, then rebuilds and publishes each index once; nothing if updates are off."""
+    if not engine.config.auto_update:
+        return
     last = latest(relevant(events)).persist()
     try:
         if last.isEmpty():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import store as st
-from lodestone.operators.publish import differences
+from lodestone.operators.publish import Folder, differences
 from lodestone.operators.relations import dependencies, with_related
 from lodestone.plans.engine import Engine, NotPublished
 from lodestone.sources.registry import Kind, covers, register_kind, scan
@@ -113,7 +113,8 @@ def test_build_publish_and_query(world, spark):
     assert engine.publish("news", force=True).version == 2
     assert engine.search_url("news", "/x?q=saw&price=..15").nb_hits == 1
     assert json.loads(engine.search_json("news", '{"query": "saw"}'))["nbHits"] == 2
-    assert engine.preview("news", "2-1")["tokens"] == {"blue": 1.0, "saw": 1.0}
+    shown = engine.preview("news", "2-1")
+    assert shown["tokens"] == {"blue": 1.0, "saw": 1.0} and shown["dependencies"] == [70]
     assert engine.count("news") == 3 and engine.prune("news") == []
     assert engine.verify("news").count() == 0 and engine.status("news")["records"] == 3
     assert differences(keys(spark, (1, 1), (1, 1)), keys(spark, (1, 1))).count() == 1
@@ -282,3 +283,63 @@ def test_truncation_is_a_group_limit_and_text_joins_keep_records_in_place(spark)
     assert sorted((r.value, r["count"]) for r in result.facets.where("facet = 'a'").collect()) == [("v0", 2), ("v1", 3), ("v2", 2), ("v3", 2), ("v4", 2)]
     none = search(index, {"query": "w3", "refinements": {"a": ["v4"], "n": [49]}})
     assert ("49", 0) in [(r.value, r["count"]) for r in none.facets.collect()]
+
+
+def test_failing_elements_are_left_out(spark, world):
+    state, engine = world
+    engine.rebuild("news")
+    whole, bad = engine.tables, ["2-1", "2-2"]
+
+    def damaged():
+        failing = F.concat_ws("-", "element_id", "site_id").isin(bad)
+        return {"entry": whole()["entry"].withColumn("title", F.when(failing, F.raise_error(F.lit("no title"))).otherwise(F.concat("title", F.lit("!"))))}
+
+    engine.tables = damaged
+    engine.build("news", full=True)
+    assert sorted(engine.errors["news"]) == bad and all("no title" in e for e in engine.status("news")["errors"].values())
+    rows = {r.object_id: (r.x_title, r.dirty) for r in engine._store("news").collect()}
+    assert rows["1-1"] == ("Red saw!", False) and rows["2-1"] == ("Blue saw", True) and rows["2-2"] == ("Scie bleue", True)
+    bad.remove("2-2")
+    engine.build("news")
+    rows = {r.object_id: (r.x_title, r.dirty, r.deleted) for r in engine._store("news").collect()}
+    assert list(engine.errors["news"]) == ["2-1"] and rows["2-1"] == ("Blue saw", True, False) and rows["2-2"] == ("Scie bleue!", False, False)
+    bad.clear()
+    engine.rebuild("news")
+    assert engine.errors["news"] == {} and titles(engine) == ["Blue saw!", "Red saw!", "Scie bleue!"]
+
+
+def test_a_build_that_fails_as_a_whole_fails(spark, world):
+    state, engine = world
+    whole = engine.tables
+    engine.tables = lambda: {"entry": whole()["entry"].withColumn("site_id", F.raise_error(F.lit("broken")).cast("int"))}
+    with pytest.raises(Exception, match="broken"):
+        engine.build("news", full=True)
+
+
+def test_events_do_nothing_while_updates_are_off(spark, world):
+    state, engine = world
+    engine.rebuild("news")
+    state["rows"][0] = (1, 1, "news", "post", True, None, "New saw", 10.0)
+    events = spark.createDataFrame([(1, 1, "save", 1)], "element_id bigint, site_id int, op string, ts bigint")
+    engine.config.auto_update = False
+    apply_changes(engine, ["news"], events)
+    assert titles(engine) == ["Blue saw", "Red saw", "Scie bleue"]
+    engine.config.auto_update = True
+    apply_changes(engine, ["news"], events)
+    assert titles(engine) == ["Blue saw", "New saw", "Scie bleue"]
+
+
+def test_published_to_another_store(spark, world, tmp_path):
+    state, engine = world
+
+    class Counted(Folder):
+        written = 0
+
+        def write(self, name, text):
+            Counted.written += 1
+            super().write(name, text)
+
+    other = Engine(spark, engine.tables, engine.config, folder=Counted(spark, f"file://{tmp_path}/other"))
+    other.save(SPEC)
+    other.rebuild("news")
+    assert Counted.written > 0 and titles(other) == ["Blue saw", "Red saw", "Scie bleue"] and engine.publisher.pointer("news") is None
