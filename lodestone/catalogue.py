@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.facet_value import key_of
+from lodestone.functions.labels import distance_label, range_label, tree
 from lodestone.functions.text import slug, tokens
 from lodestone.operators import store as st
 from lodestone.operators.compile import Index, build_index, compile_records, facet_dictionary
-from lodestone.operators.extract import ancestors, attribute_values, facet_values, payload, sort_key
+from lodestone.operators.extract import ancestors, attribute_values, facet_values, payload, place_value, sort_key
 from lodestone.operators.facets import numeric_buckets
 from lodestone.operators.match import text_match
 from lodestone.operators.publish import LIVE, SUPERSEDED, Publisher, Version, differences
 from lodestone.operators.relations import dependencies, with_related
 from lodestone.operators.search import SearchResult, search
+from lodestone.plans.engine import Engine
 from lodestone.sources.registry import scan
-from lodestone.spec import BOOLEAN, DATE, GEO, HIERARCHICAL, NUMERIC, Attribute, IndexSpec, Sorting, Source
-from lodestone.state import QueryState, encode, parse, url
-from lodestone.streaming.updates import debounced, latest
+from lodestone.spec import BOOLEAN, DATE, GEO, HIERARCHICAL, NUMERIC, Attribute, EngineConfig, IndexSpec, Sorting, Source
+from lodestone.state import QueryState, active, encode, parse, url
+from lodestone.streaming.updates import apply_changes, debounced, latest, relevant
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -731,6 +733,113 @@ def typed_values(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", sort_key(rows, Attribute("a"))["n"].alias("n"), sort_key(rows, Attribute("p_brand"))["s"].alias("s"), (F.size(facet_values(rows, numeric)) == 1).alias("has"))
 
 
+@_query(
+    "WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'view' THEN 'view' ELSE 'save' END AS op FROM events), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, op = 'delete' DESC) AS n FROM e WHERE op <> 'view' AND user_id % 7 <> 0) "
+    "SELECT user_id AS element_id, op, ts FROM r WHERE n = 1"
+)
+def change_capture(spark: SparkSession, sf: str) -> DataFrame:
+    """The last event of each element, of known operations and not on drafts."""
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "view").otherwise("save")
+    user = F.col("user_id")
+    events = _table(spark, sf, "events").select(user.alias("element_id"), F.lit(1).alias("site_id"), kind.alias("op"), "ts", F.when(user % 7 == 0, user).alias("draft_id"))
+    return latest(relevant(events)).select("element_id", "op", "ts")
+
+
+_UPDATED = "CASE WHEN p_partkey % 20 = 0 AND p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 20 = 0 THEN 'New' WHEN p_partkey % 50 = 3 THEN 'Related' ELSE p_brand END"
+
+
+@_query(
+    f"SELECT 'brand' AS facet, {_UPDATED} AS value, count(*) AS count, FALSE AS is_refined FROM part WHERE NOT (p_partkey % 20 = 1) AND {_UPDATED} IS NOT NULL GROUP BY 2"
+)
+def engine_update(spark: SparkSession, sf: str) -> DataFrame:
+    """An index built, then updated by events: saved elements and those built from them anew, deleted ones and drafts out.
+
+    Every element's brand changes in the table; only what the events touch may show it.
+    """
+    part, key, stage = _table(spark, sf, "part"), F.col("p_partkey"), {"now": 0}
+
+    def tables() -> dict[str, DataFrame]:
+        brand = F.when(key % 20 == 0, "New").otherwise("Related") if stage["now"] else F.col("p_brand")
+        enabled = ~((key % 20 == 0) & (key % 7 == 0)) if stage["now"] else F.lit(True)
+        return {"entry": part.select(key.alias("element_id"), F.lit(1).alias("site_id"), F.lit("parts").alias("section"), enabled.alias("enabled"), brand.alias("brand"))}
+
+    deps = part.where("p_partkey % 50 = 3").select(key.alias("element_id"), (-key).alias("dep_element_id"))
+    folder = _publisher(spark, "engine").folder
+    engine = Engine(spark, tables, EngineConfig(publish_path=folder.root), lambda: deps, folder)
+    engine.save(IndexSpec("parts", sources=(Source("entry", ("parts",)),), attributes=(Attribute("brand", roles=("facet",), max_values=ALL),)))
+    engine.rebuild("parts", full=True)
+    stage["now"] = 1
+    op = F.when(key % 20 == 1, "delete").otherwise("save")
+    own = part.where("p_partkey % 20 IN (0, 1)").select(key.alias("element_id"), F.lit(1).alias("site_id"), op.alias("op"), F.lit(1).alias("ts"))
+    related = part.where("p_partkey % 50 = 3").select((-key).alias("element_id"), F.lit(1).alias("site_id"), F.lit("save").alias("op"), F.lit(1).alias("ts"))
+    apply_changes(engine, ["parts"], own.unionByName(related))
+    return _facets(engine.search("parts"))
+
+
+_LAT, _LNG = "c_custkey % 240 - 120", "c_custkey % 480 - 240"
+
+
+@_query(
+    f"SELECT c_custkey, CAST({_LAT} AS DOUBLE) AS lat, CAST({_LNG} AS DOUBLE) AS lng FROM customer "
+    f"WHERE c_custkey % 13 <> 0 AND {_LAT} BETWEEN -90 AND 90 AND {_LNG} BETWEEN -180 AND 180 AND NOT ({_LAT} = 0 AND {_LNG} = 0)"
+)
+def geo_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of texts `lat,lng`; what is out of range, no number or 0,0 is none."""
+    text = F.when(F.col("c_custkey") % 13 == 0, "north,1").otherwise(F.concat(F.expr(_LAT).cast("string"), F.lit(" , "), F.expr(_LNG).cast("string")))
+    rows = _table(spark, sf, "customer").select("c_custkey", text.alias("near"))
+    found = rows.select("c_custkey", place_value(rows, Attribute("near", facet_type=GEO)).alias("g")).where("g IS NOT NULL")
+    return found.select("c_custkey", F.col("g.lat").alias("lat"), F.col("g.lng").alias("lng"))
+
+
+@_query(
+    "SELECT r_name || ' > ' || n_name AS value, n_name AS label, 1 AS depth, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey "
+    "UNION ALL SELECT r_name, r_name, 0, NULL FROM region"
+)
+def hierarchy_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of a hierarchical facet as rows of a tree."""
+    rows = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.col("n_nationkey").cast("string").alias("object_id"), F.concat_ws(" > ", "r_name", "n_name").alias("place"))
+    spec = IndexSpec("nations", attributes=(Attribute("place", roles=("facet",), facet_type=HIERARCHICAL, max_values=ALL),))
+    values = [r["value"] for r in _facets(search(build_index(rows, spec))).collect()]
+    return spark.createDataFrame(tree(values), "value string, label string, depth int, parent string")
+
+
+@_query(
+    "WITH s AS (SELECT DISTINCT p_size AS n FROM part) SELECT n, CASE WHEN n < 10 THEN n * 100 || ' m' WHEN n % 10 = 0 THEN n // 10 || ' km' ELSE n // 10 || '.' || n % 10 || ' km' END AS distance, "
+    "CASE n % 3 WHEN 0 THEN n || ' – ' || n + 1 WHEN 1 THEN n || ' and up' ELSE 'Up to ' || n END AS span FROM s"
+)
+def display_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of distances and ranges for every size there is."""
+    sizes = [r.p_size for r in _table(spark, sf, "part").select("p_size").distinct().collect()]
+    bounds = [lambda n: {"min": float(n), "max": n + 1.0}, lambda n: {"min": float(n)}, lambda n: {"max": float(n)}]
+    return spark.createDataFrame([(n, distance_label(n * 100.0), range_label(bounds[n % 3](n))) for n in sizes], "n int, distance string, span string")
+
+
+@_query(_groups("part", _PART, {f: "TRUE" if f == "size" else "p_size >= 20" for f in _PART}))
+def state_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """A state edited step by step until one range is left."""
+    state = QueryState.from_dict({"query": "red", "refinements": {"brand": ["Brand#2"]}, "page": 3})
+    state = state.toggled("brand", "Brand#5").toggled("brand", "Brand#2").with_range("size", 10, 30).with_query("").toggled("type", "PROMO")
+    assert state.page == 0 and state.is_refined("brand", "Brand#5") and not state.is_refined("brand", "Brand#2") and state.refined_facets == ["brand", "type", "size"]
+    state = state.cleared("brand").toggled("type", "PROMO").with_range("size", 20)
+    return _facets(search(_parts(spark, sf), QueryState.from_dict(state.to_dict())))
+
+
+@_query(
+    "WITH b AS (SELECT p_brand FROM (SELECT DISTINCT p_brand FROM part) ORDER BY p_brand LIMIT 4), p AS (SELECT p_brand, p_size FROM part JOIN b USING (p_brand)) "
+    "SELECT 'brand' AS facet, p_brand AS label, (SELECT count(*) FROM p x WHERE x.p_brand <> b.p_brand AND x.p_size >= 20) AS hits FROM b "
+    "UNION ALL SELECT 'size', '20 and up', count(*) FROM p"
+)
+def active_refinements(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits behind the link of each chip, which takes its own refinement away and leaves the others."""
+    brands = sorted(r.p_brand for r in _table(spark, sf, "part").select("p_brand").distinct().collect())[:4]
+    state = QueryState.from_dict({"refinements": {"brand": brands}, "ranges": {"size": {"min": 20}}})
+    index = _parts(spark, sf)
+    rows = [(c.facet, c.label, search(index, parse(c.url, PART)).nb_hits) for c in active(state, PART, "/parts")]
+    return spark.createDataFrame(rows, "facet string, label string, hits bigint")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Facets of parts under two refinements and a range."""
     return facet_disjunctive_two(spark, sf)
