@@ -87,6 +87,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
 
 
+def op11_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.curve_search import near, vectors
+
+    data = vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return near(data, data.where(F.col("_id") % 20 == 0), k=20)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_search": op1_cover_search,
     "op2_packing": op2_packing,
@@ -98,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_curve_search": op11_curve_search,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 #: DuckDB twins; the other queries are held against brute force, exact round trips or held-out labels in tests/llm.
@@ -219,4 +241,39 @@ n AS (
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(digits, '') AS payload_digest,
   CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM b""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask,
+    coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM w JOIN firsts USING (t) LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (SELECT part, mask, good, bad, count(*) AS n FROM m GROUP BY ALL),
+orders AS (
+  SELECT '' AS filter_order, 0 AS step, 0 AS applied, -1 AS f
+  UNION ALL
+  SELECT filter_order || chr(65 + i::INTEGER), step + 1, applied + CASE WHEN f >= 0 THEN (1 << f) ELSE 0 END, i::INTEGER
+  FROM orders, range(5) AS u(i) WHERE step < 5 AND NOT contains(filter_order, chr(65 + i::INTEGER))
+), full_orders AS (SELECT filter_order AS whole FROM orders WHERE step = 5),
+steps AS (SELECT whole AS filter_order, step, applied, f FROM full_orders JOIN orders ON step > 0 AND starts_with(whole, filter_order)),
+edges AS (
+  SELECT part, applied, f,
+    coalesce(sum(n) FILTER (mask & (applied | (1 << f)) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & applied = 0 AND mask & (1 << f) <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & (1 << f) <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = (1 << f)), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (mask & applied = 0 AND mask & (1 << f) <> 0 AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (mask & applied = 0 AND mask & (1 << f) <> 0 AND bad), 0) AS toxic_lost
+  FROM c, (SELECT DISTINCT applied, f FROM steps) GROUP BY part, applied, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM edges JOIN steps USING (applied, f)""",
 }
