@@ -11,16 +11,17 @@ from lodestone.functions.facet_value import key_of
 from lodestone.functions.labels import distance_label, range_label, tree
 from lodestone.functions.text import slug, tokens
 from lodestone.operators import store as st
+from lodestone.operators.buckets import RecordStore
 from lodestone.operators.compile import Index, build_index, compile_records, facet_dictionary
 from lodestone.operators.extract import ancestors, attribute_values, facet_values, payload, place_value, sort_key
 from lodestone.operators.facets import numeric_buckets
 from lodestone.operators.match import text_match
-from lodestone.operators.publish import LIVE, SUPERSEDED, Publisher, Version, differences
-from lodestone.operators.relations import dependencies, with_related
+from lodestone.operators.publish import LIVE, Publisher, differences
+from lodestone.operators.relations import with_related
 from lodestone.operators.search import SearchResult, search
 from lodestone.plans.engine import Engine
-from lodestone.sources.registry import scan
-from lodestone.spec import BOOLEAN, DATE, GEO, HIERARCHICAL, NUMERIC, Attribute, EngineConfig, IndexSpec, Sorting, Source
+from lodestone.sources.registry import Condition, Kind, register_kind, scan
+from lodestone.spec import BOOLEAN, DATE, GEO, HIERARCHICAL, NUMERIC, Attribute, EngineConfig, IndexSpec, Relation, Sorting, Source
 from lodestone.state import QueryState, active, encode, parse, url
 from lodestone.streaming.updates import apply_changes, debounced, latest, relevant
 
@@ -469,11 +470,32 @@ _LINKS = """WITH l AS (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION
 """
 
 
+#: Element ids are one space: parts as they are, suppliers and nations from here on.
+_SUPPLIERS, _NATIONS = 1_000_000_000, 2_000_000_000
+
+
+def _part_engine(spark: SparkSession, sf: str) -> Engine:
+    """Parts with the suppliers of their lines and the nations of these, as two relations of the definition."""
+    element = lambda name, key, first: _table(spark, sf, name).withColumn("element_id", F.col(key).cast("bigint") + first)
+    tables = {
+        "entry": element("part", "p_partkey", 0).withColumn("site_id", F.lit(1)),
+        "supplier": element("supplier", "s_suppkey", _SUPPLIERS).withColumn("nation_id", F.col("s_nationkey").cast("bigint") + _NATIONS),
+        "nation": element("nation", "n_nationkey", _NATIONS).select("element_id", F.col("element_id").alias("id"), F.col("n_name").alias("title")),
+        "sold_by": _table(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("bigint").alias("element_id"), (F.col("l_suppkey").cast("bigint") + _SUPPLIERS).alias("related_id")).agg(F.min("l_orderkey").alias("sort_order")),
+    }
+    folder = _publisher(spark, "related").folder
+    engine = Engine(spark, lambda: tables, EngineConfig(publish_path=folder.root), folder=folder)
+    relations = (Relation("suppliers", to="supplier", links="sold_by"), Relation("nation", on="supplier", to="nation", key="nation_id"))
+    engine.save(IndexSpec("parts", relations=relations, attributes=(Attribute("nation", "suppliers.nation", roles=("facet",), max_values=ALL), Attribute("supplier", "suppliers.s_name", roles=("payload",)))))
+    return engine
+
+
 @_query(_LINKS + "SELECT 'nation' AS facet, n_name AS value, count(DISTINCT l_partkey) AS count, FALSE AS is_refined FROM l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def relation_path(spark: SparkSession, sf: str) -> DataFrame:
-    """A facet over a path through related elements: suppliers.nation.title."""
-    spec = IndexSpec("related", attributes=(Attribute("nation", "suppliers.nation.title", roles=("facet",), max_values=ALL),))
-    return _facets(search(Index(spec, compile_records(_with_suppliers(spark, sf, 200), spec))))
+    """A facet over a path of two relations, suppliers.nation, built and published by an engine."""
+    engine = _part_engine(spark, sf)
+    engine.rebuild("parts")
+    return _facets(engine.search("parts"))
 
 
 @_query(_LINKS + "SELECT l_partkey AS element_id, string_agg(s_name, '|' ORDER BY n) AS names FROM l JOIN supplier ON l_suppkey = s_suppkey WHERE n <= 3 GROUP BY l_partkey")
@@ -482,10 +504,26 @@ def relation_cap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("element_id", F.array_join(F.transform("suppliers", lambda x: x["title"]), "|").alias("names"))
 
 
-@_query(_LINKS + "SELECT DISTINCT l_partkey AS element_id, l_suppkey AS dep_element_id FROM l WHERE n <= 200")
+_EDGES = "SELECT DISTINCT l_partkey AS element_id, 1000000000 + l_suppkey AS dep_element_id FROM l WHERE n <= 200 UNION SELECT l_partkey, 2000000000 + s_nationkey FROM l JOIN supplier ON l_suppkey = s_suppkey WHERE n <= 200"
+
+
+@_query(_LINKS + _EDGES)
 def relation_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("sort_order"))
-    return dependencies(lines.select(F.col("l_partkey").alias("element_id"), F.col("l_suppkey").alias("related_id"), "sort_order"))
+    """What each part was built from: the elements of every hop of its paths."""
+    rows = _part_engine(spark, sf).build("parts")
+    return rows.select("element_id", F.explode("_deps").alias("dep_element_id"))
+
+
+@_query(_LINKS + f", e AS ({_EDGES}) SELECT DISTINCT element_id FROM e WHERE dep_element_id IN (2000000003, 2000000011, 1000000005)")
+def relation_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts to build again after two nations were saved and a supplier deleted, found by the engine's own edges."""
+    engine = _part_engine(spark, sf)
+    engine.build("parts")
+    nations, suppliers, one = _table(spark, sf, "nation"), _table(spark, sf, "supplier"), F.lit(1).alias("site_id")
+    saved = nations.where("n_nationkey IN (3, 11)").select((F.col("n_nationkey").cast("bigint") + _NATIONS).alias("element_id"), one)
+    deleted = suppliers.where("s_suppkey = 5").select((F.col("s_suppkey").cast("bigint") + _SUPPLIERS).alias("element_id"), one)
+    engine.changed("parts", saved, deleted)
+    return engine.store("parts").dirty_keys().select("element_id")
 
 
 @_query("SELECT c_custkey, lower(replace(c_name, '#', '-')) AS slug, upper(substr(c_mktsegment, 1, 100)) AS upper, strftime(DATE '2024-01-01', '%Y') AS year FROM customer")
@@ -543,6 +581,12 @@ def _changes(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "events").select(F.col("user_id").alias("element_id"), F.lit(1).alias("site_id"), kind.alias("op"), "ts", "event_id")
 
 
+def _stored(spark: SparkSession, sf: str) -> RecordStore:
+    store = RecordStore(spark, _publisher(spark, "stored").folder, "orders", buckets=8)
+    store.replace(_store(spark, sf))
+    return store
+
+
 _STORE = """WITH st AS (SELECT o_custkey AS element_id, 1 AS site_id, round(max(o_totalprice), 2) AS s_total FROM orders GROUP BY o_custkey),
 ch AS (SELECT user_id AS element_id, arg_max(CASE WHEN event_type = 'error' THEN 'delete' ELSE 'save' END, ts) AS op FROM events GROUP BY user_id)
 """
@@ -550,17 +594,19 @@ ch AS (SELECT user_id AS element_id, arg_max(CASE WHEN event_type = 'error' THEN
 
 @_query(_STORE + "SELECT element_id, site_id, round(s_total + 1, 2) AS s_total, FALSE AS dirty, FALSE AS deleted FROM st WHERE element_id % 5 = 0 UNION ALL SELECT element_id, site_id, s_total, FALSE, FALSE FROM st WHERE element_id % 5 <> 0")
 def incremental_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    store = _store(spark, sf)
-    rows = store.where("element_id % 5 = 0").select("element_id", "site_id", F.round(F.col("s_total") + 1, 2).alias("s_total"))
-    return st.upsert(store, rows)
+    """New images of a fifth of the rows over the base files of a bucketed store."""
+    store = _stored(spark, sf)
+    rows = store.current().where("element_id % 5 = 0").withColumn("s_total", F.round(F.col("s_total") + 1, 2))
+    store.append(rows, built=True)
+    return store.current()
 
 
 @_query(_STORE + "SELECT element_id, 1 AS site_id, s_total, op IS NOT NULL AND op = 'save' AS dirty, coalesce(op = 'delete', FALSE) AS deleted FROM st FULL JOIN ch USING (element_id) WHERE s_total IS NOT NULL OR op = 'save'")
 def change_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The last change of each element: saves touch rows or leave stubs, deletes mark known rows."""
-    last = latest(_changes(spark, sf))
-    touched = st.touch(_store(spark, sf), last.where("op = 'save'"))
-    return st.mark_deleted(touched, last.where("op = 'delete'").select("element_id", "site_id"))
+    store, last = _stored(spark, sf), latest(_changes(spark, sf)).select("element_id", "site_id", "op")
+    store.change(saved=last.where("op = 'save'"), deleted=last.where("op = 'delete'"))
+    return store.current()
 
 
 _DEPS = "SELECT DISTINCT o_custkey AS element_id, l_suppkey AS dep FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
@@ -585,22 +631,55 @@ def store_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _publisher(spark: SparkSession, name: str, **options) -> Publisher:
-    """In a folder of its own: below the cluster's shared one, or a local one where none is named."""
+    """In a folder of its own below the cluster's shared one; a local one only where the master is local and none is named."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return Publisher(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix=name)}", **options)
 
 
-@_query("SELECT CAST(n_nationkey AS BIGINT) AS version, status FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 10 = 9 THEN 'failed' WHEN n_nationkey = 3 THEN 'live' ELSE 'superseded' END AS status, row_number() OVER (ORDER BY n_nationkey DESC) AS n FROM nation) WHERE n <= 3 OR status = 'live'")
+def _sized(spark: SparkSession, sf: str, above: int) -> Index:
+    return build_index(_table(spark, sf, "part").where(F.col("p_size") > above).withColumn("object_id", F.col("p_partkey").cast("string")), PART)
+
+
+@_query(
+    "WITH v AS (SELECT n AS version, count(*) FILTER (WHERE p_size > 10 * n) AS records, list(DISTINCT p_partkey) FILTER (WHERE p_size > 10 * n) AS own FROM part, range(1, 5) AS t(n) GROUP BY n) "
+    "SELECT version, CASE WHEN version = 4 THEN 'live' ELSE 'superseded' END AS status, records, records AS readable FROM v WHERE version > 2"
+)
 def version_prune(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left of a ledger: the three newest versions and the live one."""
-    publisher = _publisher(spark, "ledger", keep=3)
-    numbers = [r.n_nationkey for r in _table(spark, sf, "nation").collect()]
-    publisher._save("parts", [Version(n, "failed" if n % 10 == 9 else LIVE if n == 3 else SUPERSEDED) for n in numbers])
-    publisher.prune("parts")
-    return spark.createDataFrame([(v.version, v.status) for v in publisher.versions("parts")], "version bigint, status string")
+    """Four publications of which two are kept: the ledger, and what a reader of each kept version still finds."""
+    publisher = _publisher(spark, "ledger", keep=2)
+    for n in range(1, 5):
+        publisher.publish(_sized(spark, sf, 10 * n))
+    out = None
+    for v in publisher.versions("parts"):
+        found = publisher.published("parts", v.checksum).records.agg(F.count(F.lit(1)).alias("readable"))
+        row = found.select(F.lit(v.version).cast("bigint").alias("version"), F.lit(v.status).alias("status"), F.lit(v.records).cast("bigint").alias("records"), "readable")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_RANGE = "CAST(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 7) AS INTEGER) % 64 AS INTEGER)"
+
+
+@_query(
+    f"WITH r AS (SELECT {_RANGE} AS range, bool_or(p_brand = 'Brand#7' AND p_size <= 3) AS hit FROM part GROUP BY 1) "
+    "SELECT 'records' AS part, range, 'written' AS what FROM r WHERE hit UNION ALL SELECT 'records', range, 'deleted' FROM r WHERE hit "
+    "UNION ALL SELECT 'records', range, 'shared' FROM r WHERE NOT hit UNION ALL SELECT 'postings', range, 'shared' FROM r"
+)
+def publish_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A brand of some parts changes: the ranges that the second publication writes, shares with the first, and deletes."""
+    publisher = _publisher(spark, "ranges", keep=1, ranges=64)
+    part = _table(spark, sf, "part").withColumn("object_id", F.col("p_partkey").cast("string"))
+    publisher.publish(build_index(part, PART))
+    brand = F.when((F.col("p_brand") == "Brand#7") & (F.col("p_size") <= 3), "New").otherwise(F.col("p_brand"))
+    publisher.publish(build_index(part.withColumn("p_brand", brand), PART))
+    rows = [(name.split("/")[-1], what) for what, names in publisher.last["parts"].items() for name in names if not name.endswith(".json")]
+    names = spark.createDataFrame(rows, "name string, what string")
+    return names.select(F.split("name", "-")[0].alias("part"), F.split("name", "-")[1].cast("int").alias("range"), "what")
 
 
 @_query("SELECT CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey % 2 AS VARCHAR) AS object_id, row_number() OVER (ORDER BY o_custkey, o_orderkey % 2) - 1 AS id FROM (SELECT DISTINCT o_custkey, o_orderkey % 2 AS o_orderkey FROM orders)")
@@ -630,8 +709,7 @@ def publish_versions(spark: SparkSession, sf: str) -> DataFrame:
     publisher = _publisher(spark, "publish")
     publisher.publish(_parts(spark, sf))
     publisher.publish(_parts(spark, sf))
-    small = _table(spark, sf, "part").where("p_size > 10").withColumn("object_id", F.col("p_partkey").cast("string"))
-    publisher.publish(build_index(small, PART))
+    publisher.publish(_sized(spark, sf, 10))
     assert publisher.published("parts").records.count() == publisher.pointer("parts")["records"]
     ledger = publisher.versions("parts")
     live = sum(v.status == LIVE for v in ledger)
@@ -642,8 +720,7 @@ def publish_versions(spark: SparkSession, sf: str) -> DataFrame:
 def published_facets(spark: SparkSession, sf: str) -> DataFrame:
     """Facets of an index as read back from its published version."""
     publisher = _publisher(spark, "published")
-    small = _table(spark, sf, "part").where("p_size > 10").withColumn("object_id", F.col("p_partkey").cast("string"))
-    publisher.publish(build_index(small, PART))
+    publisher.publish(_sized(spark, sf, 10))
     return _facets(search(publisher.published("parts")))
 
 
@@ -687,6 +764,15 @@ def source_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("element_id", F.when(F.col("kind") == "image", "asset").otherwise(F.col("kind")).alias("kind"))
 
 
+@_query("SELECT o_orderkey AS element_id FROM orders WHERE lower(o_orderstatus) = 'o' AND o_totalprice BETWEEN 50000 AND 200000 AND o_orderpriority IN ('1-URGENT', '3-MEDIUM')")
+def source_custom_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """A kind of its own, whose conditions have a function and a BETWEEN; one names a column that the table lacks, and may."""
+    live = ("lower(o_orderstatus) = 'o'", "o_totalprice between 50000 and 200000", Condition("not archived", ("archived",)))
+    register_kind(Kind("order", "o_orderpriority", live=live))
+    table = _table(spark, sf, "orders").withColumn("element_id", F.col("o_orderkey"))
+    return scan({"order": table}, IndexSpec("orders", sources=(Source("order", ("1-URGENT", "3-MEDIUM")),))).select("element_id")
+
+
 @_query("SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'http://x/' || c_custkey END AS link, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE 'City ' || c_nationkey END AS address, '#' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 6, '0') AS color FROM customer")
 def composite_values(spark: SparkSession, sf: str) -> DataFrame:
     """Facet values of links (none without a URL), addresses (formatted, else the city) and colours."""

@@ -44,6 +44,8 @@ def compile_records(table: DataFrame, spec: IndexSpec) -> DataFrame:
             columns.append(payload(table, a).alias(f"p_{a.key}"))
         if a.has(SEARCHABLE):
             columns.append(search_text(table, a).alias(f"x_{a.key}"))
+    if spec.relations and "_deps" in table.columns:
+        columns.append(F.col("_deps"))
     return table.select(*columns)
 
 

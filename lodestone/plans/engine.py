@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import store as st
+from lodestone.operators.buckets import RecordStore, by_keys
 from lodestone.operators.compile import Index, build_postings, compile_records, object_id
-from lodestone.operators.publish import Folder, Publisher, Version, differences
+from lodestone.operators.publish import Changes, Folder, Publisher, Version, differences
+from lodestone.operators.relations import related
 from lodestone.operators.search import SearchResult, search
 from lodestone.plans.response import response, to_json
 from lodestone.sources.registry import scan
@@ -40,7 +42,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig, deps: Callable[[], DataFrame] | None = None, folder: Folder | None = None):
         self.spark, self.tables, self.config, self.deps = spark, tables, config, deps
-        self.publisher = Publisher(spark, config.publish_path, config.keep_versions, config.compression, folder=folder)
+        self.publisher = Publisher(spark, config.publish_path, config.keep_versions, config.compression, folder=folder, ranges=config.ranges)
         self.errors: dict[str, dict[str, str]] = {}
         self._specs: dict[str, IndexSpec] = {}
 
@@ -50,8 +52,9 @@ class Engine:
         spec.validated()
         changed = spec.handle in self._specs and self._specs[spec.handle] != spec
         self._specs[spec.handle] = spec
-        if changed and self._store(spec.handle) is not None:
-            self._save_store(spec.handle, st.mark_all_dirty(self._store(spec.handle)))
+        if changed:
+            with self._writing(spec.handle):
+                self.store(spec.handle).mark_all_dirty()
         return spec
 
     def create(self, spec: IndexSpec) -> IndexSpec:
@@ -65,8 +68,10 @@ class Engine:
         return self._specs[handle]
 
     def delete(self, handle: str) -> None:
-        self._specs.pop(handle, None)
-        self.publisher.delete(handle)
+        with self._writing(handle):
+            self._specs.pop(handle, None)
+            self.publisher.delete(handle)
+            self.publisher.folder.delete(f"store.{handle}")
 
     def count(self, handle: str) -> int:
         """Elements that a full build would take."""
@@ -74,24 +79,15 @@ class Engine:
 
     def prune(self, handle: str) -> list[str]:
         """Deletes the files of versions beyond those kept."""
-        return self.publisher.prune(handle)
-
-    # Store: one Parquet version after the other, and a pointer to the last one
-    def _store(self, handle: str) -> DataFrame | None:
-        text = self.publisher.folder.read(f"{handle}/store.json")
-        return self.spark.read.parquet(f"{self.publisher.folder.root}/{json.loads(text)['path']}") if text else None
+        with self._writing(handle):
+            return self.publisher.prune(handle)
 
-    def _save_store(self, handle: str, rows: DataFrame) -> DataFrame:
-        import time
+    # The store
+    def store(self, handle: str) -> RecordStore:
+        return RecordStore(self.spark, self.publisher.folder, handle, self.config.buckets, self.config.compression)
 
-        folder = self.publisher.folder
-        before = json.loads(folder.read(f"{handle}/store.json") or "{}")
-        path = f"store.{handle}/{time.time_ns()}"
-        rows.write.option("compression", self.config.compression).parquet(f"{folder.root}/{path}")
-        folder.write(f"{handle}/store.json", json.dumps({"path": path, "before": before.get("path")}))
-        if before.get("before"):  # the last two stay, for those who are still reading
-            folder.delete(before["before"])
-        return self._store(handle)
+    def _store(self, handle: str) -> DataFrame | None:
+        return self.store(handle).current()
 
     def _writing(self, handle: str):
         """Held while a store or a version is read, changed and written."""
@@ -107,32 +103,37 @@ class Engine:
             return self._build(handle, full)
 
     def _build(self, handle: str, full: bool) -> DataFrame:
-        spec, now = self.spec(handle), self._store(handle)
-        covered = scan(self.tables(), spec)
-        if now is not None and not full:
-            dirty = now.where(F.col("dirty") & ~F.col("deleted")).select(*st.KEY)
-            on = [k for k in st.KEY if k in covered.columns]
-            covered = covered.join(dirty.select(*on).distinct(), on, "left_semi")
-
-        def after(failing: list[str]) -> DataFrame:
-            own = F.col("object_id").isin(failing) if failing else F.lit(False)
+        spec, store = self.spec(handle), self.store(handle)
+        covered, now = scan(self.tables(), spec), store.current()
+        full = full or now is None
+        if not full:
+            covered = by_keys(covered, store.dirty_keys(), [k for k in st.KEY if k in covered.columns])
+
+        def save(failing: list[str]) -> None:
+            own = F.concat_ws("-", F.col("element_id").cast("string"), F.col("site_id").cast("string")).isin(failing) if failing else F.lit(False)
             taken = covered.where(~F.coalesce(object_id(covered)[0].isin(failing), F.lit(False))) if failing else covered
-            rows = compile_records(taken, spec).dropDuplicates(st.KEY)
-            if now is None or full:
-                rows = rows.withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(False))
-                return rows.unionByName(now.where(own).withColumn("dirty", F.lit(True)), allowMissingColumns=True).select(rows.columns) if failing and now is not None else rows
-            gone = now.where(F.col("dirty") & ~F.col("deleted") & ~own).select(*st.KEY).join(rows.select(*st.KEY), st.KEY, "left_anti")
-            return st.mark_deleted(st.upsert(now, rows), gone)
+            rows = self._records(taken, spec).dropDuplicates(st.KEY).withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(False))
+            if full:
+                store.replace(rows.unionByName(now.where(own).withColumn("dirty", F.lit(True)), allowMissingColumns=True).select(rows.columns) if failing and now is not None else rows)
+                return
+            old = store.dirty_rows()
+            gone = old.where(~own).join(rows.select(*st.KEY), st.KEY, "left_anti").withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(True))
+            images = rows.unionByName(gone, allowMissingColumns=True)
+            store.append(images.unionByName(old.where(own), allowMissingColumns=True) if failing else images, built=True)
 
         self.errors[handle] = {}
-        plan = after([])
         try:
-            return self._save_store(handle, plan)
+            save([])
         except (PySparkException, Py4JJavaError):
             self.errors[handle] = self._failing(covered, spec)
             if not self.errors[handle]:
                 raise
-            return self._save_store(handle, after(sorted(self.errors[handle])))
+            save(sorted(self.errors[handle]))
+        return store.current()
+
+    def _records(self, taken: DataFrame, spec: IndexSpec) -> DataFrame:
+        """Records of elements, with the elements that their paths lead to; `_deps` are those."""
+        return compile_records(related(taken, spec, self.tables()) if spec.relations else taken, spec)
 
     def _failing(self, covered: DataFrame, spec: IndexSpec) -> dict[str, str]:
         """The elements whose records can't be built: failing sets are split by hash until one element is left."""
@@ -140,7 +141,7 @@ class Engine:
         while todo:
             level, part = todo.pop()
             try:
-                compile_records(part, spec).write.format("noop").mode("overwrite").save()
+                self._records(part, spec).write.format("noop").mode("overwrite").save()
             except (PySparkException, Py4JJavaError) as error:
                 ids = [r[0] for r in part.select(own).distinct().limit(2).collect()]
                 if len(ids) == 1 and ids[0] is not None:
@@ -157,42 +158,56 @@ class Engine:
             return self._publish(handle, force)
 
     def _publish(self, handle: str, force: bool) -> Version:
-        spec, rows = self.spec(handle), self._store(handle)
-        if rows is None:
-            rows = self.build(handle)
-        records = st.stream(rows).drop("dirty", "deleted")
-        made = self.publisher.publish(Index(spec, records, build_postings(records, spec) if any(c.startswith("x_") for c in records.columns) else None), force)
-        if not rows.where("deleted").isEmpty():
-            self._save_store(handle, st.purged(rows))
+        spec, store = self.spec(handle), self.store(handle)
+        if store.manifest() is None:
+            self.build(handle)
+        now = store.manifest()
+        alive = lambda rows: st.stream(rows).drop("dirty", "deleted", "_deps")
+        records = alive(store.current())
+        last, changes = now.get("published"), None
+        if last is not None:
+            changed = store.changed_since(last["seq"])
+            changes = Changes(last["digest"], changed.select("object_id").where(F.col("object_id").isNotNull()), alive(changed))
+        made = self.publisher.publish(Index(spec, records, build_postings(records, spec) if any(c.startswith("x_") for c in records.columns) else None), force, changes)
+        store.purge()
+        store.note(published={"digest": made.checksum, "seq": store.manifest()["seq"]})
         return made
 
     def rebuild(self, handle: str, full: bool = False) -> Version:
         """A full rebuild marks everything dirty first, so that one that fails is taken up again."""
         with self._writing(handle):
-            if full and self._store(handle) is not None:
-                self._save_store(handle, st.mark_all_dirty(self._store(handle)))
+            if full:
+                self.store(handle).mark_all_dirty()
             self.build(handle, full)
             return self.publish(handle)
 
     # Changes
-    def changed(self, handle: str, saved: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
-        """Takes up saved and deleted keys (element_id, site_id) and everything built from them; nothing is rebuilt yet."""
+    def changed(self, handle: str, saved: DataFrame | None = None, deleted: DataFrame | None = None) -> list[int]:
+        """Takes up saved and deleted keys (element_id, site_id) and everything built from them; nothing is rebuilt yet.
+
+        Returns the buckets of the store that were written: none if the changes are no matter of this index.
+        """
         with self._writing(handle):
-            self._changed(handle, saved, deleted)
+            return self._changed(handle, saved, deleted)
 
-    def _changed(self, handle: str, saved: DataFrame | None, deleted: DataFrame | None) -> None:
-        now = self._store(handle)
-        if now is None:
-            return
-        changes = [c for c in (saved, deleted) if c is not None]
+    def _changed(self, handle: str, saved: DataFrame | None, deleted: DataFrame | None) -> list[int]:
+        store = self.store(handle)
+        if store.manifest() is None:
+            return []
+        covered = dependents = None
         if saved is not None:
-            now = st.touch(now, saved)
-        if self.deps is not None:
-            for c in changes:
-                now = st.mark_dirty(now, st.dependents(self.deps(), c))
-        if deleted is not None:
-            now = st.mark_deleted(now, deleted)
-        self._save_store(handle, now)
+            taken = scan(self.tables(), self.spec(handle))
+            covered = by_keys(taken, saved, on := [k for k in st.KEY if k in taken.columns]).select(*on)
+        for c in (c for c in (saved, deleted) if c is not None):
+            for found in (store.dependents(c), st.dependents(self.deps(), c) if self.deps is not None else None):
+                if found is not None:
+                    dependents = found if dependents is None else dependents.unionByName(found)
+        return store.change(saved, dependents, deleted, covered)
+
+    def pending(self, handle: str) -> bool:
+        """Whether the store has changes that were not published."""
+        now = self.store(handle).manifest()
+        return now is None or now.get("published", {"seq": 0})["seq"] < now["seq"]
 
     # Queries
     def index(self, handle: str, strict: bool = True) -> Index:
@@ -203,7 +218,7 @@ class Engine:
         if strict:
             raise NotPublished(handle)
         spec = self.spec(handle)
-        records = compile_records(scan(self.tables(), spec), spec).limit(0)
+        records = self._records(scan(self.tables(), spec), spec).drop("_deps").limit(0)
         return Index(spec, records, build_postings(records, spec))
 
     def search(self, handle: str, state: QueryState | dict | None = None, strict: bool = True) -> SearchResult:
@@ -227,13 +242,18 @@ class Engine:
     def preview(self, handle: str, object_id: str) -> dict[str, Any]:
         """One record as it would be built now, with its tokens and the elements it is built from."""
         spec = self.spec(handle)
-        records = compile_records(scan(self.tables(), spec, "any"), spec).where(F.col("object_id") == object_id)
+        rows = scan(self.tables(), spec, "any")
+        element = object_id.rpartition("-")[0]
+        if "object_id" not in rows.columns and element.lstrip("-").isdigit():  # a predicate that reaches the reader
+            rows = rows.where(F.col("element_id") == int(element))
+        records = self._records(rows, spec).where(F.col("object_id") == object_id)
         row = records.first()
         if row is None:
             raise KeyError(object_id)
         tokens = build_postings(records, spec).select("token", "weight").orderBy("token").collect()
         used = self.deps().where(F.col("element_id") == row["element_id"]).select("dep_element_id").distinct().collect() if self.deps and "element_id" in records.columns else []
-        return {"record": row.asDict(recursive=True), "tokens": {t.token: t.weight for t in tokens}, "dependencies": sorted(d[0] for d in used if d[0] is not None)}
+        built_from = {d[0] for d in used if d[0] is not None} | set(row.asDict().pop("_deps", None) or [])
+        return {"record": {k: v for k, v in row.asDict(recursive=True).items() if k != "_deps"}, "tokens": {t.token: t.weight for t in tokens}, "dependencies": sorted(built_from)}
 
     def status(self, handle: str) -> dict[str, Any]:
         now, pointer = self._store(handle), self.publisher.pointer(handle)
@@ -243,7 +263,7 @@ class Engine:
     def verify(self, handle: str) -> DataFrame:
         """Differences between the published records and a fresh build; empty if they agree."""
         spec = self.spec(handle)
-        return differences(self.index(handle).records, compile_records(scan(self.tables(), spec), spec))
+        return differences(self.index(handle).records, self._records(scan(self.tables(), spec), spec))
 
     def collect_garbage(self) -> list[str]:
         keep = list(self._specs)

@@ -10,33 +10,51 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.spec import IndexSpec, Source
+from lodestone.spec import IndexSpec, Source, SpecError
 
 Reader = Callable[[SparkSession], DataFrame]
 
 
+@dataclass(frozen=True)
+class Condition:
+    """A condition as SQL; it is left out for tables that lack one of the columns `if_there`, and must resolve on all others."""
+
+    sql: str
+    if_there: tuple[str, ...] = ()
+
+
+Conditions = str | tuple[Condition | str, ...]
+
+
 @dataclass(frozen=True)
 class Kind:
     """A kind of elements: the columns of its container and sub-type, and its statuses.
 
-    live / enabled: conditions as SQL; a table that lacks a named column is not filtered by it.
+    live / enabled: one condition, or several that all hold.  One given as a string must resolve on the table.
     container_is_list: a row is in several containers (groups), and any of them counts.
     """
 
     name: str
     container: str
     sub_type: str | None = None
-    live: str = "status = 'live'"
-    enabled: str = "enabled"
+    live: Conditions = (Condition("status = 'live'", ("status",)),)
+    enabled: Conditions = (Condition("enabled", ("enabled",)),)
     container_is_list: bool = False
     drafts: tuple[str, ...] = ("draft_id", "revision_id", "provisional")
     available: Callable[[], bool] = lambda: True
 
 
-_LIVE = "enabled and (post_date is null or post_date <= current_timestamp()) and (expiry_date is null or expiry_date > current_timestamp())"
+_ENABLED = (Condition("enabled", ("enabled",)),)
+_LIVE = (
+    *_ENABLED,
+    Condition("post_date is null or post_date <= current_timestamp()", ("post_date",)),
+    Condition("expiry_date is null or expiry_date > current_timestamp()", ("expiry_date",)),
+)
 _kinds: dict[str, Kind] = {}
 
 
@@ -52,10 +70,10 @@ def kinds() -> dict[str, Kind]:
 
 for _kind in (
     Kind("entry", "section", "entry_type", live=_LIVE),
-    Kind("category", "category_group", live="enabled"),
-    Kind("tag", "tag_group", live="enabled"),
-    Kind("asset", "volume", "kind", live="enabled"),
-    Kind("user", "groups", live="status = 'active'", enabled="status = 'active'", container_is_list=True),
+    Kind("category", "category_group", live=_ENABLED),
+    Kind("tag", "tag_group", live=_ENABLED),
+    Kind("asset", "volume", "kind", live=_ENABLED),
+    Kind("user", "groups", live=(Condition("status = 'active'", ("status",)),), enabled=(Condition("status = 'active'", ("status",)),), container_is_list=True),
     Kind("product", "product_type", live=_LIVE),
 ):
     register_kind(_kind)
@@ -69,18 +87,23 @@ def status_filter(df: DataFrame, kind: Kind, status: str) -> Column:
             own = F.col(name)
             out = out & (~F.coalesce(own, F.lit(False)) if dict(df.dtypes)[name] == "boolean" else own.isNull())
     if status != "any":
-        for part in (kind.live if status == "live" else kind.enabled).split(" and "):
-            condition = F.expr(part)
-            if all(n in df.columns for n in _names(part)):
-                out = out & F.coalesce(condition, F.lit(False))
+        given = kind.live if status == "live" else kind.enabled
+        for condition in (given,) if isinstance(given, str) else given:
+            own = condition if isinstance(condition, Condition) else Condition(condition)
+            if set(own.if_there) <= set(df.columns):
+                out = out & F.coalesce(_resolved(df, own, kind), F.lit(False))
     return out
 
 
-def _names(condition: str) -> list[str]:
-    import re
-
-    plain = re.sub(r"'[^']*'|current_timestamp\(\)", " ", condition)
-    return [n for n in re.findall(r"[a-z_]+", plain) if n not in ("is", "null", "or", "and", "not", "true", "false")]
+def _resolved(df: DataFrame, condition: Condition, kind: Kind) -> Column:
+    """A condition that holds on this table; Spark resolves it, so functions, BETWEEN and AND are what they are in SQL."""
+    try:
+        found = df.select(F.expr(condition.sql)).schema[0].dataType
+    except AnalysisException as problem:
+        raise SpecError([f"kind {kind.name}: the condition {condition.sql!r} does not resolve: {str(problem).splitlines()[0]}"]) from problem
+    if not isinstance(found, T.BooleanType):
+        raise SpecError([f"kind {kind.name}: {condition.sql!r} is {found.simpleString()}, not a condition"])
+    return F.expr(condition.sql)
 
 
 def covers(df: DataFrame, source: Source) -> Column:

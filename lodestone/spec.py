@@ -93,6 +93,30 @@ class Attribute:
         return out
 
 
+@dataclass(frozen=True)
+class Relation:
+    """The part `name` of a path: from elements of the table `on` (the index's own, if empty) to elements of the table `to`.
+
+    links: a table of element_id, related_id, sort_order; or key: a column of the elements that holds an id, or an array of ids.
+    most: related elements that are taken of each element, the first in order.
+    """
+
+    name: str
+    to: str
+    on: str = ""
+    links: str = ""
+    key: str = ""
+    most: int = 200
+
+    def problems(self) -> list[str]:
+        out = [] if _HANDLE.fullmatch(self.name) else [f"relation {self.name!r}: not a handle"]
+        if bool(self.links) == bool(self.key):
+            out.append(f"relation {self.name}: links or a key")
+        if self.most < 1:
+            out.append(f"relation {self.name}: at least one element is taken")
+        return out
+
+
 @dataclass(frozen=True)
 class Sorting:
     name: str
@@ -109,6 +133,7 @@ class IndexSpec:
     sites: tuple[int, ...] = ()
     attributes: tuple[Attribute, ...] = ()
     sortings: tuple[Sorting, ...] = ()
+    relations: tuple[Relation, ...] = ()
     transport: str = "client"
     hits_per_page: int = 24
     max_values: int = 20
@@ -135,6 +160,9 @@ class IndexSpec:
     def sorting(self, name: str) -> Sorting | None:
         return next((s for s in self.sortings if s.name == name), None)
 
+    def relation(self, on: str, name: str) -> Relation | None:
+        return next((r for r in self.relations if (r.on, r.name) == (on, name)), None)
+
     def limit_of(self, attribute: Attribute) -> int:
         return attribute.max_values if attribute.max_values is not None else self.max_values
 
@@ -152,11 +180,14 @@ class IndexSpec:
                 out.append(f"sorting {s.name}: {s.attribute!r} is not a sortable attribute")
             if s.direction not in ("asc", "desc"):
                 out.append(f"sorting {s.name}: unknown direction {s.direction!r}")
+        ways = [(r.on, r.name) for r in self.relations]
+        out += [f"relation {n}: defined twice" for n in sorted({w[1] for w in ways if ways.count(w) > 1})]
+        out += [f"relation {r.name}: nothing leads to {r.on!r}" for r in self.relations if r.on and r.on not in {x.to for x in self.relations}]
         if self.hits_per_page < 1:
             out.append("a page has one hit at least")
         if self.transport not in TRANSPORTS:
             out.append(f"unknown transport {self.transport!r}")
-        for part in (*self.attributes, *self.sources):
+        for part in (*self.attributes, *self.sources, *self.relations):
             out += part.problems()
         return out
 
@@ -175,6 +206,7 @@ class IndexSpec:
         own["sources"] = tuple(Source(**_known(Source, s)) for s in data.get("sources", ()))
         own["attributes"] = tuple(Attribute(**_known(Attribute, a)) for a in data.get("attributes", ()))
         own["sortings"] = tuple(Sorting(**_known(Sorting, s)) for s in data.get("sortings", ()))
+        own["relations"] = tuple(Relation(**_known(Relation, r)) for r in data.get("relations", ()))
         return cls(**own)
 
     def edited(self, data: dict[str, Any]) -> IndexSpec:
@@ -225,9 +257,15 @@ def limited(spec: IndexSpec, features: Features) -> IndexSpec:
 
 @dataclass
 class EngineConfig:
-    """Where an engine publishes, how many versions it keeps, and whether change events update it."""
+    """Where an engine publishes, how many versions it keeps, and whether change events update it.
+
+    buckets, ranges: into how many parts the store and each published table are cut.  A change rewrites parts, so they should be some
+    hundred MB at most.
+    """
 
     publish_path: str
     keep_versions: int = 3
     auto_update: bool = True
     compression: str = "zstd"
+    buckets: int = 16
+    ranges: int = 16

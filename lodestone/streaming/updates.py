@@ -33,7 +33,10 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def apply_changes(engine: Engine, handles: list[str], events: DataFrame, rebuild: bool = True) -> None:
-    """One update: takes up the keys and their dependents, then rebuilds and publishes each index once; nothing if updates are off."""
+    """One update: takes up the keys and their dependents, then rebuilds and publishes each index that they concern once.
+
+    Nothing is done while updates are off.
+    """
     if not engine.config.auto_update:
         return
     last = latest(relevant(events)).persist()
@@ -43,7 +46,7 @@ def apply_changes(engine: Engine, handles: list[str], events: DataFrame, rebuild
         saved, deleted = last.where(F.col("op").isin(*SAVES)), last.where(F.col("op").isin(*DELETES))
         for handle in handles:
             engine.changed(handle, saved.select("element_id", "site_id"), deleted.select("element_id", "site_id"))
-            if rebuild:
+            if rebuild and engine.pending(handle):
                 engine.rebuild(handle)
     finally:
         last.unpersist()

@@ -144,7 +144,7 @@ def test_versions_are_pruned_and_failures_recorded(world):
         engine.rebuild("news", full=True)
     ledger = engine.publisher.versions("news")
     assert [(v.version, v.status) for v in ledger] == [(3, "superseded"), (4, "superseded"), (5, "live")]
-    assert len([n for n in engine.publisher.folder.names("news") if not n.endswith(".json")]) == 3
+    assert len([n for n in engine.publisher.folder.names("news") if n.startswith("manifest-")]) == 3
     write = engine.publisher._stage
     engine.publisher._stage = lambda *a: 1 / 0
     state["rows"].append((50, 1, "news", "post", True, None, "Never", 1.0))
