@@ -22,6 +22,8 @@ from lodestone.llm.common import saved, scratch
 
 #: Queries per block, rows per tree, rows per leaf.
 BLOCK, CHUNK, LEAF = 4096, 4096, 64
+#: The score of no row.
+NONE = np.iinfo(np.int64).min
 
 
 class Node:
@@ -72,7 +74,7 @@ class Queries:
         self.ids, self.vectors, self.k = ids, vectors, k
         self.exact = vectors.astype(np.float64)
         self.tree = cover_tree(self.exact)
-        self.scores = np.full((len(ids), k), -np.inf)
+        self.scores = np.full((len(ids), k), NONE)
         self.rows = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def search(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -81,6 +83,10 @@ class Queries:
         data = (vectors, self.vectors) if wide else (points, self.exact)
         self._pairs(self.tree, [cover_tree(points)], ids, data)
 
+    def _worst(self, group: Node) -> float:
+        least = self.scores[group.rows, -1].min()
+        return -np.inf if least == NONE else float(least)
+
     def _pairs(self, group: Node, nodes: list[Node], ids: np.ndarray, data: tuple[np.ndarray, np.ndarray]) -> None:
         while nodes:
             centers = np.stack([n.center for n in nodes])
@@ -88,7 +94,7 @@ class Queries:
             bound = centers @ group.center + group.radius * norm + radius * (group.norm + group.radius)
             bound += 1e-9 * np.abs(bound) + 1e-6
             order = np.argsort(-bound, kind="stable")
-            nodes = [nodes[i] for i in order if bound[i] >= self.scores[group.rows, -1].min()]
+            nodes = [nodes[i] for i in order if bound[i] >= self._worst(group)]
             if group.children:
                 opened = [c for n in nodes for c in (n.children or [n])]
                 for child in group.children:
@@ -96,7 +102,7 @@ class Queries:
                 return
             further = []
             for at, node in zip(order.tolist(), nodes):
-                if bound[at] < self.scores[group.rows, -1].min():
+                if bound[at] < self._worst(group):
                     break
                 if node.children:
                     further += node.children
@@ -105,16 +111,16 @@ class Queries:
             nodes = further
 
     def _compare(self, mine: np.ndarray, rows: np.ndarray, ids: np.ndarray, data: tuple[np.ndarray, np.ndarray]) -> None:
-        score = (data[1][mine] @ data[0][rows].T).astype(np.float64)
-        score[self.ids[mine][:, None] == ids[rows][None, :]] = -np.inf
-        some = np.flatnonzero((score >= self.scores[mine, -1][:, None]).any(axis=1) & (score > -np.inf).any(axis=1))
+        score = (data[1][mine] @ data[0][rows].T).astype(np.int64)
+        score[self.ids[mine][:, None] == ids[rows][None, :]] = NONE
+        some = np.flatnonzero((score >= self.scores[mine, -1][:, None]).any(axis=1) & (score > NONE).any(axis=1))
         if not len(some):
             return
         at = mine[some]
         score = np.concatenate([self.scores[at], score[some]], axis=1)
         key = np.concatenate([self.rows[at], np.broadcast_to(ids[rows], (len(some), len(rows)))], axis=1)
-        key = np.where(score == -np.inf, np.iinfo(np.int64).max, key)
-        best = np.lexsort((key, -score), axis=1)[:, : self.k]
+        key = np.where(score == NONE, np.iinfo(np.int64).max, key)
+        best = np.lexsort((key, ~score), axis=1)[:, : self.k]
         self.scores[at] = np.take_along_axis(score, best, 1)
         self.rows[at] = np.take_along_axis(key, best, 1)
 
@@ -150,14 +156,14 @@ def _search(block, k: int):
         for d in list(waiting):
             flush(d)
         for q in queries.values():
-            at, rank = np.nonzero(q.scores > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(q.ids[at]), pa.array(q.rows[at, rank]), pa.array(q.scores[at, rank].astype(np.int64))], ["query_id", "vec_id", "score"])
+            at, rank = np.nonzero(q.scores > NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[at]), pa.array(q.rows[at, rank]), pa.array(q.scores[at, rank])], ["query_id", "vec_id", "score"])
 
     return run
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """`_id`, `_v`: floor(scale * x) per component, of the vectors whose components are all finite."""
+    """`_id`, `_v`: floor(scale * x) per component, of the vectors whose components are all finite; rows with a null id take no part."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     floor = F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("_id"), floor.alias("_v"))
@@ -168,8 +174,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables have `_id` and integer vectors `_v` (see `quantised`).  Ties go to the smaller id; rows with the
     query's own id are left out; vectors of another dimension are no candidates; of queries with the same id one is
-    taken; repeated data rows are candidates each.  Empty tables give an empty result.  Scores are exact while they
-    fit 53 bits.
+    taken; repeated data rows are candidates each.  Empty tables give an empty result.  Scores are exact 64-bit
+    integers (beyond 53 bits they are multiplied as such, which is slower).
     """
     spark = data.sparkSession
     queries = saved(queries.dropDuplicates(["_id"]), "queries")

@@ -269,7 +269,7 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, length: int) ->
         places.join(windows, ["_a", "_c"])
         .select("_k", "_q", spans.alias("_s"))
         .groupBy("_k", "_q")
-        .agg(F.flatten(F.collect_list("_s")).alias("_spans"))
+        .agg(F.flatten(F.collect_set("_s")).alias("_spans"))  # a set: equal rows give equal places
     )
 
 
@@ -314,8 +314,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Adds _n_bytes, _n_removed, _n_spans (maximal removed runs), _sha (SHA-256 of the rest, hex) and, if asked for,
     _left (the rest as text; bytes of a character that was cut through go).  Matches stay inside a document; all
     occurrences go, the first too.  Null texts count as empty; texts shorter than `length` stay whole; a repeated
-    row is a further occurrence, so both lose their whole text; rows with a null id take part like others; an empty
-    table gives an empty one.  Other columns pass through, whatever their names; one named like an added column is
+    row is a further occurrence, so both lose their whole text; rows with a null id take part like others; a very long
+    text is one row in one task; an empty table gives an empty one.  Other columns pass through, whatever their names; one named like an added column is
     replaced.
     """
     places = repeated_places(docs, id_col, text_col, length)

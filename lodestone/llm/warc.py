@@ -1,7 +1,7 @@
 """WARC archives with revisit records, and their index merged externally from sorted capture runs.
 
 Writing: a task writes one archive (a gzip member per record) and, for every `RUN` records, a capture run: the index
-lines of these records sorted by URL key and timestamp, with the place of every `STRIDE`-th line at its end.
+lines of these records sorted by URL key and timestamp.
 Merging: while there are more runs than `FAN_IN`, groups of them are merged into longer runs; then the key space is
 cut into ranges at sampled captures (whole index lines, so the captures of one URL can be many ranges), and a task merges
 the slices of all runs in its range with a loser tree.  The ranges in order are the global index: all captures of a URL, by time.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import by_bytes, saved, scratch, small_batches
 from lodestone.llm.files import create, reopen
 
-RUN, STRIDE, FAN_IN, SAMPLES = 20_000, 64, 256, 16
+RUN, FAN_IN, SAMPLES = 20_000, 256, 16
+#: Bytes of a run that are read at once.
+CHUNK = 1 << 16
 #: Captures without a time are dated this many seconds by page_id after this day.
 FIRST_DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -84,40 +86,64 @@ class LoserTree:
             self._replay(leaf)
 
 
-# Capture runs: JSON lines, sorted; then the sparse index as one JSON line; then its place as 20 digits.
+# Capture runs: JSON lines, sorted.
 def write_run(folder: str, entries: Iterable[list]) -> tuple[str, int, list[str]]:
+    """(name, number of entries, at most twice `SAMPLES` of them, evenly spaced); holds no more than these."""
     name, sink = create(folder, ".run")
-    at, n, places, some = 0, 0, [], []
+    n, step, some = 0, 1, []
     for entry in entries:
-        if n % STRIDE == 0:
-            places.append([entry, at])
-        line = json.dumps(entry).encode() + b"\n"
-        sink.write(line)
-        at, n = at + len(line), n + 1
-    some = [json.dumps(places[i * len(places) // SAMPLES][0]) for i in range(SAMPLES)] if places else []
-    sink.write(json.dumps(places).encode() + b"\n" + b"%020d" % at)
+        line = json.dumps(entry)
+        if n % step == 0:
+            some.append(line)
+            if len(some) > 2 * SAMPLES:
+                some, step = some[::2], 2 * step
+        sink.write(line.encode() + b"\n")
+        n += 1
     sink.close()
     return name, n, list(dict.fromkeys(some))
 
 
+def _line_from(source, at: int, end: int) -> tuple[int, bytes]:
+    """(start, line) of the first line that starts at `at` or later; (end, b"") if there is none."""
+    start, held = at, b""
+    if at:  # the line before ends at `at` or later
+        source.seek(at - 1)
+        place = at - 1
+        while place < end and (cut := (held := source.read(min(CHUNK, end - place))).find(b"\n")) < 0:
+            place += len(held)
+        if place >= end:
+            return end, b""
+        start, held = place + cut + 1, held[cut + 1 :]
+    parts, place = [held], start + len(held)
+    source.seek(place)
+    while b"\n" not in parts[-1] and place < end:
+        parts.append(source.read(min(CHUNK, end - place)))
+        place += len(parts[-1])
+    return (start, b"".join(parts).split(b"\n", 1)[0]) if start < end else (end, b"")
+
+
+def _place_of(source, end: int, low: list) -> int:
+    """The start of a line, not far before the first one that isn't below `low`: found by halves, so no index is held."""
+    a, b = 0, end  # lines that start before a are below; one that starts at b or later isn't, if there is one
+    while b - a > CHUNK:
+        middle = (a + b) // 2
+        start, line = _line_from(source, middle, end)
+        if start < b and json.loads(line) < low:
+            a = start + len(line) + 1
+        else:
+            b = middle
+    return a
+
+
 def read_run(folder: str, name: str, low: list | None = None, high: list | None = None) -> Iterator[list]:
-    """Entries with low <= entry < high; a bound may be the first fields of an entry."""
+    """Entries with low <= entry < high; a bound may be the first fields of an entry.  Holds one chunk of the run."""
     with reopen(folder, name) as source:
-        size = source.size()
-        source.seek(size - 20)
-        end = int(source.read(20))
-        source.seek(end)
-        places = json.loads(source.read(size - 20 - end))
-        start = 0
-        for entry, at in places:
-            if low is not None and entry < low:
-                start = at
-            else:
-                break
+        end = source.size()
+        start = 0 if low is None else _place_of(source, end, low)
         source.seek(start)
         rest = b""
         while start < end:
-            data = source.read(min(1 << 18, end - start))
+            data = source.read(min(CHUNK, end - start))
             start += len(data)
             lines = (rest + data).split(b"\n")
             rest = lines.pop()
@@ -191,7 +217,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
     Of rows with equal payloads of `least` bytes or more, those with the largest page_id are responses and others
     revisit it.  Null html is an empty payload; rows with a null page_id never are the largest, and are responses
-    where no row of the payload has an id; a null URL has the key "-".
+    where no row of the payload has an id; a null URL has the key "-".  Repeated rows are records each; a very long html is one
+    record; an empty table gives no archive; other columns are not looked at.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("_page"), F.col("url").cast("string").alias("_url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("_html"))
@@ -237,7 +264,7 @@ def _entries(rows: list[list]) -> pa.RecordBatch:
 def merge_index(manifest: DataFrame, folder: str) -> DataFrame:
     """The captures in global order of (key, time): their entries, `part` (range, ascending) and `place` in it.
 
-    The driver holds the names of `FAN_IN` runs at most and `SAMPLES` captures of each.
+    The driver holds the names of `FAN_IN` runs at most and twice `SAMPLES` captures of each.
     """
     spark = manifest.sparkSession
     while (n := manifest.count()) > FAN_IN:
@@ -285,5 +312,6 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
+    """Pages written to archives, indexed and read back: one row a page, see `write_archives` and `read_archives`."""
     folder = scratch(pages.sparkSession, "warc")
     return read_archives(merge_index(write_archives(pages, folder, least), folder), folder)

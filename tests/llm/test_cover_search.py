@@ -42,6 +42,15 @@ def test_tree_covers_its_rows():
     assert sorted(seen) == list(range(500))
 
 
+def test_scores_beyond_53_bits(spark):
+    rows = [(i, [2**30 + i, 2**30 - i, i]) for i in range(200)]
+    data = spark.createDataFrame(rows, "_id long, _v array<long>")
+    want = {q: sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)[:5] for q, a in rows if q % 50 == 0}
+    got = top_k(data, data.where("_id % 50 = 0")).collect()
+    assert sorted((r.query_id, -r.score, r.vec_id) for r in got) == sorted((q, *x) for q, best in want.items() for x in best)
+    assert any(r.score > 2**60 for r in got)
+
+
 def test_empty(spark):
     data = quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert top_k(data, data).count() == 0

@@ -55,5 +55,29 @@ def test_matches_brute_force(spark, monkeypatch, length, shard):
     assert all(r.n_bytes == "x" for r in got)
 
 
+def test_repeated_rows_hold_each_place_once(spark):
+    """Rows of one id and text have the same places, however many there are."""
+    rng = random.Random(3)
+    text = " ".join(str(rng.randint(0, 10**6)) for _ in range(60))
+    sizes = {}
+    for n in (2, 300):
+        rows = [(1, text), (2, text[:150] + " other " + text[150:])] + [(1, text)] * (n - 1)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        places = module.repeated_places(docs, "doc_id", "text", 40).collect()
+        assert len(places) == 2
+        sizes[n] = max(len(r._spans) for r in places)
+        got = remove_repeats(docs, length=40).collect()
+        assert sorted(((r.doc_id, r._n_bytes, r._n_removed, r._n_spans, r._sha) for r in got), key=str) == brute(rows, 40)
+    assert sizes[300] <= 2 * sizes[2]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long_ = " ".join(str(rng.randint(0, 10**9)) for _ in range(120_000))
+    rows = [(1, long_), (2, "x" + long_[500_000:501_000] + "y"), (3, "z" * 100_000)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=400).collect()}
+    assert got[1]._left == long_[:500_000] + long_[501_000:] and got[2]._left == "xy" and got[3]._left == "" and got[3]._n_spans == 1
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -34,6 +34,38 @@ def test_run_slices(tmp_path):
     assert list(read_run(str(tmp_path), name, ["k0999x"])) == []
 
 
+def test_run_slices_by_halves(tmp_path, monkeypatch):
+    """With lines longer than what is read at once, over every bound."""
+    monkeypatch.setattr(module, "CHUNK", 64)
+    entries = sorted([f"k{i:04}" + "x" * (i * 37 % 300), "t", i] for i in range(300))
+    name, _, some = write_run(str(tmp_path), entries)
+    assert 16 <= len(some) <= 32 and [json.loads(line) for line in some] == sorted(json.loads(line) for line in some)
+    for i in range(0, 300, 7):
+        low, high = entries[i], entries[min(299, i + 5)]
+        assert list(read_run(str(tmp_path), name, low, high)) == [e for e in entries if low <= e < high]
+        assert list(read_run(str(tmp_path), name, [low[0][:-1] + "!"], high)) == [e for e in entries if [low[0][:-1] + "!"] <= e < high]
+    assert list(read_run(str(tmp_path), name, ["z"])) == []
+
+
+def test_memory_of_a_range_does_not_follow_the_run(tmp_path):
+    import tracemalloc
+
+    most = {}
+    for n in (4_000, 64_000):
+        name, *_ = write_run(str(tmp_path), ([f"k{i:07}", "2024-01-01T00:00:00Z", i, "archive", i, 100] for i in range(n)))
+        tracemalloc.start()
+        assert len(list(read_run(str(tmp_path), name, [f"k{n // 2:07}"], [f"k{n // 2 + 10:07}"]))) == 10
+        most[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert most[64_000] < 1.2 * most[4_000] + 10_000
+
+
+def test_very_long_html(spark):
+    rows = [(1, "http://a/", "é" * 2_000_000), (2, "http://b/" + "u" * 200_000, "é" * 2_000_000), (3, "http://c/", "short")]
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (4_000_000, "revisit", 2), 2: (4_000_000, "response", None), 3: (5, "response", None)}
+
+
 def pages():
     rng = random.Random(4)
     rows = [(i, f"https://www.h{rng.randint(0, 9)}.example.com/{rng.randint(0, 30)}", rng.choice(["<p>é</p>", "", "x" * 50_000, f"own {i}", None])) for i in range(300)]
