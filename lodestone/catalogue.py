@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.facet_value import key_of
 from lodestone.functions.labels import distance_label, range_label, tree
@@ -13,7 +14,7 @@ from lodestone.functions.text import slug, tokens
 from lodestone.operators import store as st
 from lodestone.operators.buckets import RecordStore
 from lodestone.operators.compile import Index, build_index, compile_records, facet_dictionary
-from lodestone.operators.extract import ancestors, attribute_values, facet_values, payload, place_value, sort_key
+from lodestone.operators.extract import Extracted, ancestors, attribute_values, facet_values, payload, place_value, register_extractor, sort_key, unregister_extractor
 from lodestone.operators.facets import numeric_buckets
 from lodestone.operators.match import text_match
 from lodestone.operators.publish import LIVE, Publisher, differences
@@ -863,6 +864,36 @@ def engine_update(spark: SparkSession, sf: str) -> DataFrame:
     return _facets(engine.search("parts"))
 
 
+@_query("SELECT 'brand' AS facet, CASE WHEN p_size % 10 = 3 OR p_partkey % 9 = 4 THEN p_brand ELSE 'New' END AS value, count(*) AS count, FALSE AS is_refined FROM part GROUP BY 2")
+def build_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A second build over rows of which some can't be read, and some have a value that can't: their records stay as they were."""
+    part, key, stage = _table(spark, sf, "part"), F.col("p_partkey"), {"now": 0}
+
+    def tables() -> dict[str, DataFrame]:
+        brand = F.lit("New") if stage["now"] else F.col("p_brand")
+        error = F.when((F.col("p_size") % 10 == 3) & F.lit(bool(stage["now"])), "torn line").cast("string")
+        price = F.struct(F.when((key % 9 != 4) | F.lit(not stage["now"]), F.col("p_retailprice").cast("string")).otherwise("n/a").alias("written"), F.lit("EUR").alias("unit"))
+        return {"entry": part.select(key.cast("bigint").alias("element_id"), F.lit(1).alias("site_id"), brand.alias("brand"), price.alias("price"), error.alias("_error"))}
+
+    def written(value: Column, kind: StructType) -> Extracted | None:
+        if set(kind.names) != {"written", "unit"}:
+            return None
+        amount = value["written"].try_cast("double")
+        return Extracted(amount, {"amount": amount}, fails=amount.isNull())
+
+    folder = _publisher(spark, "errors").folder
+    engine = Engine(spark, tables, EngineConfig(publish_path=folder.root), folder=folder)
+    engine.save(IndexSpec("parts", attributes=(Attribute("brand", roles=("facet",), max_values=ALL), Attribute("price", roles=("sortable",)))))
+    register_extractor(written)
+    try:
+        engine.rebuild("parts")
+        stage["now"] = 1
+        engine.rebuild("parts", full=True)
+    finally:
+        unregister_extractor(written)
+    return _facets(engine.search("parts"))
+
+
 _LAT, _LNG = "c_custkey % 240 - 120", "c_custkey % 480 - 240"
 
 

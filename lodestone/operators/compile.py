@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import synonym_map, tokens, word_list
-from lodestone.operators.extract import facet_values, payload, place_value, search_text, sort_key
+from lodestone.operators.extract import facet_values, fails, payload, place_value, search_text, sort_key
 from lodestone.spec import FACET, GEO, PAYLOAD, SEARCHABLE, SORTABLE, IndexSpec
 
 
@@ -31,10 +31,12 @@ def object_id(table: DataFrame) -> list[Column]:
 def compile_records(table: DataFrame, spec: IndexSpec) -> DataFrame:
     """One projection of a table: object_id, f_ (facets), g_ (places), s_ (sort keys), p_ (payload JSON), x_ (text).
 
-    No shuffle, no Python: scans prune to the declared paths.
+    No shuffle, no Python: scans prune to the declared paths.  Where something tells of elements that can't be built, `_errors` does.
     """
     spec.validated()
     columns = object_id(table)
+    if (why := flaws(table, spec)) is not None:
+        columns.append(why.alias("_errors"))
     for a in spec.attributes:
         if a.has(FACET):
             columns.append(place_value(table, a).alias(f"g_{a.key}") if a.facet_type == GEO else facet_values(table, a).alias(f"f_{a.key}"))
@@ -49,6 +51,17 @@ def compile_records(table: DataFrame, spec: IndexSpec) -> DataFrame:
     return table.select(*columns)
 
 
+#: Columns of a table that say why a row can't be read: its own, or that of Spark's readers for text formats.
+FLAWS = ("_error", "_corrupt_record")
+
+
+def flaws(table: DataFrame, spec: IndexSpec) -> Column | None:
+    """Why an element can't be built, as an array of strings, empty if it can; None if nothing here tells."""
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit("row: "), F.col(c).cast("string"))) for c in FLAWS if c in table.columns]
+    parts += [F.when(c, F.lit(f"{a.key}: unreadable")) for a in spec.attributes if (c := fails(table, a)) is not None]
+    return F.filter(F.array(*parts), lambda x: x.isNotNull()) if parts else None
+
+
 def build_postings(records: DataFrame, spec: IndexSpec) -> DataFrame:
     """token, object_id, weight: the sum of the attributes' weights over occurrences and synonyms, to three decimals.
 

@@ -6,6 +6,7 @@ Structured values are told apart by their field names; `register_extractor` adds
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,11 +24,15 @@ DEEPEST = 6
 
 @dataclass(frozen=True)
 class Extracted:
-    """A structured value: what it counts as on its own, and its named parts."""
+    """A structured value: what it counts as on its own, and its named parts.
+
+    fails: where the value can't be read (the other columns must not raise there); such elements are left out of a build.
+    """
 
     primary: Column
     parts: dict[str, Column]
     text: Column | None = None
+    fails: Column | None = None
 
 
 Extractor = Callable[[Column, T.StructType], Extracted | None]
@@ -112,7 +117,11 @@ BUILT_IN: tuple[Extractor, ...] = (address, money, color, option, link, element)
 
 def extracted(value: Column, kind: T.StructType) -> Extracted | None:
     for extractor in (*_custom, *BUILT_IN):
-        found = extractor(value, kind)
+        try:
+            found = extractor(value, kind)
+        except Exception as problem:  # one that can't be asked is passed over, as if it had declined
+            warnings.warn(f"extractor {getattr(extractor, '__name__', extractor)!s} failed on {kind.simpleString()}: {problem}", stacklevel=2)
+            continue
         if found is not None:
             return found
     return None
@@ -185,6 +194,15 @@ def scalars(column: Column, kind: T.DataType, text: bool = False) -> tuple[Colum
     return items(column, T.ArrayType(T.DoubleType() if is_number else T.StringType()))
 
 
+def fails(df: DataFrame, attribute: Attribute) -> Column | None:
+    """Whether any value of an attribute can't be read, as its extractor tells; None if that can't be."""
+    column, leaf = items(*resolve(df, attribute.column))
+    if not isinstance(leaf, T.StructType):
+        return None
+    found = extracted(F.lit(None), leaf)
+    return None if found is None or found.fails is None else F.exists(column, lambda x: F.coalesce(extracted(x, leaf).fails, F.lit(False)))
+
+
 def _is_date(kind: T.DataType) -> bool:
     return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
 

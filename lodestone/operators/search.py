@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -54,9 +55,13 @@ class SearchResult:
             return None
         if self.index.postings is None:
             return self.index.records.select("object_id", F.lit(0.0).alias("score")).limit(0)
-        found = text_match(self.index.postings, self._tokens)
-        few = found.limit(BROADCAST + 1).count() <= BROADCAST
-        return F.broadcast(found) if few else found
+        found = text_match(self.index.postings, self._tokens).persist()
+        if found.limit(BROADCAST + 1).count() > BROADCAST:
+            found.unpersist()
+            return found
+        # All jobs of this result take the matches as they were found for the count; they go with the result.
+        weakref.finalize(self, found.unpersist).atexit = False
+        return F.broadcast(found)
 
     @cached_property
     def candidates(self) -> DataFrame:

@@ -24,7 +24,7 @@ from lodestone.state import QueryState, parse
 
 Tables = Callable[[], dict[str, DataFrame]]
 
-#: Elements that a build may leave out; with more failing ones the build fails, as the definition is at fault then.
+#: Elements that make Spark raise and that a build searches for and leaves out; with more of them it fails.  Also how many `errors` shows.
 MOST_FAILING = 100
 #: Parts that a failing set of elements is split into.
 SPLIT = 16
@@ -37,7 +37,7 @@ class NotPublished(LookupError):
 class Engine:
     """tables: a function that gives the element tables by kind as they are now; deps: element_id, dep_element_id.
 
-    errors: per index, the elements that its last build left out, with the reason.  folder: a store for what is published.
+    errors: per index, elements that its last build left out, with the reason; `failures` has all that were set aside.  folder: a store for what is published.
     """
 
     def __init__(self, spark: SparkSession, tables: Tables, config: EngineConfig, deps: Callable[[], DataFrame] | None = None, folder: Folder | None = None):
@@ -97,11 +97,33 @@ class Engine:
     def build(self, handle: str, full: bool = False) -> DataFrame:
         """The store after a full scan, or after taking up dirty rows alone; one writer at a time.
 
-        Elements that fail are left out and listed in `errors`; their records stay as they were, and dirty.
+        Elements that fail are left out, their records stay as they were, and dirty.  Those that their rows or extractors tell of are
+        set aside in the same pass, however many (see `failures`); those that make Spark raise are searched for.
         """
         with self._writing(handle):
             return self._build(handle, full)
 
+    def failures(self, handle: str) -> DataFrame:
+        """element_id, site_id, _error of the elements that the last builds set aside."""
+        now = self._store(handle)
+        if now is None or "_error" not in now.columns:
+            return self.spark.createDataFrame([], "element_id bigint, site_id int, _error string")
+        return now.where(F.col("_error").isNotNull() & ~F.col("deleted")).select(*st.KEY, "_error")
+
+    @staticmethod
+    def _apart(rows: DataFrame, old: DataFrame | None) -> DataFrame:
+        """Rows with `_errors` get the content that they had (none, if they are new), are dirty, and say why: one join, one scan."""
+        content = [c for c in rows.columns if c not in (*st.KEY, "_errors")]
+        bad = F.size("_errors") > 0
+        kept = {c: F.lit(None).cast(rows.schema[c].dataType) for c in content}
+        if old is not None:
+            had = [c for c in content if c in old.columns and old.schema[c].dataType == rows.schema[c].dataType]
+            old = old.select(*[F.col(k).alias(f"_old_{k}") for k in st.KEY], *[F.col(c).alias(f"_old_{c}") for c in had])
+            rows = rows.join(old, (F.col("element_id") == F.col("_old_element_id")) & (F.col("site_id") == F.col("_old_site_id")) & bad, "left")
+            kept |= {c: F.col(f"_old_{c}") for c in had}
+        why = F.when(bad, F.array_join("_errors", "; ")).alias("_error")
+        return rows.select(*st.KEY, *[F.when(bad, kept[c]).otherwise(F.col(c)).alias(c) for c in content], why, bad.alias("dirty"), F.lit(False).alias("deleted"))
+
     def _build(self, handle: str, full: bool) -> DataFrame:
         spec, store = self.spec(handle), self.store(handle)
         covered, now = scan(self.tables(), spec), store.current()
@@ -112,7 +134,11 @@ class Engine:
         def save(failing: list[str]) -> None:
             own = F.concat_ws("-", F.col("element_id").cast("string"), F.col("site_id").cast("string")).isin(failing) if failing else F.lit(False)
             taken = covered.where(~F.coalesce(object_id(covered)[0].isin(failing), F.lit(False))) if failing else covered
-            rows = self._records(taken, spec).dropDuplicates(st.KEY).withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(False))
+            rows = self._records(taken, spec).dropDuplicates(st.KEY)
+            if "_errors" in rows.columns:
+                rows = self._apart(rows, now)
+            else:
+                rows = rows.withColumn("dirty", F.lit(False)).withColumn("deleted", F.lit(False))
             if full:
                 store.replace(rows.unionByName(now.where(own).withColumn("dirty", F.lit(True)), allowMissingColumns=True).select(rows.columns) if failing and now is not None else rows)
                 return
@@ -129,7 +155,10 @@ class Engine:
             if not self.errors[handle]:
                 raise
             save(sorted(self.errors[handle]))
-        return store.current()
+        if "_error" in (now := store.current()).columns:
+            some = self.failures(handle).limit(MOST_FAILING).collect()
+            self.errors[handle] |= {f"{r.element_id}-{r.site_id}": r["_error"] for r in some}
+        return now
 
     def _records(self, taken: DataFrame, spec: IndexSpec) -> DataFrame:
         """Records of elements, with the elements that their paths lead to; `_deps` are those."""
@@ -162,7 +191,7 @@ class Engine:
         if store.manifest() is None:
             self.build(handle)
         now = store.manifest()
-        alive = lambda rows: st.stream(rows).drop("dirty", "deleted", "_deps")
+        alive = lambda rows: st.stream(rows).drop("dirty", "deleted", "_deps", "_error")
         records = alive(store.current())
         last, changes = now.get("published"), None
         if last is not None:
@@ -218,7 +247,7 @@ class Engine:
         if strict:
             raise NotPublished(handle)
         spec = self.spec(handle)
-        records = self._records(scan(self.tables(), spec), spec).drop("_deps").limit(0)
+        records = self._records(scan(self.tables(), spec), spec).drop("_deps", "_errors").limit(0)
         return Index(spec, records, build_postings(records, spec))
 
     def search(self, handle: str, state: QueryState | dict | None = None, strict: bool = True) -> SearchResult:
@@ -253,7 +282,7 @@ class Engine:
         tokens = build_postings(records, spec).select("token", "weight").orderBy("token").collect()
         used = self.deps().where(F.col("element_id") == row["element_id"]).select("dep_element_id").distinct().collect() if self.deps and "element_id" in records.columns else []
         built_from = {d[0] for d in used if d[0] is not None} | set(row.asDict().pop("_deps", None) or [])
-        return {"record": {k: v for k, v in row.asDict(recursive=True).items() if k != "_deps"}, "tokens": {t.token: t.weight for t in tokens}, "dependencies": sorted(built_from)}
+        return {"record": {k: v for k, v in row.asDict(recursive=True).items() if k not in ("_deps", "_errors")}, "tokens": {t.token: t.weight for t in tokens}, "dependencies": sorted(built_from)}
 
     def status(self, handle: str) -> dict[str, Any]:
         now, pointer = self._store(handle), self.publisher.pointer(handle)
@@ -263,7 +292,8 @@ class Engine:
     def verify(self, handle: str) -> DataFrame:
         """Differences between the published records and a fresh build; empty if they agree."""
         spec = self.spec(handle)
-        return differences(self.index(handle).records, self._records(scan(self.tables(), spec), spec))
+        built = self._records(scan(self.tables(), spec), spec)
+        return differences(self.index(handle).records, built.where("size(_errors) = 0") if "_errors" in built.columns else built)
 
     def collect_garbage(self) -> list[str]:
         keep = list(self._specs)

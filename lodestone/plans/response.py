@@ -24,7 +24,7 @@ def response(result: SearchResult) -> dict[str, Any]:
         result.nb_hits  # which page it is depends on it  # noqa: B018
     if result.state.query:
         result.candidates  # counts the matches once  # noqa: B018
-    jobs = (lambda: result.nb_hits, lambda: result.hits.collect(), lambda: result.facets.orderBy("facet", "position").collect(), lambda: result.stats.collect())
+    jobs = (lambda: result.nb_hits, lambda: result.hits.collect(), lambda: sorted(result.facets.collect(), key=lambda r: (r.facet, r.position)), lambda: result.stats.collect())
     with ThreadPoolExecutor(len(jobs)) as pool:  # independent jobs, so that small ones don't wait for each other
         _, rows, found, stats = pool.map(lambda job: job(), jobs)
     hits = []

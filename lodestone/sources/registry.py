@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.compile import FLAWS
 from lodestone.spec import IndexSpec, Source, SpecError
 
 Reader = Callable[[SparkSession], DataFrame]
@@ -138,7 +139,10 @@ def scan(tables: dict[str, DataFrame], spec: IndexSpec, status: str | None = Non
         df = in_sites(tables[kind], spec.sites)
         if status is not None:
             sources = [Source(s.type, s.containers, s.sub_types, status) for s in sources]
-        parts.append(df.where(reduce(lambda a, b: a | b, (covers(df, s) for s in sources))).withColumn("_source", F.lit(place)))
+        taken = reduce(lambda a, b: a | b, (covers(df, s) for s in sources))
+        for flaw in (c for c in FLAWS if c in df.columns):  # whether a row that can't be read belongs here isn't known
+            taken = taken | (F.col(flaw).isNotNull() & F.col("element_id").isNotNull())
+        parts.append(df.where(taken).withColumn("_source", F.lit(place)))
     if not parts:
         raise ValueError("no source of this index is available")
     if len(parts) == 1:

@@ -226,3 +226,56 @@ def test_engine_follows_relations(spark, tmp_path):
 def test_relations_are_checked(wrong):
     assert IndexSpec("r", relations=(wrong,)).problems()
     assert IndexSpec.from_dict(PATHS.to_dict()) == PATHS
+
+
+def test_errors_are_set_aside_in_one_scan(spark, tmp_path):
+    """A fiftieth of the lines of text files can't be read: their records stay, all others are built, and the source is read once."""
+    from pyspark.sql import types as T
+
+    line = lambda i, title: f'{{"element_id": {i}, "site_id": 1, "title": "{title}", "kind": "a"}}'
+    spark.createDataFrame([(line(i, f"first {i}"),) for i in range(2000)], "value string").write.text(f"{tmp_path}/one")
+    torn = lambda i: line(i, f"second {i}")[:-2] if i % 50 == 7 else line(i, f"second {i}")
+    spark.createDataFrame([(torn(i),) for i in range(2000)], "value string").repartition(4).write.text(f"{tmp_path}/two")
+    shape = T.StructType.fromDDL("element_id bigint, site_id int, title string, kind string, _corrupt_record string")
+    now = {"path": f"{tmp_path}/one"}
+    read = lambda: spark.read.schema(shape).option("columnNameOfCorruptRecord", "_corrupt_record").json(now["path"])
+    known = lambda df: df.withColumn("element_id", F.coalesce("element_id", F.regexp_extract("_corrupt_record", r'"element_id": (\d+)', 1).cast("bigint"))).withColumn("site_id", F.lit(1))
+    engine = Engine(spark, lambda: {"entry": known(read())}, EngineConfig(f"file://{tmp_path}/pub", buckets=4, ranges=4))
+    engine.save(SPEC)
+    engine.rebuild("n")
+    assert engine.failures("n").isEmpty() and engine.errors["n"] == {}
+    now["path"] = f"{tmp_path}/two"
+    engine.rebuild("n", full=True)
+    rows = {r.element_id: r for r in engine.store("n").current().collect()}
+    assert len(rows) == 2000 and all((r.x_title == f"first {i}" and r.dirty and "corrupt" not in r.x_title) if i % 50 == 7 else (r.x_title == f"second {i}" and not r.dirty) for i, r in rows.items())
+    assert engine.failures("n").count() == 40 and len(engine.errors["n"]) == 40 and all(e.startswith("row: ") for e in engine.errors["n"].values())
+    assert engine.search("n").nb_hits == 2000 and engine.search("n", {"query": "first"}).nb_hits == 40
+    plan = engine._apart(engine._records(engine.tables()["entry"], SPEC), engine.store("n").current())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1
+    spark.createDataFrame([(line(i, f"third {i}"),) for i in range(2000)], "value string").write.text(f"{tmp_path}/three")
+    now["path"] = f"{tmp_path}/three"
+    engine.rebuild("n")
+    assert engine.failures("n").isEmpty() and engine.search("n", {"query": "third"}).nb_hits == 40, "what failed is still dirty, and is taken up again"
+
+
+def test_extractors_that_fail_are_passed_over(spark):
+    from lodestone.operators.compile import compile_records
+    from lodestone.operators.extract import Extracted, register_extractor, unregister_extractor
+
+    def broken(value, kind):
+        raise RuntimeError("no")
+
+    def guarded(value, kind):
+        return Extracted(value["code"].try_cast("int"), {}, fails=value["code"].try_cast("int").isNull()) if kind.names == ["code"] else None
+
+    df = spark.createDataFrame([("1", ("7",)), ("2", ("x",)), ("3", None)], "object_id string, c struct<code:string>")
+    spec = IndexSpec("x", attributes=(Attribute("c", roles=("facet",)),))
+    for e in (broken, guarded):
+        register_extractor(e)
+    try:
+        with pytest.warns(UserWarning, match="broken"):
+            found = {r.object_id: (r.f_c, r._errors) for r in compile_records(df, spec).collect()}
+    finally:
+        for e in (guarded, broken):
+            unregister_extractor(e)
+    assert found == {"1": (["7"], []), "2": ([], ["c: unreadable"]), "3": ([], [])}
