@@ -106,8 +106,8 @@ def _write(folder: str, tokenizer: str, end: int):
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
     """Writes the ids of every text and `end`, in ascending id order over all shards; the manifest: part, shard, n_ids, n_docs, start.
 
-    Null texts are empty; a null id sorts first; rows with the same id are ordered by text.  An empty table writes
-    no shard.
+    Null texts are empty; a null id sorts first; rows with the same id are ordered by text.  A very long text
+    is encoded whole in one task.  An empty table writes no shard; other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -151,5 +151,6 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
+    """Texts written to shards of token ids and read back: one row a document, see `write_shards` and `read_shards`."""
     folder = scratch(docs.sparkSession, "shards")
     return read_shards(write_shards(docs, folder, tokenizer, **options), folder)
