@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import weakref
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -34,6 +36,16 @@ def order_keys(spec: IndexSpec, state: QueryState) -> list[Column]:
     return [key.desc_nulls_last() if sorting.direction == "desc" else key.asc_nulls_last(), *tail]
 
 
+def _forget(found: DataFrame) -> None:
+    """Drops kept matches, from a thread of its own: a result may go while this one is in the middle of a call to the JVM."""
+
+    def drop() -> None:
+        with suppress(Exception):  # the session may have ended
+            found.unpersist()
+
+    threading.Thread(target=drop, daemon=True).start()
+
+
 @dataclass(frozen=True)
 class SearchResult:
     """Lazy tables of one query; `count` and what follows from it run one job."""
@@ -60,7 +72,7 @@ class SearchResult:
             found.unpersist()
             return found
         # All jobs of this result take the matches as they were found for the count; they go with the result.
-        weakref.finalize(self, found.unpersist).atexit = False
+        weakref.finalize(self, _forget, found).atexit = False
         return F.broadcast(found)
 
     @cached_property
