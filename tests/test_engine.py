@@ -1,8 +1,12 @@
 """Sources, the store, publication and the updater, end to end on small tables."""
 
 import json
+import random
+import time
+from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lodestone.operators import store as st
@@ -11,7 +15,7 @@ from lodestone.operators.relations import dependencies, with_related
 from lodestone.plans.engine import Engine, NotPublished
 from lodestone.sources.registry import Kind, covers, register_kind, scan
 from lodestone.spec import Attribute, EngineConfig, IndexSpec, Source, SpecError
-from lodestone.streaming.updates import apply_changes, debounced, deduplicated, keep_updated, latest, relevant
+from lodestone.streaming.updates import STATE_STORE, apply_changes, bursts, debounced, deduplicated, due, keep_updated, latest, relevant
 
 SCHEMA = "element_id bigint, site_id int, section string, entry_type string, enabled boolean, draft_id int, title string, price double"
 ROWS = [
@@ -213,6 +217,85 @@ def test_bursts(spark):
     assert deduplicated(ev, ["element_id", "t"]).count() == 4
 
 
+def plain_bursts(times, delay):
+    out = []
+    for t in sorted(times):
+        if not out or t >= out[-1][0] + delay:
+            out.append([t, 0, t])
+        out[-1][1:] = [out[-1][1] + 1, t]
+    return [tuple(b) for b in out]
+
+
+def test_bursts_of_a_table(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([None, 1, 2, 2, 2, 2]), draw.randrange(400)) for _ in range(500)] + [(2, None), (7, 29), (7, 31)]
+    ev = spark.createDataFrame(rows, "k bigint, t int").withColumn("ts", F.timestamp_seconds("t"))
+    expected = sorted((str(k), *b) for k in {r[0] for r in rows} for b in plain_bursts([t for key, t in rows if key == k and t is not None], 30))
+    arrow = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(arrow)
+    for size in ("7", before):  # bursts go on across batches
+        spark.conf.set(arrow, size)
+        found = bursts(ev, "k", "ts", 30).selectExpr("string(k)", "unix_seconds(start)", "events", "unix_seconds(last)").collect()
+        assert sorted((str(r[0]), *r[1:]) for r in found) == expected
+    assert ("7", 29, 2, 31) in expected, "an edge of the clock cuts no burst"
+    assert bursts(ev.limit(0), "k", "ts", 30).count() == 0
+
+
+def _changes(spark, folder, *rows):
+    spark.createDataFrame(list(rows), "element_id bigint, site_id int, op string, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _until(what, seconds=60):
+    end = time.time() + seconds
+    while not what() and time.time() < end:
+        time.sleep(0.3)
+    assert what()
+
+
+def test_a_timer_from_the_first_event(spark, tmp_path):
+    at, folder = datetime(2024, 1, 1), f"{tmp_path}/ev"
+    _changes(spark, folder, (1, 1, "save", at), (1, 1, "delete", at), (1, 1, "save", at), (2, None, "save", None))
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+    def start(name):
+        spark.conf.set(*STATE_STORE)
+        try:
+            writer = due(stream, 20).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+            return writer.trigger(processingTime="1 second").start()
+        finally:
+            spark.conf.unset(STATE_STORE[0])
+
+    def rows():
+        try:
+            return sorted((r.element_id, r.site_id, r.op, r.events) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+        except AnalysisException:
+            return []
+
+    query = start("first")
+    _until(lambda: any(p["numInputRows"] for p in query.recentProgress))
+    _changes(spark, folder, (1, 1, "move", datetime(2023, 1, 1)))
+    query.stop()  # open bursts and timers outlive the query
+    query = start("again")
+    _until(lambda: len(rows()) == 2)
+    assert rows() == [(1, 1, "delete", 4), (2, 1, "save", 1)], "one row a burst, its last event by time, deletions last"
+    _changes(spark, folder, (1, 1, "save", at))
+    _until(lambda: len(rows()) == 3)
+    query.stop()
+    assert rows()[1:2] == [(1, 1, "save", 1)], "what comes after is the next burst"
+
+
+def test_updater_waits_from_the_first_event(world, spark, tmp_path):
+    state, engine = world
+    engine.rebuild("news", full=True)
+    state["rows"].append((6, 1, "news", "post", True, None, "Nail", 2.0))
+    _changes(spark, f"{tmp_path}/ev", *[(6, 1, "save", datetime(2024, 1, 1, 0, 0, s)) for s in range(20, 50, 5)])
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/ev").schema).parquet(f"{tmp_path}/ev")
+    query = keep_updated(engine, stream, ["news"], f"{tmp_path}/cp", debounce=2)
+    _until(lambda: engine.publisher.pointer("news")["version"] == 2 or query.exception() is not None, 90)
+    query.stop()
+    assert query.exception() is None and "Nail" in titles(engine) and engine.publisher.pointer("news")["version"] == 2
+
+
 def test_two_writers_and_a_reader(spark, tmp_path):
     """Versions and pointer of one index written from two threads; a reader always finds a whole version."""
     import threading
