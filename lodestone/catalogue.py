@@ -24,7 +24,7 @@ from lodestone.plans.engine import Engine
 from lodestone.sources.registry import Condition, Kind, register_kind, scan
 from lodestone.spec import BOOLEAN, DATE, GEO, HIERARCHICAL, NUMERIC, Attribute, EngineConfig, IndexSpec, Relation, Sorting, Source
 from lodestone.state import QueryState, active, encode, parse, url
-from lodestone.streaming.updates import apply_changes, debounced, latest, relevant
+from lodestone.streaming.updates import apply_changes, bursts, debounced, latest, relevant
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -694,6 +694,18 @@ def events_debounce(spark: SparkSession, sf: str) -> DataFrame:
     return debounced(_table(spark, sf, "events"), key="user_id").select(F.col("window.start").alias("start"), "user_id", "events", "last")
 
 
+@_query(
+    "WITH RECURSIVE b(user_id, start) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL"
+    " SELECT b.user_id, min(e.ts) FROM b JOIN events e ON e.user_id = b.user_id AND e.ts >= b.start + INTERVAL '6 hours' GROUP BY b.user_id, b.start),"
+    " s AS (SELECT user_id, start, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS later FROM b)"
+    " SELECT s.user_id, s.start, count(*) AS events, max(e.ts) AS last FROM s"
+    " JOIN events e ON e.user_id = s.user_id AND e.ts >= s.start AND (s.later IS NULL OR e.ts < s.later) GROUP BY 1, 2"
+)
+def events_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    """The updates that a delay of six hours from a user's first event makes of the table's events."""
+    return bursts(_table(spark, sf, "events"), "user_id", "ts", 6 * 3600)
+
+
 @_query("SELECT 'left' AS side, CAST(p_partkey AS VARCHAR) AS object_id FROM part WHERE p_partkey % 50 = 0 OR p_brand = 'Brand#7' UNION ALL SELECT 'right', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 50 <> 0 AND p_brand = 'Brand#7'")
 def verify_published(spark: SparkSession, sf: str) -> DataFrame:
     """A published index against a build after parts were deleted and a brand was renamed."""
