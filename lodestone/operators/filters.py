@@ -69,6 +69,12 @@ def predicates(spec: IndexSpec, state: QueryState) -> dict[str, Column]:
     return {k: F.coalesce(p, F.lit(False)) for k, p in out.items()}
 
 
+def boxes(spec: IndexSpec, state: QueryState) -> list[Column]:
+    """What the radius predicates imply and a reader can use to skip rows: bounds of latitude and longitude."""
+    asked = [(F.col(f"g_{a.key}"), state.around[a.key]) for a in spec.geo if a.key in state.around and state.around[a.key]["radius"] > 0]
+    return [bound for point, p in asked for bound in geo.box(point, p["lat"], p["lng"], int(round(p["radius"])))]
+
+
 def nearest(spec: IndexSpec, state: QueryState) -> Column | None:
     """Metres to the nearest of the places asked for; None if there is none."""
     found = [geo.distance(F.col(f"g_{a.key}"), p["lat"], p["lng"]) for a in spec.geo if (p := state.around.get(a.key))]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.geo import cells
 from lodestone.operators.compile import Index, build_postings
 from lodestone.spec import SEARCHABLE, IndexSpec
 
@@ -296,6 +297,7 @@ class Publisher:
         ranges = before["ranges"] if before else self.ranges
         texts = {f"x_{a.key}" for a in spec.with_role(SEARCHABLE)}
         own_texts = bool(texts) and texts <= set(index.records.columns)
+        by_id = [c for a in spec.geo for c in cells(F.col(f"g_{a.key}"))] + [F.col("object_id")]  # near places are near in a part
         made: dict[str, Any] = {"spec": json.loads(json.dumps(spec.to_dict())), "ranges": ranges, "tables": {}}
         here = lambda df: df.withColumn("_range", range_of(ranges))
         written: list[str] = []
@@ -305,7 +307,7 @@ class Publisher:
             hit = sorted(r[0] for r in touched.select("_range").distinct().collect())
             old = self._read(handle, before, "records", hit).join(changes.ids.select("object_id"), "object_id", "left_anti")
             records = here(old.unionByName(changes.records.select(old.columns)))
-            made["tables"]["records"] = self._put(handle, staged, "records", records, "object_id", before, hit, written)
+            made["tables"]["records"] = self._put(handle, staged, "records", records, by_id, before, hit, written)
         else:
             records = here(index.records)
             hit = None
@@ -314,7 +316,7 @@ class Publisher:
                 now = part_names("records", records)
                 hit = sorted(r for r in {*now, *map(int, before["tables"]["records"]["parts"])} if now.get(r, ("",))[0] not in there)
                 records = records.where(F.col("_range").isin(hit))
-            made["tables"]["records"] = self._put(handle, staged, "records", records, "object_id", before, hit, written)
+            made["tables"]["records"] = self._put(handle, staged, "records", records, by_id, before, hit, written)
         if index.postings is not None:
             kept = before if before is not None and "postings" in before["tables"] and before["spec"] == made["spec"] else None
             if own_texts:
@@ -323,17 +325,16 @@ class Publisher:
                 postings = here(build_postings(source, spec))
             else:
                 again, postings = None, here(index.postings)
-            made["tables"]["postings"] = self._put(handle, staged, "postings", postings, "token", kept, again, written)
+            made["tables"]["postings"] = self._put(handle, staged, "postings", postings, [F.col("token"), F.col("object_id")], kept, again, written)
         return made, written
 
-    def _put(self, handle: str, staged: str, table: str, rows: DataFrame, order: str, before: dict[str, Any] | None, hit: list[int] | None, written: list[str]) -> dict[str, Any]:
+    def _put(self, handle: str, staged: str, table: str, rows: DataFrame, order: list[Column], before: dict[str, Any] | None, hit: list[int] | None, written: list[str]) -> dict[str, Any]:
         """Writes the rows of the ranges `hit` (of all if None) in order, so that readers skip row groups; other parts are those of before."""
         schema = json.loads(rows.drop("_range").schema.json())
         parts = {r: p for r, p in before["tables"][table]["parts"].items() if int(r) not in hit} if before is not None and hit is not None else {}
         if hit != []:
             path = f"{self.folder.root}/{staged}/{table}"
-            order_by = dict.fromkeys(["_range", order, "object_id"])
-            rows.repartition("_range").sortWithinPartitions(*order_by).write.partitionBy("_range").option("compression", self.compression).parquet(path)
+            rows.repartition("_range").sortWithinPartitions("_range", *order).write.partitionBy("_range").option("compression", self.compression).parquet(path)
             there = set(self.folder.names(f"{handle}/parts"))
             found = part_names(table, self.spark.read.schema(rows.schema).parquet(path))
             for r, (name, n) in sorted(found.items()):

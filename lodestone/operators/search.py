@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import query_tokens, word_list
 from lodestone.operators.compile import Index
 from lodestone.operators.facets import buckets, facet_counts, facet_stats, failures
-from lodestone.operators.filters import nearest, predicates
+from lodestone.operators.filters import boxes, nearest, predicates
 from lodestone.operators.match import text_match
 from lodestone.spec import DISTANCE, PAYLOAD, IndexSpec
 from lodestone.state import QueryState
@@ -86,7 +86,7 @@ class SearchResult:
     def matches(self) -> DataFrame:
         """All hits, in no order: the records that pass every predicate."""
         rows = self.candidates
-        for check in self._checks.values():
+        for check in (*boxes(self.index.spec, self.state), *self._checks.values()):
             rows = rows.where(check)
         return rows
 

@@ -6,10 +6,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import geo
 from lodestone.operators.buckets import RecordStore
 from lodestone.operators.compile import build_index
 from lodestone.operators.publish import Busy, Folder, Publisher
 from lodestone.operators.relations import related
+from lodestone.operators.search import search
 from lodestone.plans.engine import Engine
 from lodestone.sources.registry import Condition, Kind, covers, register_kind
 from lodestone.spec import Attribute, EngineConfig, IndexSpec, Relation, Source, SpecError
@@ -279,3 +281,17 @@ def test_extractors_that_fail_are_passed_over(spark):
         for e in (guarded, broken):
             unregister_extractor(e)
     assert found == {"1": (["7"], []), "2": ([], ["c: unreadable"]), "3": ([], [])}
+
+
+def test_bounds_of_a_radius_reach_the_reader(spark, tmp_path):
+    spec = IndexSpec("places", attributes=(Attribute("at", "at", roles=("facet",), facet_type="geo"),))
+    rows = spark.range(40_000).select(F.col("id").alias("element_id"), F.concat_ws(",", (F.col("id") % 170 - 85).cast("string"), (F.col("id") % 357 - 178).cast("string")).alias("at"))
+    publisher = Publisher(spark, str(tmp_path), ranges=2)
+    publisher.publish(build_index(rows, spec))
+    for place in ((40, 20), (40, 179.5), (89, 0)):
+        found = search(publisher.published("places"), {"around": {"at": {"lat": place[0], "lng": place[1], "radius": 400_000}}}).matches
+        pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1]
+        assert "g_at.lat" in pushed.split("ReadSchema")[0]
+        assert sorted(r.object_id for r in found.collect()) == sorted(
+            r.object_id for r in build_index(rows, spec).records.where(geo.distance(F.col("g_at"), *place) <= 400_000).collect()
+        )

@@ -1,10 +1,13 @@
+import random
 from datetime import datetime
+from functools import reduce
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone.functions import geo
 from lodestone.functions.facet_value import key_of, to_key
 from lodestone.functions.text import fold, folded, slug, synonym_map, tokenize, tokens, word_list
 from lodestone.operators.extract import Extracted, attribute_values, facet_values, payload, place_value, register_extractor, search_text, sort_key, unregister_extractor
@@ -131,3 +134,17 @@ def test_custom_extractors_come_first(nested):
 
 def test_slugs(spark):
     assert [r[0] for r in spark.createDataFrame([(" Été à Paris! ",)], "t string").select(slug(F.col("t"))).collect()] == ["ete-a-paris"]
+
+
+def test_bounds_of_a_radius_lose_no_place(spark):
+    draw = random.Random(3)
+    places = [(draw.uniform(-90, 90), draw.uniform(-180, 180)) for _ in range(3000)]
+    places += [(lat, lng) for lat in (-90.0, -89.5, 0.5, 89.5, 90.0) for lng in (-180.0, -179.9, 0.0, 179.9, 180.0)]
+    rows = spark.createDataFrame(places, "lat double, lng double").select(F.struct("lat", "lng").alias("p")).persist()
+    for lat, lng in [(0, 0), (10, 179.95), (-20, -179.95), (10, 180), (89.9, 30), (-89.9, 0), (90, 0), (60, -170), (52.5, 13.4)]:
+        for radius in (1, 60_000, 3_000_000, 9_000_000, 12_000_000, 25_000_000):
+            near = geo.distance(F.col("p"), lat, lng) <= radius
+            inside = reduce(lambda a, b: a & b, geo.box(F.col("p"), lat, lng, radius), F.lit(True))
+            lost, kept = rows.agg(F.count_if(near & ~inside), F.count_if(inside)).first()
+            assert lost == 0, (lat, lng, radius)
+            assert radius > 3_000_000 or abs(lat) > 59 or kept < len(places) / 2, "and leave most others out"
