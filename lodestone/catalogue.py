@@ -21,6 +21,7 @@ from lodestone.operators.publish import LIVE, Publisher, differences
 from lodestone.operators.relations import with_related
 from lodestone.operators.search import SearchResult, search
 from lodestone.plans.engine import Engine
+from lodestone.sources.arrow_files import FORMAT, register_format
 from lodestone.sources.registry import Condition, Kind, register_kind, scan
 from lodestone.spec import BOOLEAN, DATE, GEO, HIERARCHICAL, NUMERIC, Attribute, EngineConfig, IndexSpec, Relation, Sorting, Source
 from lodestone.state import QueryState, active, encode, parse, url
@@ -631,15 +632,19 @@ def store_counts(spark: SparkSession, sf: str) -> DataFrame:
     return st.counts(change_feed(spark, sf))
 
 
-def _publisher(spark: SparkSession, name: str, **options) -> Publisher:
-    """In a folder of its own below the cluster's shared one; a local one only where the master is local and none is named."""
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared one; a local one only where the master is local and none is named."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return Publisher(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix=name)}", **options)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix=name)}"
+
+
+def _publisher(spark: SparkSession, name: str, **options) -> Publisher:
+    return Publisher(spark, _folder(spark, name), **options)
 
 
 def _sized(spark: SparkSession, sf: str, above: int) -> Index:
@@ -839,10 +844,41 @@ def typed_values(spark: SparkSession, sf: str) -> DataFrame:
 )
 def change_capture(spark: SparkSession, sf: str) -> DataFrame:
     """The last event of each element, of known operations and not on drafts."""
+    return latest(relevant(_events(spark, sf))).select("element_id", "op", "ts")
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "view").otherwise("save")
     user = F.col("user_id")
-    events = _table(spark, sf, "events").select(user.alias("element_id"), F.lit(1).alias("site_id"), kind.alias("op"), "ts", F.when(user % 7 == 0, user).alias("draft_id"))
-    return latest(relevant(events)).select("element_id", "op", "ts")
+    return _table(spark, sf, "events").select(user.alias("element_id"), F.lit(1).alias("site_id"), kind.alias("op"), "ts", F.when(user % 7 == 0, user).alias("draft_id"), "event_id")
+
+
+@_query("SELECT 'type' AS facet, event_type AS value, count(*) AS count, FALSE AS is_refined FROM events WHERE event_type IN ('click', 'error', 'purchase') AND user_id % 7 <> 0 AND NOT (event_type = 'error' AND user_id % 2 = 0) GROUP BY 2")
+def connector_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """An index over elements in Arrow files: three types as containers, only what is enabled, no drafts; all rules are the format's."""
+    register_format(spark)
+    folder, user = _folder(spark, "elements"), F.col("user_id")
+    enabled = ~((F.col("event_type") == "error") & (user % 2 == 0))
+    rows = _table(spark, sf, "events").select(F.col("event_id").cast("bigint").alias("element_id"), F.lit(1).alias("site_id"), F.col("event_type").alias("section"), enabled.alias("enabled"), F.when(user % 7 == 0, user).alias("draft_id"))
+    rows.write.format(FORMAT).mode("append").save(folder)
+    spec = IndexSpec("events", sources=(Source("entry", ("click", "error", "purchase")),), attributes=(Attribute("type", "section", roles=("facet",), max_values=ALL),))
+    return _facets(search(build_index(scan({"entry": spark.read.format(FORMAT).load(folder)}, spec), spec)))
+
+
+@_query("SELECT user_id AS element_id, count(*) AS events, count(DISTINCT event_id) AS different, max(ts) AS last FROM events WHERE event_type IS DISTINCT FROM 'view' AND user_id % 7 <> 0 GROUP BY 1")
+def connector_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended to a feed of Arrow files in four commits; a stream that is stopped after two and started again takes each once."""
+    register_format(spark)
+    feed, taken, places = _folder(spark, "feed"), _folder(spark, "taken"), _folder(spark, "offsets")
+    events = _events(spark, sf)
+    for n in range(4):
+        events.where(F.coalesce(F.pmod("event_id", F.lit(4)), F.lit(0)) == n).write.format(FORMAT).mode("append").save(feed)
+        if n % 2:
+            stream = relevant(spark.readStream.format(FORMAT).load(feed))
+            writer = stream.writeStream.format("parquet").option("path", taken).option("checkpointLocation", places)
+            writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(events.schema).parquet(taken)
+    return found.groupBy("element_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("different"), F.max("ts").alias("last"))
 
 
 _UPDATED = "CASE WHEN p_partkey % 20 = 0 AND p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 20 = 0 THEN 'New' WHEN p_partkey % 50 = 3 THEN 'Related' ELSE p_brand END"

@@ -92,7 +92,7 @@ def status_filter(df: DataFrame, kind: Kind, status: str) -> Column:
         for condition in (given,) if isinstance(given, str) else given:
             own = condition if isinstance(condition, Condition) else Condition(condition)
             if set(own.if_there) <= set(df.columns):
-                out = out & F.coalesce(_resolved(df, own, kind), F.lit(False))
+                out = out & _resolved(df, own, kind)
     return out
 
 
@@ -108,15 +108,18 @@ def _resolved(df: DataFrame, condition: Condition, kind: Kind) -> Column:
 
 
 def covers(df: DataFrame, source: Source) -> Column:
-    """Whether a row belongs to a source: container, sub-type and status."""
+    """Whether a row belongs to a source: container, sub-type and status; null, which `where` takes for no, if it can't be known.
+
+    A conjunction of plain predicates, so that readers get each of them.
+    """
     kind = kinds()[source.type]
     out = status_filter(df, kind, source.status)
     if source.containers:
         wanted = list(source.containers)
         own = F.arrays_overlap(F.col(kind.container), F.array(*map(F.lit, wanted))) if kind.container_is_list else F.col(kind.container).isin(*wanted)
-        out = out & F.coalesce(own, F.lit(False))
+        out = out & own
     if source.sub_types and kind.sub_type:
-        out = out & F.coalesce(F.col(kind.sub_type).isin(*source.sub_types), F.lit(False))
+        out = out & F.col(kind.sub_type).isin(*source.sub_types)
     return out
 
 
@@ -140,7 +143,10 @@ def scan(tables: dict[str, DataFrame], spec: IndexSpec, status: str | None = Non
         if status is not None:
             sources = [Source(s.type, s.containers, s.sub_types, status) for s in sources]
         taken = reduce(lambda a, b: a | b, (covers(df, s) for s in sources))
-        for flaw in (c for c in FLAWS if c in df.columns):  # whether a row that can't be read belongs here isn't known
+        own, flaws = kinds()[kind], [c for c in FLAWS if c in df.columns]
+        if len(sources) > 1 and all(s.containers for s in sources) and not own.container_is_list and not flaws:  # for readers that take no disjunction
+            taken = F.col(own.container).isin(*sorted({c for s in sources for c in s.containers})) & taken
+        for flaw in flaws:  # whether a row that can't be read belongs here isn't known
             taken = taken | (F.col(flaw).isNotNull() & F.col("element_id").isNotNull())
         parts.append(df.where(taken).withColumn("_source", F.lit(place)))
     if not parts:
