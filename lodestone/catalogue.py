@@ -12,10 +12,11 @@ from lodestone.functions.facet_value import key_of
 from lodestone.functions.labels import distance_label, range_label, tree
 from lodestone.functions.text import slug, tokens
 from lodestone.operators import store as st
+from lodestone.operators.bitmaps import Bitmaps, bitmap_counts, bitmap_stats, facet_bitmaps
 from lodestone.operators.buckets import RecordStore
 from lodestone.operators.compile import Index, build_index, compile_records, facet_dictionary
 from lodestone.operators.extract import Extracted, ancestors, attribute_values, facet_values, payload, place_value, register_extractor, sort_key, unregister_extractor
-from lodestone.operators.facets import numeric_buckets
+from lodestone.operators.facets import buckets, numeric_buckets
 from lodestone.operators.match import text_match
 from lodestone.operators.publish import LIVE, Publisher, differences
 from lodestone.operators.relations import with_related
@@ -141,6 +142,18 @@ def facet_disjunctive_two(spark: SparkSession, sf: str) -> DataFrame:
     return _facets(search(_parts(spark, sf), state))
 
 
+@_query(ORACLE_SQL["facet_disjunctive_two"])
+def bitmap_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts from bitmaps of facet values, which no record is read for."""
+    state = QueryState.from_dict({"refinements": {"brand": ["Brand#1", "Brand#2"], "type": ["PROMO"]}, "ranges": {"size": {"min": 10, "max": 40}}})
+    return buckets(bitmap_counts(_bitmaps(spark, sf), state), PART, state).select("facet", "value", "count", "is_refined")
+
+
+def _bitmaps(spark: SparkSession, sf: str) -> Bitmaps:
+    keys = _table(spark, sf, "part").select(F.col("p_partkey").alias("element_id"), F.lit(1).alias("site_id"), F.col("p_partkey").cast("string").alias("object_id"))
+    return facet_bitmaps(_parts(spark, sf).records.join(st.internal_ids(keys), "object_id"), PART)
+
+
 _TAGS = """WITH t AS (SELECT p_partkey, p_brand, list(DISTINCT l_returnflag || CAST(l_linenumber AS VARCHAR)) AS tags
   FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL),
 r AS (SELECT * FROM t WHERE list_has_all(tags, ['A1', 'R2']))
@@ -216,6 +229,14 @@ def range_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select("facet", "min", "max", F.round("avg", 4).alias("avg"), F.round("sum", 2).alias("sum"))
 
 
+@_query(ORACLE_SQL["range_stats"])
+def bitmap_range_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The same statistics from the counts that bitmaps give."""
+    state = QueryState.from_dict({"refinements": {"brand": ["Brand#4"]}, "ranges": {"size": {"min": 5, "max": 30}}})
+    stats = bitmap_stats(bitmap_counts(_bitmaps(spark, sf), state), PART, state)
+    return stats.select("facet", "min", "max", F.round("avg", 4).alias("avg"), F.round("sum", 2).alias("sum"))
+
+
 @_query(
     """SELECT lower, upper, count(*) AS count FROM (SELECT CASE WHEN p < 910 THEN NULL WHEN p < 925 THEN 910.0::DOUBLE WHEN p < 950 THEN 925.0::DOUBLE WHEN p < 990 THEN 950.0::DOUBLE ELSE 990.0::DOUBLE END AS lower,
   CASE WHEN p < 910 THEN 910.0::DOUBLE WHEN p < 925 THEN 925.0::DOUBLE WHEN p < 950 THEN 950.0::DOUBLE WHEN p < 990 THEN 990.0::DOUBLE END AS upper FROM (SELECT p_retailprice AS p FROM part WHERE p_type = 'LARGE')) GROUP BY ALL"""
