@@ -275,6 +275,26 @@ def bool_facet_missing(spark: SparkSession, sf: str) -> DataFrame:
     return _facets(search(_documents(spark, sf), {"refinements": {"quality": [True]}}))
 
 
+SIZED = IndexSpec("sized", attributes=(Attribute("lang", roles=("facet",), max_values=ALL), Attribute("source", roles=("facet",), max_values=ALL), Attribute("chars", "n_chars", roles=("facet",), facet_type=NUMERIC, max_values=ALL)))
+_SOURCES, _CHARS = "source IN ('src0', 'src1')", "n_chars BETWEEN 200 AND 4000"
+
+
+@_query(
+    _groups(
+        "documents",
+        {"lang": ("lang", "lang", "FALSE"), "source": ("source", "source", _SOURCES), "chars": ("n_chars", "CAST(n_chars AS VARCHAR)", "FALSE")},
+        {"lang": f"{_SOURCES} AND {_CHARS}", "source": _CHARS, "chars": _SOURCES},
+    )
+)
+def bitmap_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Bitmaps over documents: frequent values (languages, a hot source) and a numeric facet of thousands of rare ones, one of them a range."""
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").withColumn("object_id", F.col("doc_id").cast("string"))
+    ids = st.internal_ids(docs.select("object_id", F.col("doc_id").alias("element_id"), F.lit(1).alias("site_id")))
+    maps = facet_bitmaps(compile_records(docs, SIZED).join(ids, "object_id"), SIZED)
+    state = QueryState.from_dict({"refinements": {"source": ["src0", "src1"]}, "ranges": {"chars": {"min": 200, "max": 4000}}})
+    return buckets(bitmap_counts(maps, state), SIZED, state).select("facet", "value", "count", "is_refined")
+
+
 ORDER = IndexSpec(
     "orders",
     attributes=(
