@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 import regex
@@ -18,12 +19,20 @@ from pyspark.sql.types import StringType
 
 SHORTEST, LONGEST = 2, 64
 _TAG = re.compile(r"<[^>]*>")
+#: A character reference: one that no semicolon ends is text.
+_REFERENCE = r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][0-9A-Za-z]*);"
+_ENTITY = re.compile(_REFERENCE)
 _WORD = regex.compile(r"[^\p{L}\p{N}]+")
 
 
+def _character(entity: re.Match) -> str:
+    """What a reference stands for; itself, if its name is not known as a whole."""
+    return html.unescape(entity[0]) if entity[1][0] == "#" else html5.get(f"{entity[1]};", entity[0])
+
+
 def fold(text: str) -> str:
     """Without tags, entities, upper case and combining marks."""
-    text = html.unescape(_TAG.sub("", text)).lower()
+    text = _ENTITY.sub(_character, _TAG.sub("", text)).lower()
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").strip()
 
 
@@ -54,7 +63,7 @@ def folded(column: Column) -> Column:
     plain = bare
     for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(character))
-    simple = ~column.rlike(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]|İ|&(?!(lt|gt|quot|nbsp|amp);)[#A-Za-z]|&amp;[#A-Za-z]")
+    simple = ~bare.rlike(rf"[^\x00-ɏ‐-‧‰-⁞₠-₿]|İ|(?!&(lt|gt|quot|nbsp|amp);){_REFERENCE}")
     marked, letters = folding()
     mapped = F.trim(F.translate(F.lower(plain), marked, letters))
     return F.when(column.isNull(), None).when(simple, mapped).otherwise(_fold_any(F.when(~simple, column)))

@@ -148,3 +148,10 @@ def test_bounds_of_a_radius_lose_no_place(spark):
             lost, kept = rows.agg(F.count_if(near & ~inside), F.count_if(inside)).first()
             assert lost == 0, (lat, lng, radius)
             assert radius > 3_000_000 or abs(lat) > 59 or kept < len(places) / 2, "and leave most others out"
+
+
+def test_references_that_no_semicolon_ends_are_text(spark):
+    texts = ["<h1>tea &amp</h1><p>hot", "tea &amp; hot", "der&am</h1>x", "&copy 1", "&copyx; &notit;", "&eacute;t&#233; &#xE9;", "caf&eac</b>ute;", "&amp;lt;b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("w")).collect()
+    assert [r.w for r in rows] == [["tea", "amphot"], ["tea", "hot"], ["der", "amx"], ["copy"], ["copyx", "notit"], ["ete"], ["cafe"], ["lt"]]
+    assert [r.w for r in rows] == [tokenize(t) for t in texts]
