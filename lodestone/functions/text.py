@@ -48,6 +48,10 @@ def folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Characters beyond ASCII that need no more than case and marks mapped: Latin blocks (without İ), dashes, quotes, currencies.
+LATIN = "".join(chr(c) for low, high in ((0x80, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)) for c in range(low, high + 1) if c != 0x130)
+
+
 @F.pandas_udf(StringType())
 def _fold_any(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold(t))
@@ -59,14 +63,22 @@ def folded(column: Column) -> Column:
     Marked Latin letters are mapped in the JVM. A text goes to the UDF if it has an entity other than the basic ones, a
     combining mark or a character beyond the Latin blocks.
     """
-    bare = F.regexp_replace(column, r"<[^>]*>", "")
+    bare = F.when(column.contains("<"), F.regexp_replace(column, r"<[^>]*>", "")).otherwise(column)
     plain = bare
     for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(character))
-    simple = ~bare.rlike(rf"[^\x00-ɏ‐-‧‰-⁞₠-₿]|İ|(?!&(lt|gt|quot|nbsp|amp);){_REFERENCE}")
     marked, letters = folding()
-    mapped = F.trim(F.translate(F.lower(plain), marked, letters))
-    return F.when(column.isNull(), None).when(simple, mapped).otherwise(_fold_any(F.when(~simple, column)))
+    lower = F.lower(plain)
+    mapped = F.when(_beyond_ascii(lower), F.translate(lower, marked, letters)).otherwise(lower)
+    # Lengths tell what a text has beyond ASCII and Latin; a pattern tried at each character would take most of the time.
+    other = _beyond_ascii(column) & _beyond_ascii(F.translate(column, LATIN, ""))
+    other = other | (column.contains("&") & bare.rlike(rf"&(?!(lt|gt|quot|nbsp|amp);){_REFERENCE[1:]}"))
+    # Whether a text is for the UDF is worked out once, for its input; null from it is a text that isn't.
+    return F.coalesce(_fold_any(F.when(other, column)), F.trim(mapped))
+
+
+def _beyond_ascii(column: Column) -> Column:
+    return F.octet_length(column) > F.length(column)
 
 
 def tokens(column: Column) -> Column:

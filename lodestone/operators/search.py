@@ -20,10 +20,6 @@ from lodestone.spec import DISTANCE, PAYLOAD, IndexSpec
 from lodestone.state import QueryState
 
 
-#: Matches of a text (id and score) that are sent to all tasks, so that records need no shuffle; counted before.
-BROADCAST = 200_000
-
-
 def order_keys(spec: IndexSpec, state: QueryState) -> list[Column]:
     """Sort keys that end in the object id, so that the order is total; records without a value come last either way."""
     tail = [F.col("score").desc(), F.col("object_id").asc()]
@@ -67,13 +63,11 @@ class SearchResult:
             return None
         if self.index.postings is None:
             return self.index.records.select("object_id", F.lit(0.0).alias("score")).limit(0)
+        # Found by the first job that needs them, kept for the next ones, and dropped with the result. A result that goes
+        # before its jobs run leaves one job, that needs no copy. Spark broadcasts them where they turn out to be few.
         found = text_match(self.index.postings, self._tokens).persist()
-        if found.limit(BROADCAST + 1).count() > BROADCAST:
-            found.unpersist()
-            return found
-        # All jobs of this result take the matches as they were found for the count; they go with the result.
         weakref.finalize(self, _forget, found).atexit = False
-        return F.broadcast(found)
+        return found
 
     @cached_property
     def candidates(self) -> DataFrame:

@@ -192,3 +192,16 @@ def test_one_scan_counts_all_facets(indexes, spark):
     plan = search(Index(SPEC, spark.createDataFrame([], index.records.schema), None), {"refinements": {"maker": ["m1"], "new": [True]}}).counts
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Generate") == 1 and text.count("Aggregate") <= 1
+
+
+def test_matches_are_not_counted_before_they_are_asked_for(spark):
+    """A result of one job reads its texts once: no job runs to learn how many there are."""
+    table = spark.createDataFrame([("1", "red tea"), ("2", "red cup"), ("3", "Crème")], "object_id string, text string")
+    index = build_index(table, IndexSpec("few", attributes=(Attribute("text", roles=("searchable",)),)))
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        found = search(index, {"query": "red"}).candidates
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.object_id for r in found.collect()) == ["1", "2"]
