@@ -12,14 +12,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_bytes, small_batches, with_columns
+from lodestone.llm.common import by_bytes, saved, small_batches, with_columns
 from lodestone.llm.shingles import words
 
-#: Labelled rows to learn from (those with the smallest hash), quantile codes per feature, pairs, steps.
-SAMPLE, CODES, PAIRS, STEPS = 20_000, 16, 10_000, 200
+#: Quantile codes per feature, rows of the rarer class in a bucket, steps at most, weight of the penalty.
+CODES, BUCKET, STEPS, PENALTY = 16, 256, 12, 1e-4
 CUT = 0.3
 
 _KIND = np.zeros(256, np.int64)
@@ -77,23 +77,19 @@ class Ranker:
 
     @classmethod
     def fit(cls, x: np.ndarray, good: np.ndarray) -> Ranker:
-        edges = [np.unique(np.quantile(x[:, j], np.arange(1, CODES) / CODES)) if len(x) else np.zeros(1) for j in range(len(NAMES))]
-        coded = cls.code(x, edges)
-        weights = np.zeros(coded.shape[1])
-        better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-        if not len(better) or not len(worse):
-            return cls(edges, weights, -np.inf if len(better) or not len(x) else np.inf, 1.0)
-        rng = np.random.default_rng(7)
-        diff = coded[rng.choice(better, PAIRS)] - coded[rng.choice(worse, PAIRS)]
-        m, v = np.zeros_like(weights), np.zeros_like(weights)
-        for step in range(1, STEPS + 1):
-            p = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))
-            grad = -(p @ diff) / len(diff) + 1e-4 * weights
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            weights = weights - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        scores = coded @ weights
-        cut = float(np.quantile(scores, (~good).mean()))
-        return cls(edges, weights, cut, max(1e-6, float(scores.std()) / 2))
+        """The model of rows that are at hand, by the steps that `train` takes over a table."""
+        places = [quantiles(*np.unique(keys(x[:, j]), return_counts=True), np.arange(1, CODES) / CODES) for j in range(len(NAMES))]
+        edges = [np.unique(e) if len(x) else np.zeros(1) for e in places]
+        if good.all() or not good.any():
+            return cls.flat(edges, bool(good.all()))
+        weights = solved(edges, lambda w: slopes(x, good, np.zeros(len(x), int), edges, w))
+        scores = cls.code(x, edges) @ weights
+        shares, part = around(len(x), int((~good).sum()))
+        return cls(edges, weights, float(quantiles(*np.unique(keys(scores), return_counts=True), shares) @ part), max(1e-6, float(scores.std()) / 2))
+
+    @classmethod
+    def flat(cls, edges: list[np.ndarray], keep: bool) -> Ranker:
+        return cls(edges, np.zeros(len(NAMES) * (CODES + 1)), -np.inf if keep else np.inf, 1.0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if np.isinf(self.cut):
@@ -106,11 +102,68 @@ def held_out(id_col: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, fold: int, sample: int) -> DataFrame:
-    """`_t`, `_y` of at most `sample` labelled documents outside the held-out fold, chosen by hash of the id."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_t", F.col("_y").cast("int").alias("_y"))
+def keys(x: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the values, equal for values within 1/4096 of each other: a bounded set, however many rows."""
+    bits = np.ascontiguousarray(x + 0.0, np.float64).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits) >> 40
+
+
+def quantiles(key: np.ndarray, times: np.ndarray, shares) -> np.ndarray:
+    """The least values of the keys that the shares of all rows fall on."""
+    if not len(key):
+        return np.zeros(len(shares))
+    total = np.cumsum(times)
+    bits = key[np.searchsorted(total, np.asarray(shares) * total[-1]).clip(0, len(key) - 1)] << 40
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64)
+
+
+def around(n: int, worse: int) -> tuple[list[float], np.ndarray]:
+    """Shares that fall on the two rows of `n` between which the share of worse rows lies, and the part of each."""
+    place = (n - 1) * (worse / n)
+    low = int(place)
+    return [(low + 0.5) / n, (min(low + 1, n - 1) + 0.5) / n], np.array([1 - (place - low), place - low])
+
+
+def slopes(x: np.ndarray, good: np.ndarray, bucket: np.ndarray, edges: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Number, first and second derivatives, summed over all pairs of a better and a worse row of the same bucket, as one vector."""
+    size = len(weights)
+    first, second, pairs = np.zeros(size), np.zeros((size, size)), 0
+    for b in np.unique(bucket):
+        at = bucket == b
+        worse_rows = Ranker.code(x[at & ~good], edges).astype(np.float64)
+        better_rows = x[at & good]
+        for start in range(0, len(better_rows) if len(worse_rows) else 0, 4 * BUCKET):
+            better = Ranker.code(better_rows[start : start + 4 * BUCKET], edges).astype(np.float64)
+            for low in range(0, len(worse_rows), 4 * BUCKET):
+                worse = worse_rows[low : low + 4 * BUCKET]
+                p = 1 / (1 + np.exp(np.clip((better @ weights)[:, None] - (worse @ weights)[None, :], -30, 30)))
+                q = p * (1 - p)
+                both = better.T @ q @ worse
+                first -= better.T @ p.sum(1) - worse.T @ p.sum(0)
+                second += (better.T * q.sum(1)) @ better + (worse.T * q.sum(0)) @ worse - both - both.T
+                pairs += p.size
+    return np.concatenate([[pairs], first, second.ravel()])
+
+
+def solved(edges: list[np.ndarray], sums) -> np.ndarray:
+    """The weights by Newton's method; `sums` gives `slopes` over all rows."""
+    size = len(NAMES) * (CODES + 1)
+    weights = np.zeros(size)
+    for _ in range(STEPS):
+        got = sums(weights)
+        pairs = max(1.0, got[0])
+        step = np.linalg.solve(got[1 + size :].reshape(size, size) / pairs + PENALTY * np.eye(size), got[1 : 1 + size] / pairs + PENALTY * weights)
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        weights = weights - step
+        if np.abs(step).max() < 1e-5:
+            break
+    return weights
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
+    """`_id`, `_t`, `_y` of all labelled documents outside the held-out fold."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(known, "_id").select("_id", "_t", "_y")
 
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +172,78 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "_y", "_x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> Ranker:
-    """Fitted on the driver, on the features of `sample` rows at most and `PAIRS` pairs drawn of them, a better and a worse one each."""
-    small_batches(docs.sparkSession)
-    chosen = labelled_sample(docs, labels, label, id_col, text_col, folds, fold, sample)
-    kind = chosen.schema["_id"].dataType.simpleString()
-    rows = sorted((r["_id"], r["_y"], r["_x"]) for r in chosen.mapInArrow(_measure, f"_id {kind}, _y int, _x array<double>").collect())
-    return Ranker.fit(np.array([r[2] for r in rows]).reshape(-1, len(NAMES)), np.array([r[1] > 0 for r in rows], bool))
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(-1, len(NAMES))
+
+
+def _places(rows: DataFrame, values, columns: int, shares: list[float]) -> list[np.ndarray]:
+    """`quantiles` of each column of what `values` computes of the statistics, counted over all rows."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = values(_matrix(batch.column(0)))
+            for j in range(got.shape[1]):
+                key, times = np.unique(keys(got[:, j]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), j)), pa.array(key), pa.array(times)], ["j", "k", "n"])
+
+    counts = rows.select("_x").mapInArrow(count, "j long, k long, n long").groupBy("j", "k").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("j").orderBy("k"))
+    whole = F.sum("n").over(Window.partitionBy("j"))
+    ends = counts.select("j", "k", "n", total.alias("t"), whole.alias("w"))
+    first = ends.select("j", *[F.when(F.col("t") >= F.lit(float(q)) * F.col("w"), F.col("k")).alias(f"q{i}") for i, q in enumerate(shares)])
+    found = {r["j"]: [r[f"q{i}"] for i in range(len(shares))] for r in first.groupBy("j").agg(*[F.min(f"q{i}").alias(f"q{i}") for i in range(len(shares))]).collect()}
+    return [np.array([quantiles(np.array([k]), np.array([1]), [1.0])[0] for k in found[j]]) for j in range(columns)]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 5, fold: int = 0) -> Ranker:
+    """Fitted on all labelled rows: quantiles are counted over all of them, and each is paired with all rows of the other class in its bucket.
+
+    Buckets are dealt by the hash of the id and hold about `BUCKET` rows of the rarer class. The driver only sees sums.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = labelled(docs, labels, label, id_col, text_col, folds, fold)
+    kind = known.schema["_id"].dataType.simpleString()
+    rows = saved(known.mapInArrow(_measure, f"_id {kind}, _y int, _x array<double>"), "statistics")
+    n, better = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_y") > 0)).first()
+    if not n:
+        return Ranker.flat([np.zeros(1)] * len(NAMES), True)
+    edges = [np.unique(e) for e in _places(rows, lambda x: x, len(NAMES), [i / CODES for i in range(1, CODES)])]
+    if better in (0, n):
+        return Ranker.flat(edges, better == n)
+    buckets = max(1, min(better, n - better) // BUCKET)
+    dealt = rows.select(F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("_b"), "_id", (F.col("_y") > 0).alias("_g"), "_x")
+    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = dealt.repartition(parts, "_b").sortWithinPartitions("_b", "_id", "_x").drop("_id").persist()
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), _matrix(b.column(2))) for b in batches if b.num_rows]
+            if got:
+                bucket, good, x = (np.concatenate(c) for c in zip(*got))
+                yield pa.RecordBatch.from_arrays([pa.array([slopes(x, good.astype(bool), bucket, edges, weights).tobytes()])], ["s"])
+
+        out = np.zeros(1 + len(weights) + len(weights) ** 2)
+        for r in dealt.mapInArrow(work, "s binary").toLocalIterator():
+            out += np.frombuffer(r["s"])
+        return out
+
+    try:
+        weights = solved(edges, sums)
+    finally:
+        dealt.unpersist()
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        return np.round(Ranker.code(x, edges) @ weights, 9)[:, None]
+
+    def moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(scores(_matrix(batch.column(0)))[:, 0])], ["z"])
+
+    shares, part = around(n, n - better)
+    cut = _places(rows, scores, 1, shares)[0] @ part
+    spread = rows.select("_x").mapInArrow(moments, "z double").agg(F.stddev_pop("z")).first()[0]
+    return Ranker(edges, weights, float(cut), max(1e-6, round(float(spread), 9) / 2))
 
 
 def score(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:

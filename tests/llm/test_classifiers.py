@@ -202,3 +202,13 @@ def test_quality_scores_match_a_plain_sum():
             total += model.weights[j * width + quality.CODES] * min(2.0, max(-1.0, (v - edges[0]) / ((edges[-1] - edges[0]) or 1.0)))
         z = (total - model.cut) / model.scale + math.log(quality.CUT / (1 - quality.CUT))
         assert abs(one(z) - got) < 1e-4
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Rejected texts of a kind that no row has whose hash is among the 20,000 smallest."""
+    ids = spark.range(28_000).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").selectExpr("id", "row_number() OVER (ORDER BY xxhash64(id), id) AS n").persist()
+    docs = ids.selectExpr("id AS doc_id", "n", "if(n > 20000, 'plain %%% words ###', if(n % 4 = 0, 'PLAIN WORDS HERE', 'plain words here')) AS text")
+    model = quality.train(docs, docs.selectExpr("doc_id", "cast(n <= 20000 AND n % 4 > 0 AS int) AS quality"))
+    x = quality.features([b"plain words here", b"PLAIN WORDS HERE", b"plain %%% words ###"])
+    good, *bad = (model.code(x, model.edges) @ model.weights).tolist()
+    assert good > max(bad) + 1 and model.score(x)[0] >= quality.CUT
