@@ -20,6 +20,8 @@ from lodestone.llm.shingles import words
 
 #: Quantile codes per feature, rows of the rarer class in a bucket, steps at most, weight of the penalty.
 CODES, BUCKET, STEPS, PENALTY = 16, 256, 12, 1e-4
+#: Tasks of a step at most: each sends the driver one vector of sums (455 kB).
+TASKS = 64
 CUT = 0.3
 
 _KIND = np.zeros(256, np.int64)
@@ -82,7 +84,7 @@ class Ranker:
         edges = [np.unique(e) if len(x) else np.zeros(1) for e in places]
         if good.all() or not good.any():
             return cls.flat(edges, bool(good.all()))
-        weights = solved(edges, lambda w: slopes(x, good, np.zeros(len(x), int), edges, w))
+        weights = solved(edges, lambda w: slopes(x, good, edges, w))
         scores = cls.code(x, edges) @ weights
         shares, part = around(len(x), int((~good).sum()))
         return cls(edges, weights, float(quantiles(*np.unique(keys(scores), return_counts=True), shares) @ part), max(1e-6, float(scores.std()) / 2))
@@ -124,24 +126,21 @@ def around(n: int, worse: int) -> tuple[list[float], np.ndarray]:
     return [(low + 0.5) / n, (min(low + 1, n - 1) + 0.5) / n], np.array([1 - (place - low), place - low])
 
 
-def slopes(x: np.ndarray, good: np.ndarray, bucket: np.ndarray, edges: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """Number, first and second derivatives, summed over all pairs of a better and a worse row of the same bucket, as one vector."""
+def slopes(x: np.ndarray, good: np.ndarray, edges: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Number, first and second derivatives, summed over all pairs of a better and a worse row, as one vector."""
     size = len(weights)
     first, second, pairs = np.zeros(size), np.zeros((size, size)), 0
-    for b in np.unique(bucket):
-        at = bucket == b
-        worse_rows = Ranker.code(x[at & ~good], edges).astype(np.float64)
-        better_rows = x[at & good]
-        for start in range(0, len(better_rows) if len(worse_rows) else 0, 4 * BUCKET):
-            better = Ranker.code(better_rows[start : start + 4 * BUCKET], edges).astype(np.float64)
-            for low in range(0, len(worse_rows), 4 * BUCKET):
-                worse = worse_rows[low : low + 4 * BUCKET]
-                p = 1 / (1 + np.exp(np.clip((better @ weights)[:, None] - (worse @ weights)[None, :], -30, 30)))
-                q = p * (1 - p)
-                both = better.T @ q @ worse
-                first -= better.T @ p.sum(1) - worse.T @ p.sum(0)
-                second += (better.T * q.sum(1)) @ better + (worse.T * q.sum(0)) @ worse - both - both.T
-                pairs += p.size
+    better_rows, worse_rows = x[good], x[~good]
+    for start in range(0, len(better_rows) if len(worse_rows) else 0, 4 * BUCKET):
+        better = Ranker.code(better_rows[start : start + 4 * BUCKET], edges).astype(np.float64)
+        for low in range(0, len(worse_rows), 4 * BUCKET):
+            worse = Ranker.code(worse_rows[low : low + 4 * BUCKET], edges).astype(np.float64)
+            p = 1 / (1 + np.exp(np.clip((better @ weights)[:, None] - (worse @ weights)[None, :], -30, 30)))
+            q = p * (1 - p)
+            both = better.T @ q @ worse
+            first -= better.T @ p.sum(1) - worse.T @ p.sum(0)
+            second += (better.T * q.sum(1)) @ better + (worse.T * q.sum(0)) @ worse - both - both.T
+            pairs += p.size
     return np.concatenate([[pairs], first, second.ravel()])
 
 
@@ -157,23 +156,43 @@ def solved(edges: list[np.ndarray], sums) -> np.ndarray:
         weights = weights - step
         if np.abs(step).max() < 1e-5:
             break
-    return weights
+    return np.round(weights, 9)  # sums may differ in their last bits by the order of tasks
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
-    """`_id`, `_t`, `_y` of all labelled documents outside the held-out fold."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(known, "_id").select("_id", "_t", "_y")
+    """`_id`, `_y` and statistics `_x` of all labelled documents outside the held-out fold; texts are measured where they are read, not shuffled."""
+    own = lambda df: df.where(F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
+    known = own(labels).where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    texts = own(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    kind = texts.schema["_id"].dataType.simpleString()
+    return texts.mapInArrow(_measure, f"_id {kind}, _x array<double>").join(known, "_id").select("_id", "_y", "_x")
 
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in by_bytes(batches, "_t"):
         x = features(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "_y", "_x"])
+        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["_id", "_x"])
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(-1, len(NAMES))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Statistics and class of one whole bucket after another; the rows (bucket, class, statistics) of a bucket follow each other."""
+    held, last = [], None
+    for batch in batches:
+        bucket, good, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), _matrix(batch.column(2))
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else []
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            if held and bucket[low] != last:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held = []
+            held.append((x[low:high], good[low:high]))
+            last = bucket[low]
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def _places(rows: DataFrame, values, columns: int, shares: list[float]) -> list[np.ndarray]:
@@ -181,10 +200,9 @@ def _places(rows: DataFrame, values, columns: int, shares: list[float]) -> list[
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = values(_matrix(batch.column(0)))
-            for j in range(got.shape[1]):
-                key, times = np.unique(keys(got[:, j]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), j)), pa.array(key), pa.array(times)], ["j", "k", "n"])
+            found = [np.unique(keys(c), return_counts=True) for c in values(_matrix(batch.column(0))).T]
+            column = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(column), *(pa.array(np.concatenate(c)) for c in zip(*found))], ["j", "k", "n"])
 
     counts = rows.select("_x").mapInArrow(count, "j long, k long, n long").groupBy("j", "k").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("j").orderBy("k"))
@@ -198,35 +216,38 @@ def _places(rows: DataFrame, values, columns: int, shares: list[float]) -> list[
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 5, fold: int = 0) -> Ranker:
     """Fitted on all labelled rows: quantiles are counted over all of them, and each is paired with all rows of the other class in its bucket.
 
-    Buckets are dealt by the hash of the id and hold about `BUCKET` rows of the rarer class. The driver only sees sums.
+    Buckets are dealt by the hash of the id and hold about `BUCKET` rows of the rarer class.  Where the other class has far more rows, those of a
+    bucket are dealt over pieces, each with all of its rarer rows, so that no task holds more than about 16 times that many.  The driver only sees
+    sums, one vector a task.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known = labelled(docs, labels, label, id_col, text_col, folds, fold)
-    kind = known.schema["_id"].dataType.simpleString()
-    rows = saved(known.mapInArrow(_measure, f"_id {kind}, _y int, _x array<double>"), "statistics")
+    rows = saved(labelled(docs, labels, label, id_col, text_col, folds, fold), "statistics")
     n, better = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_y") > 0)).first()
     if not n:
         return Ranker.flat([np.zeros(1)] * len(NAMES), True)
     edges = [np.unique(e) for e in _places(rows, lambda x: x, len(NAMES), [i / CODES for i in range(1, CODES)])]
     if better in (0, n):
         return Ranker.flat(edges, better == n)
-    buckets = max(1, min(better, n - better) // BUCKET)
-    dealt = rows.select(F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("_b"), "_id", (F.col("_y") > 0).alias("_g"), "_x")
-    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    dealt = dealt.repartition(parts, "_b").sortWithinPartitions("_b", "_id", "_x").drop("_id").persist()
+    rarer = min(better, n - better)
+    buckets = max(1, rarer // BUCKET)
+    pieces = max(1, (n - rarer) // (16 * BUCKET * buckets))
+    good = F.col("_y") > 0
+    every, one = F.sequence(F.lit(0), F.lit(pieces - 1)), F.array(F.pmod(F.xxhash64("_id", "_x"), F.lit(pieces)).cast("int"))
+    piece = F.explode(F.when(good == F.lit(better == rarer), every).otherwise(one)).alias("_p")
+    dealt = rows.select("_id", good.alias("_g"), "_x", piece).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(buckets)) * pieces + F.col("_p"))
+    parts = min(buckets * pieces, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = dealt.repartition(parts, "_b").sortWithinPartitions("_b", "_id", "_x").select("_b", "_g", "_x").persist()
 
     def sums(weights: np.ndarray) -> np.ndarray:
         def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), _matrix(b.column(2))) for b in batches if b.num_rows]
-            if got:
-                bucket, good, x = (np.concatenate(c) for c in zip(*got))
-                yield pa.RecordBatch.from_arrays([pa.array([slopes(x, good.astype(bool), bucket, edges, weights).tobytes()])], ["s"])
-
-        out = np.zeros(1 + len(weights) + len(weights) ** 2)
-        for r in dealt.mapInArrow(work, "s binary").toLocalIterator():
-            out += np.frombuffer(r["s"])
-        return out
+            out = np.zeros(1 + len(weights) + len(weights) ** 2)
+            for x, good in _buckets(batches):
+                out += slopes(x, good, edges, weights)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["s"])
+
+        tasks = min(TASKS, spark.sparkContext.defaultParallelism)
+        return sum(np.frombuffer(r["s"]) for r in dealt.coalesce(tasks).mapInArrow(work, "s binary").collect())
 
     try:
         weights = solved(edges, sums)

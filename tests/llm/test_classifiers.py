@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import quality, toxicity
@@ -212,3 +213,45 @@ def test_quality_learns_from_all_labelled_rows(spark):
     x = quality.features([b"plain words here", b"PLAIN WORDS HERE", b"plain %%% words ###"])
     good, *bad = (model.code(x, model.edges) @ model.weights).tolist()
     assert good > max(bad) + 1 and model.score(x)[0] >= quality.CUT
+
+
+def test_quality_steps_are_one_job_each_and_shuffle_no_text(spark, monkeypatch):
+    plans, keep = [], quality.saved
+    monkeypatch.setattr(quality, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    monkeypatch.setattr(quality, "BUCKET", 2)
+    rows, labels = quality_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.sparkContext.setJobGroup("ranker", "")
+    try:
+        quality.train(docs, known)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ranker")) < 60  # a job a partition was 24 a step
+    assert plans[0].index("Join") < plans[0].index("MapInArrow")  # statistics are joined, not texts
+
+
+def test_quality_pieces_of_a_bucket_make_all_its_pairs(spark, monkeypatch):
+    rows, labels = quality_corpus(320)
+    labels = [(i, int(i % 40 > 0), 0) for i, _, _ in labels]
+    monkeypatch.setattr(quality, "BUCKET", 4)  # one bucket in four pieces
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    own = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    worse = sum(not labels[i][1] for i in own)
+    assert worse < 8 and (len(own) - worse) // 64 >= 3
+    want = quality.Ranker.fit(quality.features([rows[i][1].encode() for i in own]), np.array([labels[i][1] > 0 for i in own]))
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and abs(got.cut - want.cut) < 1e-3
+
+
+def test_quality_buckets_come_whole():
+    rng = np.random.default_rng(4)
+    bucket = np.repeat([5, 2, 9], [3, 1, 6])
+    x, good = rng.normal(size=(10, len(quality.NAMES))), rng.random(10) < 0.5
+    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(good), pa.array(list(x), pa.list_(pa.float64()))], ["_b", "_g", "_x"])
+    for size in (1, 2, 4, 10):
+        got = list(quality._buckets([whole.slice(0, 0), *(whole.slice(i, size) for i in range(0, 10, size))]))
+        assert [len(a) for a, _ in got] == [3, 1, 6]
+        assert (np.concatenate([a for a, _ in got]) == x).all() and (np.concatenate([b for _, b in got]) == good).all()
