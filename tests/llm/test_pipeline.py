@@ -84,6 +84,19 @@ def test_quality_stage(steps):
     assert not any("%%$" in (r[1] or "") for r in steps[1]) and len(steps[1]) > 190
 
 
+def test_quality_stage_has_no_job_for_each_partition(spark, folder, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKET", 1)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.sparkContext.setJobGroup("quality stage", "")
+    try:
+        pipeline.accept_quality(spark, docs, folder)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("quality stage")) < 50
+
+
 def test_near_duplicate_stage(steps):
     known = [(r[0], r[1]) for r in steps[1] if r[0] is not None]
     want = {i for i, n, root in classes(known, 5, 80) if not n or i == root}
