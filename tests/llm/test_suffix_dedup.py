@@ -81,3 +81,30 @@ def test_very_long_texts(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_contexts_of_one_anchor_can_be_split(spark, monkeypatch):
+    """Contexts meet the number of their anchor's by a join of tables, so that a hot anchor is not one task's."""
+    rng = random.Random(11)
+    text = lambda k: " ".join(str(rng.randint(0, 10**6)) for _ in range(k))
+    hot = text(8)
+    rows = [(i, text(8) + " " + hot + " " + text(8)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    frames = {}
+    saved = module.saved
+    monkeypatch.setattr(module, "saved", lambda df, name: frames.setdefault(name, df) and saved(df, name))
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    confs |= {f"spark.sql.adaptive.{k}": v for k, v in {"advisoryPartitionSizeInBytes": "1k", "skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.5"}.items()}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = remove_repeats(docs, length=40).collect()
+        frames["sorted"].collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plan = frames["sorted"]._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "SortMergeJoin" in line and "[_a#" in line]
+    assert joins and all("skew=true" in line for line in joins)
+    assert sorted(((r.doc_id, r._n_bytes, r._n_removed, r._n_spans, r._sha) for r in got), key=str) == brute(rows, 40)
